@@ -27,7 +27,7 @@ class Level:
         for h in range(self.n_hashes):
             at = F.pmod(F.xxhash64(F.lit(self.seed), F.lit(h), key), F.lit(8 * len(self.bits)))
             byte = F.conv(F.hex(F.substring(F.lit(self.bits), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-            hit = hit & (F.shiftright(byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+            hit = hit & (F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1)
         return hit
 
 
@@ -52,7 +52,7 @@ def _encode(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
     at = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(seed), F.lit(h), F.col("key")), F.lit(8 * n_bytes)) for h in range(n_hashes)]))
     # a row per set byte: as large as the filter, which the listed keys bound
     rows = keys.select(at.alias("at")).groupBy(F.shiftright("at", 3).alias("byte")).agg(
-        F.bit_or(F.shiftleft(F.lit(1), F.pmod("at", F.lit(8)).cast("int"))).alias("bits")
+        F.expr("bit_or(shiftleft(1, cast(pmod(at, 8) as int)))").alias("bits")
     )
     bits = bytearray(n_bytes)
     for row in rows.toLocalIterator():
