@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, substring_dedup, url_filter
+from . import bpe, mixing, neardup, substring_dedup, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": lambda spark, d: mixing.op2(table(spark, d, "documents")),
     "op3_minhash": lambda spark, d: neardup.op3(table(spark, d, "documents")),
+    "op4_bpe": lambda spark, d: bpe.op4(table(spark, d, "documents")),
     "op10_substring_dedup": lambda spark, d: substring_dedup.op10(table(spark, d, "documents")),
     "op6_url_filter": lambda spark, d: url_filter.op6(table(spark, d, "pages")),
 }
