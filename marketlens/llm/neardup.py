@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import connected_components
-from .textops import U, gram_hashes, hash_words, mix64, slices, split_words
+from .textops import U, gram_hashes, mix64, read_words, slices, split_words
 
 SHINGLE = 5
 BANDS, ROWS = 32, 8
@@ -27,14 +27,15 @@ TASK_GROUP = 64
 _LOW = U((1 << 48) - 1)
 
 
-def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; with fewer words the whole sequence is one."""
-    words = split_words(text, lower=True)
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = hash_words(words)
-    n = min(size, len(words))
-    return np.unique(gram_hashes(hashes, n, 100 + n))
+def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles; with fewer words the whole sequence is one."""
+    words = read_words(texts, lower=True)
+    grams = gram_hashes(words.hashes, size, 100 + size)
+    for a, b in words.per_text():
+        if b - a >= size:
+            yield np.unique(grams[a : b - size + 1])
+        else:
+            yield gram_hashes(words.hashes[a:b], b - a, 100 + b - a) if b > a else np.zeros(0, np.uint64)
 
 
 def sketch(items: np.ndarray, t: int) -> np.ndarray:
@@ -69,8 +70,7 @@ def sketch_rows(batches: Iterable[pa.RecordBatch], bands: int, rows: int) -> Ite
     """(doc_id, text) -> doc_id, size of the set, 128 bits of the set, band keys."""
     for batch in slices(batches):
         n, one, two, keys = [], [], [], []
-        for text in batch.column(1).to_pylist():
-            items = shingle_set(text)
+        for items in shingle_sets(batch.column(1).to_pylist()):
             n.append(len(items))
             one.append(int(mix64(items ^ U(0xA5A5)).sum(dtype=np.uint64).astype(np.int64)))
             two.append(int(mix64(items ^ U(0x5A5A5A)).sum(dtype=np.uint64).astype(np.int64)))
@@ -109,9 +109,9 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     def compare(table: pa.Table) -> pa.Table:
         pivot = table.column("pivot")[0].as_py()
         ids = table.column("doc").to_pylist()
-        texts = table.column("text")
-        base = shingle_set(texts[ids.index(pivot)].as_py())
-        found = [i for i, t in zip(ids, texts, strict=True) if i != pivot and linked(base, shingle_set(t.as_py()), percent)]
+        sets = list(shingle_sets(table.column("text").to_pylist()))
+        base = sets[ids.index(pivot)]
+        found = [i for i, items in zip(ids, sets, strict=True) if i != pivot and linked(base, items, percent)]
         return pa.table({"a": pa.array(found, pa.int64()), "b": pa.array([pivot] * len(found), pa.int64())})
 
     return sent.groupBy("pivot", "place").applyInArrow(compare, "a long, b long")
@@ -125,7 +125,7 @@ def settle_groups(members: DataFrame, docs: DataFrame, percent: int) -> DataFram
     sent = _with_text(cut(once.select("bucket", F.explode("m").alias("m")).select("bucket", "m.doc", "m.component")), docs)
 
     def settle(table: pa.Table) -> pa.Table:
-        ids, texts = table.column("doc").to_pylist(), table.column("text")
+        ids = table.column("doc").to_pylist()
         top = {c: c for c in table.column("component").to_pylist()}
 
         def find(c: int) -> int:
@@ -133,7 +133,7 @@ def settle_groups(members: DataFrame, docs: DataFrame, percent: int) -> DataFram
                 c = top[c]
             return c
 
-        sets = [shingle_set(t.as_py()) for t in texts]
+        sets = list(shingle_sets(table.column("text").to_pylist()))
         own = table.column("component").to_pylist()
         a, b = [], []
         for i in range(len(ids)):

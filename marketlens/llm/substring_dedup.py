@@ -16,12 +16,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import gram_hashes, hash_words, mix64, slices, split_words
+from .textops import gram_hashes, hash_spans, mix64, read_words, slices, spans, split_words
 
 #: A null doc_id stands behind all others.
 LAST = (1 << 63) - 1
-PACK = "bucket int, docs binary, starts binary, words binary, packed binary"
-MARKS = "doc_id long, starts binary"
+PACK = "dest int, kind int, docs binary, starts binary, sizes binary, packed binary"
+SETTLED, WINDOWS = 0, 1
 
 
 def _later(first: np.ndarray, second: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -46,126 +46,149 @@ def _later(first: np.ndarray, second: np.ndarray, doc: np.ndarray) -> np.ndarray
     return out
 
 
-def _marks(doc: np.ndarray, starts: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Window starts by document."""
-    order = np.lexsort((starts, doc))
-    doc, starts = doc[order], starts[order].astype(np.int32)
-    cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, int)
-    return doc[cuts].tolist(), [x.tobytes() for x in np.split(starts, cuts[1:])] if len(doc) else []
+_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+_NAMES = ["dest", "kind", "docs", "starts", "sizes", "packed"]
 
 
-def pack(batches: Iterable[pa.RecordBatch], k: int, m: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Super-k-mers of each slice, a row for each bucket; windows settled within the slice go as marks to bucket -1 - i.
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
+
+
+def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct runs of window starts: document, first start, number of starts."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)
+    heads = np.flatnonzero(new)
+    last = at[np.r_[heads[1:] - 1, len(at) - 1]] if len(at) else at
+    return doc[heads], at[heads].astype(np.int32), (last - at[heads] + 1).astype(np.int32)
+
+
+def _settled(doc: np.ndarray, at: np.ndarray, parts: int) -> Iterator[tuple]:
+    """Windows to remove, a row of runs for each of the documents' partitions."""
+    doc, start, size = _runs(doc, at)
+    dest = (mix64(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(dest, kind="stable")
+    dest = dest[order]
+    cuts = np.r_[np.flatnonzero(np.r_[True, dest[1:] != dest[:-1]]), len(dest)].tolist() if len(dest) else [0]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        some = order[a:b]
+        yield (int(dest[a]), SETTLED, doc[some].tobytes(), start[some].tobytes(), size[some].tobytes(), None)
+
+
+def pack(batches: Iterable[pa.RecordBatch], k: int, m: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Super-k-mers of each slice, a row for each bucket, and the windows settled within the slice.
 
     Of equal windows in a slice only that of the smallest document travels, so a passage that
     very many documents share comes to its bucket once a slice.
     """
-    squeeze = zstandard.ZstdCompressor(level=1)
-    rows: dict[str, list] = {}
-
-    def put(*row) -> None:
-        for name, value in zip(("bucket", "docs", "starts", "words", "packed"), row, strict=True):
-            rows[name].append(value)
-
+    squeeze = zstandard.ZstdCompressor(level=3)
     for batch in slices(batches):
-        rows = {name: [] for name in ("bucket", "docs", "starts", "words", "packed")}
-        words: list[bytes] = []
-        ends, ids = [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = split_words(text)
-            if len(own) >= k:
-                words += own
-                ends.append(len(words))
-                ids.append(LAST if doc is None else doc)
-        if not words:
+        ids = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = read_words(batch.column(1).to_pylist())
+        if len(words.hashes) < k:
             continue
-        ends = np.array(ends)
-        begins = np.r_[0, ends[:-1]]
-        hashes = hash_words(words)
-        doc_at = np.repeat(np.array(ids, np.int64), ends - begins)
-        base = np.repeat(begins, ends - begins)
-        n = len(words) - k + 1
-        first, second = gram_hashes(hashes, k, 1), gram_hashes(hashes, k, 2)
-        whole = np.zeros(len(words) + 1, bool)
-        whole[:n] = True
-        for end in ends:  # windows don't reach into the next document
-            whole[max(0, end - k + 1) : end] = False
-        at = np.flatnonzero(whole[:n])
-        later = _later(first[at], second[at], doc_at[at])
-        doc, starts = _marks(doc_at[at[later]], (at - base[at])[later])
-        for i in range(0, len(doc), 4096):
-            lengths = np.array([len(x) for x in starts[i : i + 4096]], np.int32)
-            put(-1 - (int(doc[i]) * 31 + i) % n_buckets, np.array(doc[i : i + 4096], np.int64).tobytes(), b"".join(starts[i : i + 4096]), lengths.tobytes(), None)
-        at = at[~later]
+        doc_at = np.repeat(ids, words.counts)
+        base = np.repeat(np.cumsum(words.counts) - words.counts, words.counts)
+        n = len(doc_at) - k + 1
+        end = np.repeat(np.cumsum(words.counts), words.counts)
+        at = np.flatnonzero(np.arange(n) + k <= end[:n])  # windows don't reach into the next document
         if not len(at):
             continue
-        grams = gram_hashes(hashes, m, 3)
-        least = np.lib.stride_tricks.sliding_window_view(grams, k - m + 1)[at].min(axis=1)
-        new = np.ones(len(at), bool)
-        new[1:] = (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)
-        heads = np.flatnonzero(new)
-        count = np.diff(np.r_[heads, len(at)])
-        head = at[heads]
-        bucket = (mix64(least[heads]) % np.uint64(n_buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bucket, head, count = bucket[order], head[order], count[order]
-        strings = [b" ".join(words[a:b]) for a, b in zip(head.tolist(), (head + count + k - 1).tolist(), strict=True)]
-        cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)].tolist()
-        docs, offsets, size = doc_at[head], (head - base[head]).astype(np.int32), (count + k - 1).astype(np.int32)
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            put(int(bucket[a]), docs[a:b].tobytes(), offsets[a:b].tobytes(), size[a:b].tobytes(), squeeze.compress(b" ".join(strings[a:b])))
-        yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *[pa.array(rows[x], pa.binary()) for x in ("docs", "starts", "words", "packed")]], ["bucket", "docs", "starts", "words", "packed"])
-
-
-def settle(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """In the buckets of a partition: unpack the windows, sort them and mark those that a smaller document has too."""
+        later = _later(gram_hashes(words.hashes, k, 1)[at], gram_hashes(words.hashes, k, 2)[at], doc_at[at])
+        gone = at[later]
+        rows = list(_settled(doc_at[gone], gone - base[gone], parts))
+        at = at[~later]
+        if len(at):
+            grams = gram_hashes(words.hashes, m, 3)
+            least = np.lib.stride_tricks.sliding_window_view(grams, k - m + 1)[at].min(axis=1)
+            new = np.ones(len(at), bool)
+            new[1:] = (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)
+            heads = np.flatnonzero(new)
+            size = np.diff(np.r_[heads, len(at)]) + k - 1
+            head = at[heads]
+            bucket = (mix64(least[heads]) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket, head, size = bucket[order], head[order], size[order]
+            data = words.data
+            strings = [data[a:b] for a, b in zip(words.starts[head].tolist(), words.ends[head + size - 1].tolist(), strict=True)]
+            docs, offsets, size = doc_at[head], (head - base[head]).astype(np.int32), size.astype(np.int32)
+            cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)].tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                packed = squeeze.compress(b" ".join(strings[a:b]))
+                rows.append((int(bucket[a]), WINDOWS, docs[a:b].tobytes(), offsets[a:b].tobytes(), size[a:b].tobytes(), packed))
+        yield _batch(rows)
+
+
+def settle(batches: Iterable[pa.RecordBatch], k: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """In a bucket: unpack the windows, sort them and send off those that a smaller document has too."""
     unsqueeze = zstandard.ZstdDecompressor()
-    parts: list[tuple] = []
-
-    def out(docs: list[int], starts: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.binary())], ["doc_id", "starts"])
-
+    held: list[tuple] = []
     for batch in batches:
-        for bucket, docs, starts, size, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            docs, size = np.frombuffer(docs, np.int64), np.frombuffer(size, np.int32).astype(np.int64)
-            if bucket < 0:  # marks already
-                ends = np.cumsum(size)
-                yield out(docs.tolist(), [starts[e - n : e] for e, n in zip(ends.tolist(), size.tolist(), strict=True)])
+        rows = []
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if row[1] == SETTLED:
+                rows.append(row)
                 continue
-            hashes = hash_words(unsqueeze.decompress(packed).split(b" "))
+            docs, starts, size = np.frombuffer(row[2], np.int64), np.frombuffer(row[3], np.int32), np.frombuffer(row[4], np.int32).astype(np.int64)
+            data = unsqueeze.decompress(row[5])
+            hashes = hash_spans(data, *spans(data))
             count = size - (k - 1)
             inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             at = np.repeat(np.cumsum(size) - size, count) + inside
-            parts.append((gram_hashes(hashes, k, 1)[at], gram_hashes(hashes, k, 2)[at], np.repeat(docs, count), (np.repeat(np.frombuffer(starts, np.int32), count) + inside).astype(np.int32)))
-    if parts:
-        first, second, doc, starts = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        parts.clear()
+            held.append((gram_hashes(hashes, k, 1)[at], gram_hashes(hashes, k, 2)[at], np.repeat(docs, count), (np.repeat(starts, count) + inside).astype(np.int32)))
+        if rows:
+            yield _batch(rows)
+    if held:
+        first, second, doc, starts = (np.concatenate([p[i] for p in held]) for i in range(4))
+        held.clear()
         later = _later(first, second, doc)
-        docs, marks = _marks(doc[later], starts[later])
-        for i in range(0, len(docs), 10_000):
-            yield out(docs[i : i + 10_000], marks[i : i + 10_000])
+        rows = list(_settled(doc[later], starts[later].astype(np.int64), parts))
+        if rows:
+            yield _batch(rows)
+
+
+def merge_marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of each document of a partition, in one row."""
+    docs, starts, sizes = [], [], []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            docs.append(np.frombuffer(row[2], np.int64))
+            starts.append(np.frombuffer(row[3], np.int32))
+            sizes.append(np.frombuffer(row[4], np.int32))
+    if not docs:
+        return
+    doc, start, size = np.concatenate(docs), np.concatenate(starts), np.concatenate(sizes)
+    order = np.argsort(doc, kind="stable")
+    doc = doc[order]
+    pairs = np.stack([start[order], size[order]], axis=1)
+    cuts = np.r_[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]), len(doc)].tolist()
+    for i in range(0, len(cuts) - 1, 5000):
+        some = cuts[i : i + 5001]
+        runs = [pairs[a:b].tobytes() for a, b in zip(some[:-1], some[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[some[:-1]], pa.int64()), pa.array(runs, pa.binary())], ["doc_id", "runs"])
 
 
 def apply_marks(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, marks) -> doc_id, n_words, n_removed, kept: the words that no marked window covers."""
+    """(doc_id, text, runs) -> doc_id, n_words, n_removed, kept: the words that no marked window covers."""
     for batch in slices(batches):
-        rows: dict[str, list] = {"doc_id": batch.column(0).to_pylist(), "n_words": [], "n_removed": [], "kept": []}
-        for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        rows: dict[str, list] = {"n_words": [], "n_removed": [], "kept": []}
+        for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             words = split_words(text)
             removed = 0
-            if marks:
+            if runs:
+                start, size = np.frombuffer(runs, np.int32).reshape(-1, 2).T.astype(np.int64)
                 edges = np.zeros(len(words) + 1, np.int64)
-                starts = np.unique(np.frombuffer(b"".join(marks), np.int32))
-                starts = starts[starts + k <= len(words)]
-                np.add.at(edges, starts, 1)
-                np.add.at(edges, starts + k, -1)
+                np.add.at(edges, np.minimum(start, len(words)), 1)
+                np.add.at(edges, np.minimum(start + size - 1 + k, len(words)), -1)
                 keep = np.cumsum(edges[:-1]) == 0
                 removed = int(len(words) - keep.sum())
                 words = [words[i] for i in np.flatnonzero(keep).tolist()]
             rows["n_words"].append(len(words) + removed)
             rows["n_removed"].append(removed)
-            rows["kept"].append(b" ".join(words).decode("utf-8", "surrogatepass"))
-        yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), pa.array(rows["n_words"], pa.int64()), pa.array(rows["n_removed"], pa.int64()), pa.array(rows["kept"], pa.string())], list(rows))
+            rows["kept"].append(b" ".join(words).decode())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows["n_words"], pa.int64()), pa.array(rows["n_removed"], pa.int64()), pa.array(rows["kept"], pa.string())], ["doc_id", *rows])
 
 
 def dedup_substrings(docs: DataFrame, k: int = 13, m: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,11 +202,11 @@ def dedup_substrings(docs: DataFrame, k: int = 13, m: int = 4, key: str = "doc_i
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    packs = rows.mapInArrow(lambda it: pack(it, k, m, 8 * parts), PACK)
-    marks = packs.repartition(parts, "bucket").mapInArrow(lambda it: settle(it, k), MARKS)
-    by_doc = marks.groupBy("doc_id").agg(F.collect_list("starts").alias("marks"))
-    side = by_doc.withColumnRenamed("doc_id", "_doc").hint("shuffle_hash")
-    joined = rows.join(side, F.coalesce("doc_id", F.lit(LAST)) == F.col("_doc"), "left").select("doc_id", "text", "marks")
+    packs = rows.mapInArrow(lambda it: pack(it, k, m, parts), PACK)
+    settled = packs.repartitionById(parts, "dest").mapInArrow(lambda it: settle(it, k, parts), PACK)
+    marks = settled.repartitionById(parts, "dest").mapInArrow(merge_marks, "doc_id long, runs binary")
+    side = marks.withColumnRenamed("doc_id", "_doc").hint("shuffle_hash")
+    joined = rows.join(side, F.coalesce("doc_id", F.lit(LAST)) == F.col("_doc"), "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(lambda it: apply_marks(it, k), "doc_id long, n_words long, n_removed long, kept string")
 
 
