@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, neardup, substring_dedup, url_filter
+from . import bpe, media, mixing, neardup, secret_scan, substring_dedup, url_filter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": lambda spark, d: mixing.op2(table(spark, d, "documents")),
     "op3_minhash": lambda spark, d: neardup.op3(table(spark, d, "documents")),
     "op4_bpe": lambda spark, d: bpe.op4(table(spark, d, "documents")),
+    "op8_secret_scan": lambda spark, d: secret_scan.op8(table(spark, d, "documents")),
     "op10_substring_dedup": lambda spark, d: substring_dedup.op10(table(spark, d, "documents")),
+    "op5_ogg": lambda spark, d: media.op5(table(spark, d, "documents")),
+    "op7_warc": lambda spark, d: warc.op7(table(spark, d, "pages")),
     "op6_url_filter": lambda spark, d: url_filter.op6(table(spark, d, "pages")),
 }
 
-SQL: dict[str, str] = {"op2_mixing": mixing.OP2_SQL, "op6_url_filter": url_filter.OP6_SQL}
+SQL: dict[str, str] = {"op2_mixing": mixing.OP2_SQL, "op6_url_filter": url_filter.OP6_SQL, "op7_warc": warc.OP7_SQL}
