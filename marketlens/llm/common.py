@@ -50,3 +50,16 @@ def small_enough(df: DataFrame, max_rows: int, max_bytes: int) -> bool:
     per_row = sum(wide, F.lit(8 * len(df.columns)).cast("long"))
     row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(per_row), F.lit(0)).alias("b")).first()
     return row.n <= max_rows and row.b <= max_bytes
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, spread: str, how: str = "inner", salts: int = 64) -> DataFrame:
+    """rows joined with a table of one row per group, wherever a group may hold a third of all rows.
+
+    A checked small table is broadcast; beyond the bound each group is dealt to `salts` places
+    by the rows' column `spread`. groups should be checkpointed, as it is counted first.
+    """
+    if small_enough(groups, 20_000, 16 << 20):
+        return rows.join(F.broadcast(groups), key, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")

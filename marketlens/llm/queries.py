@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, neardup, secret_scan, substring_dedup, url_filter, warc
+from . import bpe, media, mixing, neardup, quality, secret_scan, substring_dedup, url_filter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": lambda spark, d: neardup.op3(table(spark, d, "documents")),
     "op4_bpe": lambda spark, d: bpe.op4(table(spark, d, "documents")),
     "op8_secret_scan": lambda spark, d: secret_scan.op8(table(spark, d, "documents")),
+    "op9_quality": lambda spark, d: quality.op9(table(spark, d, "documents")),
     "op10_substring_dedup": lambda spark, d: substring_dedup.op10(table(spark, d, "documents")),
     "op5_ogg": lambda spark, d: media.op5(table(spark, d, "documents")),
     "op7_warc": lambda spark, d: warc.op7(table(spark, d, "pages")),
