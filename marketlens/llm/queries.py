@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, neardup, quality, secret_scan, substring_dedup, url_filter, warc
+from . import bpe, lang_id, media, mixing, neardup, quality, secret_scan, substring_dedup, url_filter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lang_id": lambda spark, d: lang_id.op1(table(spark, d, "documents")),
     "op2_mixing": lambda spark, d: mixing.op2(table(spark, d, "documents")),
     "op3_minhash": lambda spark, d: neardup.op3(table(spark, d, "documents")),
     "op4_bpe": lambda spark, d: bpe.op4(table(spark, d, "documents")),
