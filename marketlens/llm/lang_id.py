@@ -224,26 +224,32 @@ def training_sample(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, words_per
     return [r.run for r in rows], [r.lang for r in rows]
 
 
-SCHEMA = "doc_id long, lang_pred string, score double, spans array<struct<first:int,words:int,lang:string>>"
+ADDED = {"lang_pred": "string", "score": "double", "spans": "array<struct<first:int,words:int,lang:string>>"}
 
 
-def label_documents(docs: DataFrame, model: Crf, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score and spans for every row of docs, from the text alone.
+def label_documents(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
+    """docs plus lang_pred, score and spans, from the text alone.
 
     spans: runs of words with the same likeliest label (the first word's place, how many, the label).
     lang_pred is the label with the largest mean posterior over the words that have a letter or a
     byte beyond ASCII, and score is that mean. A text that is null or has no letter is `und` with
-    score 0 and no spans, as is every text if the model has no labels. Repeated rows and null ids
-    keep a row each; other columns are left out, and an empty table gives an empty one.
+    score 0 and no spans, as is every text if the model has no labels. Repeated rows, null ids and
+    other columns pass through (columns of the three names are replaced), and an empty table gives an empty one.
     """
+    rest = [c for c in docs.columns if c not in ADDED]
+    docs = docs.select(*[F.col(f"`{c}`") for c in rest])
+    place = rest.index(text)
+    schema = docs.schema
+    for name, type_name in ADDED.items():
+        schema = schema.add(name, type_name)
     kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
     is_letter = np.zeros(256, bool)
     is_letter[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(model.labels, pa.string())
-        for batch in slices(batches):
-            texts = batch.column(1).to_pylist()
+        for batch in slices(batches, text):
+            texts = batch.column(place).to_pylist()
             lettered = [bool(model.labels) and t is not None and any(map(str.isalpha, t)) for t in texts]
             words = read_words([t if ok else None for t, ok in zip(texts, lettered, strict=True)], lower=True)
             preds, scores, spans, bounds = [], [], [], [0]
@@ -270,9 +276,9 @@ def label_documents(docs: DataFrame, model: Crf, key: str = "doc_id", text: str
                 bounds.append(bounds[-1] + len(heads))
             spans = np.concatenate(firsts, axis=1) if firsts else np.zeros((3, 0), np.int64)
             runs = pa.StructArray.from_arrays([pa.array(spans[0], pa.int32()), pa.array(spans[1], pa.int32()), names.take(pa.array(spans[2], pa.int64()))], fields=list(kind.value_type))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), runs)], ["doc_id", "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), runs)], [*rest, *ADDED])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(label, SCHEMA)
+    return docs.mapInArrow(label, schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -285,4 +291,4 @@ def fit_on(docs: DataFrame) -> Crf:
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    return label_documents(docs, fit_on(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return label_documents(docs.select("doc_id", "text"), fit_on(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -22,8 +22,10 @@ from .textops import U, gram_hashes, mix64, read_words, slices, split_words
 
 SHINGLE = 5
 BANDS, ROWS = 32, 8
-#: Groups of up to so many are settled inside one task; larger ones by rounds of pivots.
-TASK_GROUP = 64
+#: A pivot's partners, and the sides of a block of sketches that are compared inside one task.
+PARTNERS, BLOCK = 64, 1024
+#: Pairs whose sketches agree in less than this are not verified: a similarity of 0.85 is four standard errors above it.
+LEAST_ESTIMATE = 0.76
 _LOW = U((1 << 48) - 1)
 
 
@@ -67,15 +69,17 @@ def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch_rows(batches: Iterable[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> doc_id, size of the set, 128 bits of the set, band keys."""
+    """(doc_id, text) -> doc_id, size of the set, 128 bits of the set, band keys, and a byte of each coordinate."""
     for batch in slices(batches):
-        n, one, two, keys = [], [], [], []
+        n, one, two, keys, short = [], [], [], [], []
         for items in shingle_sets(batch.column(1).to_pylist()):
             n.append(len(items))
             one.append(int(mix64(items ^ U(0xA5A5)).sum(dtype=np.uint64).astype(np.int64)))
             two.append(int(mix64(items ^ U(0x5A5A5A)).sum(dtype=np.uint64).astype(np.int64)))
-            keys.append(band_keys(sketch(items, bands * rows), bands, rows) if len(items) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set1", "set2", "bands"])
+            values = sketch(items, bands * rows) if len(items) else None
+            keys.append(None if values is None else band_keys(values, bands, rows))
+            short.append(None if values is None else (mix64(values) >> U(56)).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["doc_id", "n_shingles", "set1", "set2", "bands", "sketch"])
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -97,10 +101,10 @@ def _with_text(needs: DataFrame, docs: DataFrame) -> DataFrame:
 def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(a, pivot) -> the pairs (a, b) that are linked, decided on full sets.
 
-    A pivot with many partners is sent to several places, with about TASK_GROUP of them each.
+    A pivot with many partners is sent to several places, with about PARTNERS of them each.
     """
     pairs = cut(pairs.distinct())
-    counts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(TASK_GROUP)).alias("_places"))
+    counts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(PARTNERS)).alias("_places"))
     dealt = cut(pairs.join(counts, "pivot").select("a", "pivot", F.pmod(F.xxhash64("a"), "_places").alias("place")))
     members = dealt.select(F.col("a").alias("doc"), "pivot", "place")
     pivots = dealt.select(F.col("pivot").alias("doc"), "pivot", "place").distinct()
@@ -117,83 +121,70 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return sent.groupBy("pivot", "place").applyInArrow(compare, "a long, b long")
 
 
-def settle_groups(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(bucket, doc, component) of small buckets -> links (a, b) that join their components."""
-    # the same documents often meet in several buckets
-    lists = members.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("doc", "component"))).alias("m"))
-    once = lists.groupBy(F.sha2(F.to_json("m"), 256).alias("bucket")).agg(F.first("m").alias("m"))
-    sent = _with_text(cut(once.select("bucket", F.explode("m").alias("m")).select("bucket", "m.doc", "m.component")), docs)
+def likely_pairs(members: DataFrame, percent: int, least: float) -> DataFrame:
+    """(bucket, doc, component, its, n_shingles, sketch) -> pairs (a, pivot) of different components whose sketches agree enough.
 
-    def settle(table: pa.Table) -> pa.Table:
-        ids = table.column("doc").to_pylist()
-        top = {c: c for c in table.column("component").to_pylist()}
-
-        def find(c: int) -> int:
-            while top[c] != c:
-                c = top[c]
-            return c
-
-        sets = list(shingle_sets(table.column("text").to_pylist()))
-        own = table.column("component").to_pylist()
-        a, b = [], []
-        for i in range(len(ids)):
-            for j in range(i):
-                x, y = find(own[i]), find(own[j])
-                if x != y and linked(sets[i], sets[j], percent):
-                    top[max(x, y)] = min(x, y)
-                    a.append(ids[i])
-                    b.append(ids[j])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return sent.groupBy("bucket").applyInArrow(settle, "a long, b long")
-
-
-def link_buckets(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(bucket, doc) -> (doc, component) for the documents that are linked with any other in their buckets.
+    its is the component of the bucket's pivot. Only documents outside it are held against
+    the whole bucket, in blocks; an over-full bucket is dealt to many tasks as pairs of blocks.
+    """
+    few = F.col("component") != F.col("its")
+    counts = members.groupBy("bucket").agg(F.ceil(F.count_if(few) / BLOCK).alias("rows"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("cols"))
+    dealt = members.join(counts, "bucket")
+    at = lambda n: F.pmod(F.xxhash64("doc"), n)
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    keep = ["bucket", "doc", "component", "n_shingles", "sketch"]
+    left = dealt.filter(few).select(*keep, at(F.col("rows")).alias("i"), span(F.col("cols")).alias("j"), F.lit(0).alias("side"))
+    right = dealt.select(*keep, span(F.col("rows")).alias("i"), at(F.col("cols")).alias("j"), F.lit(1).alias("side"))
 
-    In each round the buckets that are one component are done. The others' first documents in
-    hash order are pivots, and each is compared with every document of its bucket that is not
-    in its component; then it leaves, as all its pairs are known. Rounds take 1, 4, 16, ... pivots.
-    What is left of a bucket with up to TASK_GROUP documents is settled inside one task.
-    So no pair of a bucket whose link could join components is left out, whatever the size.
+    def compare(table: pa.Table) -> pa.Table:
+        side = np.asarray(table.column("side"))
+        doc, component, size = (np.asarray(table.column(c)) for c in ("doc", "component", "n_shingles"))
+        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(side), -1)
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        t = bits.shape[1]
+        enough = (least * 255 / 256 + 1 / 256) * t  # bytes of different coordinates agree by chance
+        across = np.ascontiguousarray(bits[y].T)
+        for k in range(0, len(x), 64):
+            rows = x[k : k + 64]
+            agree = np.zeros((len(rows), len(y)), np.uint16)
+            for c in range(t):
+                agree += bits[rows, c][:, None] == across[c][None, :]
+            near = (agree >= enough) & (component[rows][:, None] != component[y][None, :])
+            near &= 100 * np.minimum(size[rows][:, None], size[y][None, :]) >= percent * np.maximum(size[rows][:, None], size[y][None, :])
+            i, j = np.nonzero(near)
+            out_a.append(doc[y[j]])
+            out_b.append(doc[rows[i]])
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        return pa.table({"a": pa.array(np.minimum(a, b)), "pivot": pa.array(np.maximum(a, b))})
+
+    return left.union(right).groupBy("bucket", "i", "j").applyInArrow(compare, "a long, pivot long")
+
+
+def link_buckets(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(bucket, doc) -> (node, component) for the documents that are linked with any other in their buckets.
+
+    First each bucket's pivot is compared with all its documents. The pivot is the document that
+    shares most places in buckets with others, so it is near the middle of its group, and the
+    same one in most of the group's buckets. What that links is one component. Buckets that hold more
+    than one component are gone through once more: every pair across components whose
+    sketches agree enough is verified on full sets, so only pairs that can't join anything are left out.
     """
-    links: DataFrame | None = None
-    components: DataFrame | None = None
-    n_pivots = 1
-    while True:
-        if components is None:
-            known = members.withColumn("component", F.col("doc"))
-        else:
-            side = components.select(F.col("node").alias("doc"), "component")
-            known = members.join(side, "doc", "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
-        state = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
-        known = cut(known.join(state.filter("lo <> hi").select("bucket", "n"), "bucket"))
-        if known.isEmpty():
-            break
-        new = []
-        if n_pivots > 1:
-            new.append(settle_groups(known.filter(F.col("n") <= TASK_GROUP).drop("n"), docs, percent))
-            known = known.filter(F.col("n") > TASK_GROUP)
-        ranked = known.select("bucket", F.struct(F.xxhash64("doc"), "doc", "component").alias("p"))
-        # the first few of each bucket, found by one combined aggregation a time
-        pivots = ranked.groupBy("bucket").agg(F.min("p").alias("p")) if n_pivots == 1 else first_few(ranked, n_pivots)
-        pivots = cut(pivots.select("bucket", F.col("p.doc").alias("pivot"), F.col("p.component").alias("its")))
-        pairs = known.join(pivots, "bucket").filter("component <> its").select(F.col("doc").alias("a"), "pivot")
-        new.append(verify(pairs, docs, percent))
-        rest = known.select("bucket", "doc").join(pivots.select("bucket", F.col("pivot").alias("doc")), ["bucket", "doc"], "left_anti")
-        fresh = cut(new[0].union(new[1]) if len(new) == 2 else new[0])
-        links = fresh if links is None else links.union(fresh)
-        components = connected_components(links)
-        members = cut(rest)
-        n_pivots *= 4
-    return components if components is not None else members.select(F.col("doc").alias("node"), F.col("doc").alias("component")).limit(0)
-
-
-def first_few(ranked: DataFrame, n: int) -> DataFrame:
-    """Up to n rows with the least p in each bucket; Spark limits the groups before it shuffles them."""
-    from pyspark.sql import Window
-
-    return ranked.withColumn("_r", F.row_number().over(Window.partitionBy("bucket").orderBy("p"))).filter(F.col("_r") <= n).drop("_r")
+    counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    popular = members.join(counts, "bucket").groupBy("doc").agg(F.sum("n").alias("places"))
+    ranked = members.join(popular, "doc").select("bucket", "doc", F.struct(-F.col("places"), F.col("doc").alias("doc")).alias("p"))
+    pivots = cut(ranked.groupBy("bucket").agg(F.min("p").alias("p")).select("bucket", F.col("p.doc").alias("pivot")))
+    stars = members.join(pivots, "bucket").filter("doc <> pivot").select(F.col("doc").alias("a"), "pivot")
+    links = cut(verify(stars, docs, percent))
+    components = connected_components(links)
+
+    of = components.select(F.col("node").alias("doc"), "component")
+    known = members.join(of, "doc", "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
+    state = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
+    its = pivots.join(of.withColumnRenamed("doc", "pivot"), "pivot", "left").select("bucket", F.coalesce("component", "pivot").alias("its"))
+    rest = known.join(state.join(its, "bucket"), "bucket").join(classes.select("doc", "n_shingles", "sketch"), "doc")
+    more = cut(verify(likely_pairs(rest, percent, LEAST_ESTIMATE), docs, percent))
+    return components if more.isEmpty() else connected_components(links.union(more))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -207,16 +198,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     links use the texts of all of them. Other columns are left out; an empty table gives an empty one.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>"
+    schema = "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, sketch binary"
     sketches = cut(docs.mapInArrow(lambda it: sketch_rows(it, bands, rows), schema))
     sets = ["n_shingles", "set1", "set2"]
     some = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # equal sets are one class; only its first document goes on
-    classes = cut(some.groupBy(*sets).agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands")))
+    classes = cut(some.groupBy(*sets).agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     spread = classes.select("doc", F.posexplode("bands").alias("band", "k")).select(F.xxhash64("band", "k").alias("bucket"), "doc")
     shared = spread.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo <> hi").select("bucket")
     members = cut(spread.join(shared, "bucket").distinct())
-    components = link_buckets(members, docs, percent)
+    components = link_buckets(members, classes, docs, percent)
     final = classes.join(components, F.col("doc") == F.col("node"), "left").select(*sets, F.coalesce("component", "doc").alias("class_id"))
     found = sketches.join(final, sets, "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id"))
