@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import GAP
 from .textops import U, Words, mix64, read_words, slices
@@ -224,7 +225,8 @@ def training_sample(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, words_per
     return [r.run for r in rows], [r.lang for r in rows]
 
 
-ADDED = {"lang_pred": "string", "score": "double", "spans": "array<struct<first:int,words:int,lang:string>>"}
+_SPAN = T.StructType().add("first", "integer").add("words", "integer").add("lang", "string")
+ADDED = T.StructType().add("lang_pred", "string").add("score", "double").add("spans", T.ArrayType(_SPAN))
 
 
 def label_documents(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
@@ -236,12 +238,10 @@ def label_documents(docs: DataFrame, model: Crf, text: str = "text") -> DataFram
     score 0 and no spans, as is every text if the model has no labels. Repeated rows, null ids and
     other columns pass through (columns of the three names are replaced), and an empty table gives an empty one.
     """
-    rest = [c for c in docs.columns if c not in ADDED]
+    rest = [c for c in docs.columns if c not in ADDED.names]
     docs = docs.select(*[F.col(f"`{c}`") for c in rest])
     place = rest.index(text)
-    schema = docs.schema
-    for name, type_name in ADDED.items():
-        schema = schema.add(name, type_name)
+    schema = T.StructType([*docs.schema.fields, *ADDED])
     kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
     is_letter = np.zeros(256, bool)
     is_letter[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -276,7 +276,7 @@ def label_documents(docs: DataFrame, model: Crf, text: str = "text") -> DataFram
                 bounds.append(bounds[-1] + len(heads))
             spans = np.concatenate(firsts, axis=1) if firsts else np.zeros((3, 0), np.int64)
             runs = pa.StructArray.from_arrays([pa.array(spans[0], pa.int32()), pa.array(spans[1], pa.int32()), names.take(pa.array(spans[2], pa.int64()))], fields=list(kind.value_type))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), runs)], [*rest, *ADDED])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), runs)], [*rest, *ADDED.names])
 
     return docs.mapInArrow(label, schema)
 
