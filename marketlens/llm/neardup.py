@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_groups
 from .components import connected_components
 from .textops import U, gram_hashes, mix64, read_words, slices, split_words
 
@@ -24,6 +24,8 @@ SHINGLE = 5
 BANDS, ROWS = 32, 8
 #: A pivot's partners, and the sides of a block of sketches that are compared inside one task.
 PARTNERS, BLOCK = 64, 1024
+#: A block's side is smaller where its documents are long: about so many shingles.
+BLOCK_SHINGLES = 1_000_000
 #: Pairs whose sketches agree in less than this are not verified: a similarity of 0.85 is four standard errors above it.
 LEAST_ESTIMATE = 0.76
 _LOW = U((1 << 48) - 1)
@@ -104,8 +106,9 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     A pivot with many partners is sent to several places, with about PARTNERS of them each.
     """
     pairs = cut(pairs.distinct())
-    counts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(PARTNERS)).alias("_places"))
-    dealt = cut(pairs.join(counts, "pivot").select("a", "pivot", F.pmod(F.xxhash64("a"), "_places").alias("place")))
+    crowded = cut(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(PARTNERS)).alias("_places")).filter("_places > 1"))
+    place = F.coalesce(F.pmod(F.xxhash64("a"), "_places"), F.lit(0).cast("long"))
+    dealt = cut(join_groups(pairs, crowded, "pivot", "a", "left").select("a", "pivot", place.alias("place")))
     members = dealt.select(F.col("a").alias("doc"), "pivot", "place")
     pivots = dealt.select(F.col("pivot").alias("doc"), "pivot", "place").distinct()
     sent = _with_text(members.union(pivots), docs).select("doc", "pivot", "place", "text")
@@ -121,44 +124,91 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return sent.groupBy("pivot", "place").applyInArrow(compare, "a long, b long")
 
 
-def likely_pairs(members: DataFrame, percent: int, least: float) -> DataFrame:
-    """(bucket, doc, component, its, n_shingles, sketch) -> pairs (a, pivot) of different components whose sketches agree enough.
+def in_blocks(members: DataFrame, *columns: str) -> DataFrame:
+    """(bucket, doc, component, its, n_shingles, columns) -> sides 0 and 1 of blocks (bucket, i, j).
 
-    its is the component of the bucket's pivot. Only documents outside it are held against
-    the whole bucket, in blocks; an over-full bucket is dealt to many tasks as pairs of blocks.
+    its is the component of the bucket's pivot. Only documents outside it (side 0) are held against
+    the whole bucket (side 1); an over-full bucket is dealt to many tasks as pairs of blocks.
     """
     few = F.col("component") != F.col("its")
-    counts = members.groupBy("bucket").agg(F.ceil(F.count_if(few) / BLOCK).alias("rows"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("cols"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES))
+    size = F.col("n_shingles")
+    counts = members.groupBy("bucket").agg(
+        blocks(F.count_if(few), F.sum(F.when(few, size))).alias("rows"), blocks(F.count(F.lit(1)), F.sum(size)).alias("cols")
+    )
     dealt = members.join(counts, "bucket")
     at = lambda n: F.pmod(F.xxhash64("doc"), n)
     span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    keep = ["bucket", "doc", "component", "n_shingles", "sketch"]
+    keep = ["bucket", "doc", "component", "n_shingles", *columns]
     left = dealt.filter(few).select(*keep, at(F.col("rows")).alias("i"), span(F.col("cols")).alias("j"), F.lit(0).alias("side"))
     right = dealt.select(*keep, span(F.col("rows")).alias("i"), at(F.col("cols")).alias("j"), F.lit(1).alias("side"))
+    return left.union(right)
+
+
+def agreeing(table: pa.Table, percent: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a block's rows (of side 0 and side 1) in different components whose sketches agree enough, and in how much."""
+    side = np.asarray(table.column("side"))
+    component, size = np.asarray(table.column("component")), np.asarray(table.column("n_shingles"))
+    bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(side), -1)
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    t = bits.shape[1]
+    enough = (least * 255 / 256 + 1 / 256) * t  # bytes of different coordinates agree by chance
+    across = np.ascontiguousarray(bits[y].T)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16))]
+    for k in range(0, len(x), 64):
+        rows = x[k : k + 64]
+        agree = np.zeros((len(rows), len(y)), np.uint16)
+        for c in range(t):
+            agree += bits[rows, c][:, None] == across[c][None, :]
+        near = (agree >= enough) & (component[rows][:, None] != component[y][None, :])
+        near &= 100 * np.minimum(size[rows][:, None], size[y][None, :]) >= percent * np.maximum(size[rows][:, None], size[y][None, :])
+        i, j = np.nonzero(near)
+        found.append((rows[i], y[j], agree[i, j]))
+    a, b, n = (np.concatenate(c) for c in zip(*found, strict=True))
+    return a, b, n
+
+
+def undecided(members: DataFrame, percent: int, least: float) -> DataFrame:
+    """The (bucket, doc) of documents whose sketch agrees enough with one of another component in the bucket."""
 
     def compare(table: pa.Table) -> pa.Table:
-        side = np.asarray(table.column("side"))
-        doc, component, size = (np.asarray(table.column(c)) for c in ("doc", "component", "n_shingles"))
-        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(side), -1)
-        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        t = bits.shape[1]
-        enough = (least * 255 / 256 + 1 / 256) * t  # bytes of different coordinates agree by chance
-        across = np.ascontiguousarray(bits[y].T)
-        for k in range(0, len(x), 64):
-            rows = x[k : k + 64]
-            agree = np.zeros((len(rows), len(y)), np.uint16)
-            for c in range(t):
-                agree += bits[rows, c][:, None] == across[c][None, :]
-            near = (agree >= enough) & (component[rows][:, None] != component[y][None, :])
-            near &= 100 * np.minimum(size[rows][:, None], size[y][None, :]) >= percent * np.maximum(size[rows][:, None], size[y][None, :])
-            i, j = np.nonzero(near)
-            out_a.append(doc[y[j]])
-            out_b.append(doc[rows[i]])
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return pa.table({"a": pa.array(np.minimum(a, b)), "pivot": pa.array(np.maximum(a, b))})
-
-    return left.union(right).groupBy("bucket", "i", "j").applyInArrow(compare, "a long, pivot long")
+        a, b, _ = agreeing(table, percent, least)
+        doc = np.unique(np.asarray(table.column("doc"))[np.concatenate([a, b])])
+        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()] * len(doc), pa.int64()), "doc": pa.array(doc)})
+
+    return in_blocks(members, "sketch").groupBy("bucket", "i", "j").applyInArrow(compare, "bucket long, doc long").distinct()
+
+
+def joining_links(members: DataFrame, docs: DataFrame, percent: int, least: float) -> DataFrame:
+    """Links (a, b) that join the components of each block as far as any of its pairs does.
+
+    Every pair across components whose sketches agree enough is decided on full sets, the likeliest
+    first, and left out only once its components are known to be joined; so a block gives
+    fewer links than it has documents.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        doc, component = table.column("doc").to_pylist(), table.column("component").to_pylist()
+        sets = list(shingle_sets(table.column("text").to_pylist()))
+        top: dict[int, int] = {c: c for c in component}
+
+        def find(c: int) -> int:
+            while top[c] != c:
+                top[c] = c = top[top[c]]
+            return c
+
+        a, b, n = agreeing(table, percent, least)
+        order = np.argsort(-n.astype(np.int32), kind="stable")
+        links = []
+        for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+            p, q = find(component[x]), find(component[y])
+            if p != q and linked(sets[x], sets[y], percent):
+                top[max(p, q)] = min(p, q)
+                links.append((doc[x], doc[y]))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    sent = _with_text(in_blocks(members, "sketch"), docs)
+    return sent.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def link_buckets(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -167,8 +217,8 @@ def link_buckets(members: DataFrame, classes: DataFrame, docs: DataFrame, percen
     First each bucket's pivot is compared with all its documents. The pivot is the document that
     shares most places in buckets with others, so it is near the middle of its group, and the
     same one in most of the group's buckets. What that links is one component. Buckets that hold more
-    than one component are gone through once more: every pair across components whose
-    sketches agree enough is verified on full sets, so only pairs that can't join anything are left out.
+    than one component are gone through once more, by sketches alone, for the documents that may be
+    linked across components; only those travel with their texts and are decided on full sets.
     """
     counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     popular = members.join(counts, "bucket").groupBy("doc").agg(F.sum("n").alias("places"))
@@ -182,8 +232,9 @@ def link_buckets(members: DataFrame, classes: DataFrame, docs: DataFrame, percen
     known = members.join(of, "doc", "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
     state = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
     its = pivots.join(of.withColumnRenamed("doc", "pivot"), "pivot", "left").select("bucket", F.coalesce("component", "pivot").alias("its"))
-    rest = known.join(state.join(its, "bucket"), "bucket").join(classes.select("doc", "n_shingles", "sketch"), "doc")
-    more = cut(verify(likely_pairs(rest, percent, LEAST_ESTIMATE), docs, percent))
+    rest = cut(known.join(state.join(its, "bucket"), "bucket").join(classes.select("doc", "n_shingles", "sketch"), "doc"))
+    open_ones = cut(undecided(rest, percent, LEAST_ESTIMATE))
+    more = cut(joining_links(rest.join(open_ones, ["bucket", "doc"]), docs, percent, LEAST_ESTIMATE))
     return components if more.isEmpty() else connected_components(links.union(more))
 
 
