@@ -17,9 +17,10 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A block holds about so many words, or one document.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 250_000
 PACK = "dest int, block long, kind int, bucket int, a binary, b binary, c binary"
 _NAMES = ["dest", "block", "kind", "bucket", "a", "b", "c"]
 _TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -167,12 +168,16 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
     Null and empty texts have no ids. Repeated rows and null ids keep a row each; other columns
     are left out, and an empty table gives an empty one.
     """
+    return _ordered_packs(docs, path, key, text).mapInArrow(join_positions, "doc_id long, ids binary")
+
+
+def _ordered_packs(docs: DataFrame, path: str | None, key: str, text: str) -> DataFrame:
+    """The ids of each block's words before the block's positions."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = docs.select(F.col(key).cast("long").alias("doc_id"), F.split(F.coalesce(text, F.lit("")), CUT).alias("pieces"))
     packs = pieces.mapInArrow(lambda it: request(it, 4 * parts), PACK)
     coded = packs.repartition(parts, "dest").mapInArrow(lambda it: encode_words(it, path), PACK)
-    ordered = coded.repartition(parts, "block").sortWithinPartitions("block", "kind", "bucket")
-    return ordered.mapInArrow(join_positions, "doc_id long, ids binary")
+    return coded.repartition(parts, "block").sortWithinPartitions("block", "kind", "bucket")
 
 
 def vocabulary(path: str | None = None) -> pa.Array:
@@ -191,29 +196,36 @@ def vocabulary(path: str | None = None) -> pa.Array:
     return pa.array(pieces, pa.binary())
 
 
+def decode_batches(batches: Iterable[pa.RecordBatch], pieces: pa.Array, ids: str) -> Iterator[pa.RecordBatch]:
+    """The batches with a column `decoded`: each id is joined with its piece."""
+    for whole in batches:
+        place = whole.schema.get_field_index(ids)
+        for i in range(0, len(whole), 500):
+            batch = whole.slice(i, 500)
+            rows = [x or b"" for x in batch.column(place).to_pylist()]
+            found = pieces.take(pa.array(np.frombuffer(b"".join(rows), np.uint32)))
+            offsets, data = _buffers(found)
+            ends = offsets[np.cumsum([len(x) // 4 for x in rows])].tolist()
+            texts = [str(data[a:b], "utf-8", "replace") for a, b in zip([int(offsets[0]), *ends[:-1]], ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+
+
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
     """encoded with a column `decoded`: the text of ids, special tokens included. Null ids give an empty text."""
-    rest = [c for c in encoded.columns if c != "decoded"]
-    fields = encoded.select(*[F.col(f"`{c}`") for c in rest]).schema
+    rest = encoded.select(*[F.col(f"`{c}`") for c in encoded.columns if c != "decoded"])
     pieces = vocabulary(path)
-    place = rest.index(ids)
+    return rest.mapInArrow(lambda it: decode_batches(it, pieces, ids), T.StructType([*rest.schema.fields]).add("decoded", "string"))
 
-    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, len(whole), 500):
-                batch = whole.slice(i, 500)
-                rows = [x or b"" for x in batch.column(place).to_pylist()]
-                found = pieces.take(pa.array(np.frombuffer(b"".join(rows), np.uint32)))
-                offsets, data = _buffers(found)
-                ends = offsets[np.cumsum([len(x) // 4 for x in rows])].tolist()
-                texts = [str(data[a:b], "utf-8", "replace") for a, b in zip([int(offsets[0]), *ends[:-1]], ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*rest, "decoded"])
 
-    return encoded.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(join, fields.add("decoded", "string"))
+def round_trip(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """decode(encode(docs)) with both ends in one Python worker, which halves the workers that a task holds."""
+    pieces = vocabulary(path)
+    coded = _ordered_packs(docs, path, key, text)
+    return coded.mapInArrow(lambda it: decode_batches(join_positions(it), pieces, "ids"), "doc_id long, ids binary, decoded string")
 
 
 def op4(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return decode(encode(docs, path), path).select(
+    return round_trip(docs, path).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
