@@ -1,33 +1,36 @@
 """BPE encoding through a table of distinct words, and decoding through an id-to-piece join.
 
-Texts are split in Spark at places that no token crosses. A block of documents sends each of
+Tasks split their texts at places that no token crosses. A block of documents sends each of
 its distinct words to the word's partition, where every distinct word of the corpus is encoded
 once; the ids come back to the block and are joined to its word positions. A block sends a word
 once however often it holds it, so neither a common word nor a long text makes a large group.
+The positions are worked out a second time instead of travelling with the words.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A block holds about so many words, or one document.
-BLOCK_WORDS = 250_000
-PACK = "dest int, block long, kind int, bucket int, a binary, b binary, c binary"
-_NAMES = ["dest", "block", "kind", "bucket", "a", "b", "c"]
-_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-REQUEST, IDS, POSITIONS = 0, 1, 2
-#: A cut stands before ASCII white space that follows no white space of any kind: tokens take
-#: white space to their front, or are nothing else, so none reaches over such a place.
-CUT = r"(?<![\x09-\x0D\x1C-\x20\x85\xA0 ᠎ -​    ⁠　﻿])(?=[\x09-\x0D\x20])"
+from .textops import hash_spans, slices
+
+#: A block holds about so many bytes of text, or one document.
+BLOCK_BYTES = 12 << 20
+WORDS = pa.schema([("dest", pa.int32()), ("block", pa.int64()), ("lengths", pa.binary()), ("data", pa.binary())])
+POSITIONS = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("index", pa.binary())])
+WORDS_DDL, POSITIONS_DDL = "dest int, block long, lengths binary, data binary", "block long, docs binary, index binary"
+#: White space beyond ASCII that a token may hold together with ASCII white space, as UTF-8.
+_SPACES = [c.encode() for c in "\u0085\u00a0\u1680\u180e" + "".join(map(chr, range(0x2000, 0x200C))) + "\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"]
 
 
 def load_tokenizer(path: str | None):
@@ -57,10 +60,6 @@ def _expand(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
-
-
 def _buffers(strings: pa.Array) -> tuple[np.ndarray, memoryview]:
     """Offsets and bytes of a string array."""
     strings = strings.cast(pa.large_binary())
@@ -68,96 +67,130 @@ def _buffers(strings: pa.Array) -> tuple[np.ndarray, memoryview]:
     return offsets, memoryview(strings.buffers()[2] or b"")
 
 
-def request(batches: Iterable[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, pieces) -> a row of word positions for each block, and a row of distinct words for each of its buckets."""
-    for batch in batches:
-        pieces = batch.column(1)
-        ends = np.asarray(pieces.offsets)[1:] - pieces.offsets[0].as_py()
-        start = 0
-        while start < len(batch):
-            before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + BLOCK_WORDS, "right")))
-            own = batch.slice(start, stop - start)
-            counts = np.diff(np.r_[before, ends[start:stop]]).astype(np.int64)
-            start = stop
-            table = own.column(1).flatten().dictionary_encode()
-            index = np.asarray(table.indices).astype(np.uint32)
-            offsets, data = _buffers(table.dictionary)
-            words = [bytes(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % n_buckets for w in words), np.uint32, len(words))
-            ids = own.column(0)
-            known = np.asarray(ids.is_valid()).astype(np.int64)
-            docs = np.stack([np.asarray(ids.fill_null(0)), known, counts]).astype(np.int64)
-            first, second, third = _squeeze(index), _squeeze(bucket), zstandard.compress(docs.tobytes(), 1)
-            block = int(np.uint64(xxhash.xxh3_64_intdigest(first + second + third)).astype(np.int64))
-            rows = [((block & 0x7FFFFFFF) % n_buckets, block, POSITIONS, -1, first, second, third)]
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]), len(order)].tolist()
-            order = order.tolist()
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                some = [words[i] for i in order[a:b]]
-                lengths = np.fromiter(map(len, some), np.uint32, len(some))
-                dest = int(bucket[order[a]])
-                rows.append((dest, block, REQUEST, dest, _squeeze(lengths), zstandard.compress(b"".join(some), 1), None))
-            yield _batch(rows)
-
+def cuts(raw: np.ndarray) -> np.ndarray:
+    """Where a text can be cut: before ASCII white space that follows no white space of any kind.
 
-def encode_words(batches: Iterable[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
-    """Requests become ids; each distinct word of the partition is encoded once. Positions pass."""
-    tokenizer = load_tokenizer(path)
-    table: dict[str, bytes] = {}
-    for batch in batches:
+    Tokens take white space to their front, or are nothing else, so none reaches over such a place.
+    """
+    ascii_space = ((raw >= 0x09) & (raw <= 0x0D)) | (raw == 0x20)
+    at = np.flatnonzero(ascii_space)
+    at = at[at > 0]
+    before = raw[at - 1]
+    at = at[~(ascii_space[at - 1] | ((before >= 0x1C) & (before <= 0x1F)))]
+    for space in _SPACES:
+        n = len(space)
+        hit = at >= n
+        for k, byte in enumerate(space):
+            hit &= raw[np.maximum(at - n + k, 0)] == byte
+        at = at[~hit]
+    return at
+
+
+@dataclass
+class Block:
+    """Documents of a batch: their ids, and their pieces as places in a list of distinct words by bucket and bytes."""
+
+    name: int
+    docs: np.ndarray
+    index: np.ndarray
+    words: pa.Array
+    bucket: np.ndarray
+
+
+def blocks(batches: Iterable[pa.RecordBatch], n_buckets: int) -> Iterator[Block]:
+    """(doc_id, text) -> blocks, the same ones in every run over the same batches."""
+    for batch in slices(batches, "text", BLOCK_BYTES):
+        offsets, data = _buffers(batch.column(1))
+        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        ids = batch.column(0)
+        marks = np.unique(np.concatenate([offsets, cuts(raw)]))
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(marks) - 1, [None, pa.py_buffer(marks.astype(np.int64).tobytes()), pa.py_buffer(raw)]) if len(raw) else pa.array([], pa.large_binary())
+        counts = np.diff(np.searchsorted(marks, offsets))
+        docs = np.stack([np.asarray(ids.fill_null(0)), np.asarray(ids.is_valid()), counts]).astype(np.int64)
+        coded = pieces.dictionary_encode()
+        at, held = _buffers(coded.dictionary)
+        order = np.asarray(pc.array_sort_indices(coded.dictionary)).astype(np.int64)  # neighbours share their heads and compress well
+        bucket = (hash_spans(bytes(held), at[:-1], at[1:]) % np.uint64(n_buckets)).astype(np.int64)
+        order = order[np.argsort(bucket[order], kind="stable")]
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        name = xxhash.xxh3_64(docs.tobytes())
+        name.update(raw)
+        yield Block(int(np.uint64(name.intdigest()).astype(np.int64)), docs, place[np.asarray(coded.indices)], coded.dictionary.take(pa.array(order)), bucket[order])
+
+
+def send_words(batches: Iterable[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row of distinct words for each of a block's buckets."""
+    for block in blocks(batches, n_buckets):
+        offsets, data = _buffers(block.words)
+        heads = np.r_[np.flatnonzero(np.diff(block.bucket, prepend=-1)), len(block.bucket)].tolist()
         rows = []
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            dest, block, kind, bucket, a, b, _ = row
-            if kind == REQUEST:
-                ends = np.cumsum(_expand(a, np.uint32)).tolist()
-                data = zstandard.decompress(b)
-                words = [data[s:e].decode("utf-8") for s, e in zip([0, *ends[:-1]], ends, strict=True)]
-                new = [w for w in words if w not in table]
-                for w, found in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    table[w] = np.array(found.ids, np.uint32).tobytes()
-                ids = [table[w] for w in words]
-                lengths = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
-                row = (dest, block, IDS, bucket, _squeeze(lengths), _squeeze(np.frombuffer(b"".join(ids), np.uint32)), None)
-            rows.append(row)
-            if len(rows) >= 256:
-                yield _batch(rows)
-                rows = []
+        for a, b in zip(heads[:-1], heads[1:], strict=True):
+            lengths = np.diff(offsets[a : b + 1]).astype(np.uint32)
+            rows.append((int(block.bucket[a]), block.name, _squeeze(lengths), zstandard.compress(bytes(data[offsets[a] : offsets[b]]), 3)))
         if rows:
-            yield _batch(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), WORDS, strict=True)], schema=WORDS)
 
 
-def join_positions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of block, kind and bucket -> (doc_id, ids); ids are little-endian unsigned 32-bit integers."""
-    waiting: list[tuple[np.ndarray, np.ndarray]] = []
-    held = None
+def send_positions(batches: Iterable[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row for each block: its documents, and the place of each piece among its distinct words."""
+    for block in blocks(batches, n_buckets):
+        row = ([block.name], [zstandard.compress(block.docs.tobytes(), 3)], [_squeeze(block.index)])
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, POSITIONS, strict=True)], schema=POSITIONS)
+
+
+def encode_words(batches: Iterable[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
+    """Rows of words become rows of ids; each distinct word of the partition is encoded once."""
+    tokenizer = load_tokenizer(path)
+    table: dict[bytes, bytes] = {}
     for batch in batches:
-        for _, block, kind, _, a, b, c in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-            if block != held:
-                waiting, held = [], block
-            if kind == IDS:
-                waiting.append((_expand(a, np.uint32), _expand(b, np.uint32)))
-                continue
-            index, bucket = _expand(a, np.uint32), _expand(b, np.uint32)
-            docs, known, counts = np.frombuffer(zstandard.decompress(c), np.int64).reshape(3, -1)
-            lengths = np.concatenate([x[0] for x in waiting]) if waiting else np.zeros(0, np.uint32)
-            if len(lengths) != len(bucket):
-                raise RuntimeError("a block has not got the ids of all its words: its input came in another order in a second attempt")
-            place = np.empty(len(bucket), np.int64)
-            place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
-            ids = pa.array(np.concatenate([x[1] for x in waiting]) if waiting else np.zeros(0, np.uint32))
-            table = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(lengths, dtype=np.int64)], ids)
-            at = place[index]
-            flat = np.asarray(table.take(pa.array(at)).flatten())
-            ends = np.r_[0, np.cumsum(lengths[at], dtype=np.int64)][np.cumsum(counts)] * 4
-            data = memoryview(flat).cast("B")
-            starts = [0, *ends[:-1].tolist()]
-            out = [bytes(data[s:e]) for s, e in zip(starts, ends.tolist(), strict=True)]
-            for i in range(0, len(out), 1000):  # a batch of moderate size
-                doc = pa.array(docs[i : i + 1000], mask=known[i : i + 1000] == 0)
-                yield pa.RecordBatch.from_arrays([doc, pa.array(out[i : i + 1000], pa.binary())], ["doc_id", "ids"])
-            waiting = []
+        for i in range(len(batch)):
+            dest, block, lengths, data = (c[i].as_py() for c in batch.columns)
+            ends = np.cumsum(_expand(lengths, np.uint32)).tolist()
+            data = zstandard.decompress(data)
+            words = [data[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+            new = [w for w in words if w not in table]
+            for w, found in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+                table[w] = np.array(found.ids, np.uint32).tobytes()
+            ids = [table[w] for w in words]
+            sizes = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
+            row = ([dest], [block], [_squeeze(sizes)], [_squeeze(np.frombuffer(b"".join(ids), np.uint32))])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, WORDS, strict=True)], schema=WORDS)
+
+
+def join_positions(positions: pa.Table, words: pa.Table) -> pa.Table:
+    """A block's positions and the ids of its words -> (doc_id, ids); ids are little-endian unsigned 32-bit integers.
+
+    Blocks of equal rows have one name; their words are the same, and each has its own positions.
+    """
+    rows = {d: (a, b) for d, a, b in zip(*(words.column(c).to_pylist() for c in ("dest", "lengths", "data")), strict=True)}
+    parts = [rows[d] for d in sorted(rows)]
+    lengths = np.concatenate([_expand(a, np.uint32) for a, _ in parts]) if parts else np.zeros(0, np.uint32)
+    ids = np.concatenate([_expand(b, np.uint32) for _, b in parts]) if parts else np.zeros(0, np.uint32)
+    table = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(lengths, dtype=np.int64)], pa.array(ids))
+    doc, out = [], []
+    for packed, index in zip(positions.column("docs").to_pylist(), positions.column("index").to_pylist(), strict=True):
+        docs, known, counts = np.frombuffer(zstandard.decompress(packed), np.int64).reshape(3, -1)
+        at = _expand(index, np.uint32)
+        if len(at) and int(at.max()) >= len(lengths):
+            raise RuntimeError("a block has not got the ids of all its words: its input came in another order in a second attempt")
+        data = memoryview(np.asarray(table.take(pa.array(at)).flatten())).cast("B")
+        ends = (np.r_[0, np.cumsum(lengths[at], dtype=np.int64)][np.cumsum(counts)] * 4).tolist()
+        doc.append(pa.array(docs, mask=known == 0))
+        out += [bytes(data[s:e]) for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+    return pa.table({"doc_id": pa.chunked_array(doc, pa.int64()), "ids": pa.array(out, pa.binary())})
+
+
+def _joined(docs: DataFrame, path: str | None, key: str, text: str, finish, schema: str) -> DataFrame:
+    """finish over the table (doc_id, ids) of each block."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    words = rows.mapInArrow(lambda it: send_words(it, parts), WORDS_DDL)
+    coded = words.repartitionById(parts, "dest").mapInArrow(lambda it: encode_words(it, path), WORDS_DDL)
+    positions = rows.mapInArrow(lambda it: send_positions(it, parts), POSITIONS_DDL)
+    pair = positions.groupBy("block").cogroup(coded.groupBy("block"))
+    return pair.applyInArrow(lambda p, w: finish(join_positions(p, w)), schema)
 
 
 def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -168,16 +201,7 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
     Null and empty texts have no ids. Repeated rows and null ids keep a row each; other columns
     are left out, and an empty table gives an empty one.
     """
-    return _ordered_packs(docs, path, key, text).mapInArrow(join_positions, "doc_id long, ids binary")
-
-
-def _ordered_packs(docs: DataFrame, path: str | None, key: str, text: str) -> DataFrame:
-    """The ids of each block's words before the block's positions."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = docs.select(F.col(key).cast("long").alias("doc_id"), F.split(F.coalesce(text, F.lit("")), CUT).alias("pieces"))
-    packs = pieces.mapInArrow(lambda it: request(it, 4 * parts), PACK)
-    coded = packs.repartition(parts, "dest").mapInArrow(lambda it: encode_words(it, path), PACK)
-    return coded.repartition(parts, "block").sortWithinPartitions("block", "kind", "bucket")
+    return _joined(docs, path, key, text, lambda t: t, "doc_id long, ids binary")
 
 
 def vocabulary(path: str | None = None) -> pa.Array:
@@ -220,8 +244,8 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids") -> Dat
 def round_trip(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """decode(encode(docs)) with both ends in one Python worker, which halves the workers that a task holds."""
     pieces = vocabulary(path)
-    coded = _ordered_packs(docs, path, key, text)
-    return coded.mapInArrow(lambda it: decode_batches(join_positions(it), pieces, "ids"), "doc_id long, ids binary, decoded string")
+    finish = lambda t: pa.Table.from_batches(decode_batches(t.to_batches(), pieces, "ids"), t.schema.append(pa.field("decoded", pa.string())))
+    return _joined(docs, path, key, text, finish, "doc_id long, ids binary, decoded string")
 
 
 def op4(docs: DataFrame, path: str | None = None) -> DataFrame:

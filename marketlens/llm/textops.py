@@ -121,8 +121,8 @@ def gram_hashes(hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
     return mix64(out)
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches again, in slices of about SLICE_BYTES of text; a longer text has a slice of its own."""
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches again, in slices of about `size` bytes of text; a longer text has a slice of its own."""
     for batch in batches:
         if not len(batch):
             continue
@@ -130,6 +130,6 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         start = 0
         while start < len(batch):
-            stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, "right")) - 1)
+            stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1)
             yield batch.slice(start, stop - start)
             start = stop
