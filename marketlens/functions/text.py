@@ -40,7 +40,7 @@ def shorten(s: Column, n: int, mark: str = "…") -> Column:
 
 def tags(s: Column) -> Column:
     """Comma-separated tags as an array, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(s, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(s, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def first_word(s: Column) -> Column:

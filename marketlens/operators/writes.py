@@ -35,7 +35,7 @@ def update_rows(table: DataFrame, delta: DataFrame, keys: Sequence[str], columns
 
 
 def delete_rows(table: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    return table.join(keys.select(*on).distinct(), list(on), "left_anti")
+    return table.join(keys.select(*on).distinct(), list(on), "left_anti").select(*table.columns)
 
 
 def delete_cascade(tables: dict[str, DataFrame], links: Sequence[tuple[str, str, str, str]], root: str, key: str, gone: DataFrame) -> dict[str, DataFrame]:
@@ -47,7 +47,7 @@ def delete_cascade(tables: dict[str, DataFrame], links: Sequence[tuple[str, str,
             lost = dead[parent].select(F.col(parent_key).alias(column)).distinct()
             fallen = out[child].join(lost, column, "left_semi")
             dead[child] = dead[child].unionByName(fallen) if child in dead else fallen
-            out[child] = out[child].join(lost, column, "left_anti")
+            out[child] = out[child].join(lost, column, "left_anti").select(*tables[child].columns)
     return out
 
 

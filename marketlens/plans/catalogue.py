@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, ladder, located, miles, ordinal, tenth
@@ -10,13 +10,11 @@ from ..functions.text import json_list
 from ..operators.relational import asc, desc, every, given, latest, like_any, nested, page, star, top, totals
 from ..roles import STRENGTHS, role, with_roles
 
-SORTS = {
-    "name": (asc("brand"), asc("name")),
-    "rating": (desc("avg_rating"),),
-    "price_asc": (asc("min_price"),),
-    "price_desc": (desc("min_price"),),
-    "newest": (desc("product_id"),),
-}
+
+def order_of(sort: str) -> tuple[Column, ...]:
+    """A sort by name; unknown ones go by brand and name."""
+    one = {"rating": desc("avg_rating"), "price_asc": asc("min_price"), "price_desc": desc("min_price"), "newest": desc("product_id")}
+    return (one[sort],) if sort in one else (asc("brand"), asc("name"))
 
 
 def offers(stock: DataFrame) -> DataFrame:
@@ -64,7 +62,7 @@ def matching(
 
 def search(found: DataFrame, sort: str = "name", number: int = 1, size: int = 24) -> DataFrame:
     """A page of matching(); unknown sorts go by name, and the size keeps to 1 to 100."""
-    return page(found, number, clamp(size, 1, 100), *SORTS.get(sort, SORTS["name"]), asc("product_id"))
+    return page(found, number, clamp(size, 1, 100), *order_of(sort), asc("product_id"))
 
 
 _FOUND = ("product_id", "brand", "name", "avg_rating", "review_count", "min_price", "shop_count")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up, ladder, ordinal
@@ -10,7 +10,9 @@ from ..functions.times import age_label, month_cells, seconds_between
 from ..operators.relational import asc, desc, some, star, top
 from ..roles import AS_OF, TYPES, role, with_roles
 
-NOW = F.lit(AS_OF).cast("timestamp_ntz")
+
+def now() -> Column:
+    return F.lit(AS_OF).cast("timestamp_ntz")
 
 
 def preferences(follows: DataFrame) -> DataFrame:
@@ -120,7 +122,7 @@ QUERIES = {
         role(s, d, "item").agg(F.trunc(F.max("created_at").cast("date"), "month").alias("first")).select(F.posexplode(month_cells(F.col("first"))).alias("cell", "day"))
         .join(role(s, d, "item").groupBy(F.col("created_at").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n")), "day", "left").select("cell", "day", F.coalesce("n", F.lit(0)).alias("n"))
     ),
-    "time_ago_bucket": lambda s, d: role(s, d, "note").groupBy(age_label(seconds_between(F.col("created_at"), NOW)).alias("age")).agg(F.count(F.lit(1)).alias("n")),
+    "time_ago_bucket": lambda s, d: role(s, d, "note").groupBy(age_label(seconds_between(F.col("created_at"), now())).alias("age")).agg(F.count(F.lit(1)).alias("n")),
 }
 
 _READ = "SELECT note_id FROM note_read WHERE user_id = 8"

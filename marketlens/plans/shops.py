@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,7 +14,9 @@ from ..operators.writes import deletable
 from ..roles import AS_OF, role, with_roles
 from .catalogue import miles_sql
 
-NOW = F.lit(AS_OF).cast("timestamp_ntz")
+
+def now() -> Column:
+    return F.lit(AS_OF).cast("timestamp_ntz")
 
 
 def shop_search(shops: DataFrame, stock: DataFrame, follows: DataFrame, notes: DataFrame, state: str = "", lounge: bool = False) -> DataFrame:
@@ -27,8 +29,8 @@ def shop_search(shops: DataFrame, stock: DataFrame, follows: DataFrame, notes: D
     return star(found, "shop_id", held, fans, told).withColumns(zero).select("shop_id", "name", "city", "state", *zero)
 
 
-def day_text(hours: str = "hours") -> F.Column:
-    return F.try_element_at(json_map(F.col(hours)), weekday(NOW))
+def day_text(hours: str = "hours") -> Column:
+    return F.try_element_at(json_map(F.col(hours)), weekday(now()))
 
 
 def within(shops: DataFrame, lat: float, lng: float, radius: float = 50) -> DataFrame:
@@ -38,7 +40,7 @@ def within(shops: DataFrame, lat: float, lng: float, radius: float = 50) -> Data
     return near.select("shop_id", "city", "miles").orderBy(asc("miles"), asc("shop_id"))
 
 
-def kpis(views: DataFrame, stock: DataFrame, follows: DataFrame, as_of: F.Column) -> DataFrame:
+def kpis(views: DataFrame, stock: DataFrame, follows: DataFrame, as_of: Column) -> DataFrame:
     """One row for each shop with anything: one pass over each table."""
     since = lambda n: F.count_if((F.col("viewed_at") > as_of - F.expr(f"INTERVAL {n} DAYS")) & (F.col("viewed_at") <= as_of))
     v = views.groupBy("shop_id").agg(F.count(F.lit(1)).alias("views"), since(7).alias("views_7d"), since(30).alias("views_30d"))
@@ -73,11 +75,11 @@ def _top_items(s, d):
 
 QUERIES = {
     "shop_search": lambda s, d: shop_search(role(s, d, "shop"), role(s, d, "stock"), role(s, d, "follow"), role(s, d, "note"), state="ASIA"),
-    "shop_open_now": lambda s, d: role(s, d, "shop").select("shop_id", is_open_hourly(day_text(), NOW).alias("is_open")),
+    "shop_open_now": lambda s, d: role(s, d, "shop").select("shop_id", is_open_hourly(day_text(), now()).alias("is_open")),
     "shop_hours_minutes": lambda s, d: role(s, d, "shop").withColumn("m", opening_minutes(day_text())).select(
-        "shop_id", F.col("m.opens").alias("opens"), F.col("m.closes").alias("closes"), clock(F.col("m.opens")).alias("opens_at"), is_open_minutes(day_text(), NOW).alias("is_open")
+        "shop_id", F.col("m.opens").alias("opens"), F.col("m.closes").alias("closes"), clock(F.col("m.opens")).alias("opens_at"), is_open_minutes(day_text(), now()).alias("is_open")
     ),
-    "shop_status_label": lambda s, d: role(s, d, "shop").select("shop_id", shop_status(json_map(F.col("hours")), NOW).alias("status")),
+    "shop_status_label": lambda s, d: role(s, d, "shop").select("shop_id", shop_status(json_map(F.col("hours")), now()).alias("status")),
     "shop_within_radius": lambda s, d: within(role(s, d, "shop"), 34.05, -118.24, 700),
     "city_counts": lambda s, d: role(s, d, "shop").groupBy("city", "state").agg(F.count(F.lit(1)).alias("n")),
     "shop_detail_stats": lambda s, d: star(
@@ -94,8 +96,8 @@ QUERIES = {
     "stock_health": lambda s, d: role(s, d, "stock").groupBy("shop_id").agg(
         F.count_if((F.col("quantity") < 5) & (F.col("quantity") > 0)).alias("low"), F.count_if(~F.col("in_stock") | (F.col("quantity") == 0)).alias("out"), F.count_if(F.col("quantity").isNull()).alias("unknown")
     ),
-    "analytics_kpis": lambda s, d: kpis(role(s, d, "shop_view"), role(s, d, "stock"), role(s, d, "follow"), NOW),
-    "daily_views": lambda s, d: role(s, d, "shop_view").filter(F.col("viewed_at") > NOW - F.expr("INTERVAL 14 DAYS")).groupBy(F.col("viewed_at").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n")),
+    "analytics_kpis": lambda s, d: kpis(role(s, d, "shop_view"), role(s, d, "stock"), role(s, d, "follow"), now()),
+    "daily_views": lambda s, d: role(s, d, "shop_view").filter(F.col("viewed_at") > now() - F.expr("INTERVAL 14 DAYS")).groupBy(F.col("viewed_at").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n")),
     "top_items": _top_items,
     "demand_window": lambda s, d: top(
         role(s, d, "item").filter("status = 'wished'").withColumn("product_id", F.expr("nullif(product_id, 0)"))
