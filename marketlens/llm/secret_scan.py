@@ -91,13 +91,14 @@ def surprise(tokens: Column, null: Ordinary) -> Column:
     """The candidates with their encoding and tenths of -log10(p), up to 300, under the null hypothesis."""
 
     def count(s: Column) -> Column:
-        body = F.regexp_replace(s["token"], "=+$", "")
+        whole = F.regexp_replace(s["token"], "=+$", "")
+        body = F.regexp_replace(whole, "[^A-Za-z0-9]", "")  # separators would count as changes of class in paths and identifiers
         chars = F.split(body, "")
         runs = F.length(F.regexp_replace(F.translate(body, _CLASSES[0], _CLASSES[1]), r"(.)\1*", "."))
         codes = F.transform(chars, F.ascii)
         encoding = (
-            F.when(body.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(body.rlike("^[A-Z2-7]+$"), "base32")
-            .when(body.rlike("^(?:[a-z0-9]+|[A-Z0-9]+)$"), "base36").when(body.rlike("^[A-Za-z0-9]+$"), "base62").otherwise("base64")
+            F.when(whole.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(whole.rlike("^[A-Z2-7]+$"), "base32")
+            .when(whole.rlike("^(?:[a-z0-9]+|[A-Z0-9]+)$"), "base36").when(whole.rlike("^[A-Za-z0-9]+$"), "base62").otherwise("base64")
         )
         return F.struct(s.alias("s"), body.alias("body"), F.array_distinct(chars).alias("kinds"), runs.alias("runs"), codes.alias("codes"), encoding.alias("encoding"))
 
