@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .textops import hash_spans, slices
 
 #: A block holds about so many bytes of text, or one document.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 WORDS = pa.schema([("dest", pa.int32()), ("block", pa.int64()), ("lengths", pa.binary()), ("data", pa.binary())])
 POSITIONS = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("index", pa.binary())])
 WORDS_DDL, POSITIONS_DDL = "dest int, block long, lengths binary, data binary", "block long, docs binary, index binary"
