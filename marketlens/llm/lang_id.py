@@ -25,6 +25,9 @@ BITS = 16
 SAMPLE_DOCS, SAMPLE_WORDS = 300, 200
 LEXICON = 20_000
 NGRAMS, AFFIXES = (2, 3, 4), (1, 2, 3, 4)
+#: Chains are worked out in runs of so many words, and texts in slices of about so many bytes.
+RUN = 128
+SLICE = 1 << 20
 
 
 @dataclass
@@ -96,41 +99,92 @@ def emissions(model: Crf, words: Words) -> np.ndarray:
     return out[back]
 
 
+def _abreast(begin: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """For each step the places of the runs that go on, runs longest first."""
+    active = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")
+    return [begin[:k] + t for t, k in enumerate(active.tolist())]
+
+
+def _run_ends(emit: np.ndarray, chain: np.ndarray, begin: np.ndarray, size: np.ndarray, move: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What enters each run from before it, and what comes back to its last word from behind it.
+
+    Only chains of several runs need more than the start and ones: each of their runs becomes a
+    matrix, and products of vectors with these go from run to run of all chains abreast.
+    """
+    labels = len(start)
+    enter, behind = np.tile(start, (len(begin), 1)), np.ones((len(begin), labels))
+    n_runs = np.bincount(chain)
+    several = np.flatnonzero(n_runs[chain] > 1) if len(chain) else np.zeros(0, np.int64)
+    if not len(several):
+        return enter, behind
+    order = several[np.argsort(-size[several], kind="stable")]
+    matrix = np.tile(np.eye(labels), (len(order), 1, 1))
+    for t, at in enumerate(_abreast(begin[order], size[order])):
+        k = len(at)
+        step = matrix[:k] if t == 0 else (matrix[:k].reshape(-1, labels) @ move).reshape(k, labels, labels)
+        step = step * emit[at][:, None, :]
+        matrix[:k] = step / step.sum(axis=(1, 2), keepdims=True)
+    whole = np.zeros((len(begin), labels, labels))
+    whole[order] = matrix
+    chains = np.flatnonzero(n_runs > 1)
+    chains = chains[np.argsort(-n_runs[chains], kind="stable")]
+    rounds = _abreast((np.cumsum(n_runs) - n_runs)[chains], n_runs[chains])
+    for at, then in zip(rounds[:-1], rounds[1:], strict=True):
+        end = np.einsum("ki,kij->kj", enter[at[: len(then)]], whole[at[: len(then)]])
+        enter[then] = (end / end.sum(axis=1, keepdims=True)) @ move
+    for at, then in zip(rounds[-2::-1], rounds[:0:-1], strict=True):
+        back = np.einsum("kij,kj->ki", whole[then], behind[then]) @ move.T
+        behind[at[: len(then)]] = back / back.sum(axis=1, keepdims=True)
+    return enter, behind
+
+
 def forward_backward(scores: np.ndarray, counts: np.ndarray, transitions: np.ndarray, starts: np.ndarray, pairs: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Posteriors of the labels for chains laid end to end, and the log partition over all; pairs gains expected transitions.
 
-    Chains run abreast, longest first, so a step is one operation on those that go on.
+    Chains are cut into runs of RUN words, which go abreast, longest first, so a step is one operation
+    on those that go on and a long chain takes no more steps than a short one. The cuts change nothing: `_run_ends` carries over them.
     """
-    order = np.argsort(-counts, kind="stable")
-    begin = (np.cumsum(counts) - counts)[order]
-    size = counts[order]
+    counts = counts.astype(np.int64)
+    n_runs = -(-counts // RUN)
+    chain = np.repeat(np.arange(len(counts)), n_runs)
+    nth = np.arange(len(chain)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
+    begin = np.repeat(np.cumsum(counts) - counts, n_runs) + nth * RUN
+    size = np.minimum(RUN, np.repeat(counts, n_runs) - nth * RUN)
     top = scores.max(axis=1, keepdims=True)
-    emit = np.exp(scores - top).astype(np.float64)
+    emit = np.exp((scores - top).astype(np.float64))
     move = np.exp(transitions)
+    enter, behind = _run_ends(emit, chain, begin, size, move, np.exp(starts))
+    order = np.argsort(-size, kind="stable")
+    places = _abreast(begin[order], size[order])
     alpha = np.zeros_like(emit)
     scale = np.ones(len(emit))
-    longest = int(size[0]) if len(size) else 0
-    active = [int(x) for x in np.searchsorted(-size, -np.arange(longest), "left")]
-    state = np.zeros((0, scores.shape[1]))
-    for t in range(longest):
-        at = begin[: active[t]] + t
-        state = (np.exp(starts)[None, :] if t == 0 else state[: active[t]] @ move) * emit[at]
+    state = enter[order]
+    for t, at in enumerate(places):
+        state = (state if t == 0 else state[: len(at)] @ move) * emit[at]
         norm = state.sum(axis=1)
         state /= norm[:, None]
         alpha[at] = state
         scale[at] = norm
-    beta = np.ones((active[0] if longest else 0, scores.shape[1]))
-    for t in range(longest - 1, -1, -1):
-        at = begin[: active[t]] + t
-        if t + 1 < longest and active[t + 1]:
-            k = active[t + 1]
-            nxt = begin[:k] + t + 1
+    last = alpha[begin + size - 1]
+    behind /= (last * behind).sum(axis=1, keepdims=True)
+    beta = behind[order]
+    for t in range(len(places) - 1, -1, -1):
+        at = places[t]
+        if t + 1 < len(places):
+            nxt = places[t + 1]
+            k = len(nxt)
             ahead = emit[nxt] * beta[:k] / scale[nxt][:, None]
             if pairs is not None:
                 pairs += move * (alpha[at[:k]].T @ ahead)
             beta[:k] = ahead @ move.T
-        emit_state = alpha[at] * beta[: active[t]]
-        alpha[at] = emit_state / emit_state.sum(axis=1, keepdims=True)
+        both = alpha[at] * beta[: len(at)]
+        alpha[at] = both / both.sum(axis=1, keepdims=True)
+    if pairs is not None:
+        onward = np.flatnonzero(chain[1:] == chain[:-1])
+        heads = begin[onward + 1]
+        first = np.empty_like(beta)
+        first[order] = beta
+        pairs += move * (last[onward].T @ (emit[heads] * first[onward + 1] / scale[heads][:, None]))
     return alpha, float(np.log(scale).sum() + top.sum())
 
 
@@ -248,7 +302,7 @@ def label_documents(docs: DataFrame, model: Crf, text: str = "text") -> DataFram
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(model.labels, pa.string())
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             texts = batch.column(place).to_pylist()
             lettered = [bool(model.labels) and t is not None and any(map(str.isalpha, t)) for t in texts]
             words = read_words([t if ok else None for t, ok in zip(texts, lettered, strict=True)], lower=True)

@@ -89,6 +89,18 @@ def test_forward_backward_sums_all_paths():
     assert np.allclose(posterior, want, atol=1e-6)
 
 
+def test_long_chains_are_worked_out_in_runs(monkeypatch):
+    rng = np.random.default_rng(3)
+    counts = np.array([7, 0, 1, lang_id.RUN, 3 * lang_id.RUN, 2 * lang_id.RUN + 1, 1000, 0])
+    scores, move, start = 3 * rng.normal(size=(int(counts.sum()), 4)), rng.normal(size=(4, 4)), rng.normal(size=4)
+    pairs, whole = np.zeros((4, 4)), np.zeros((4, 4))
+    posterior, total = lang_id.forward_backward(scores, counts, move, start, pairs)
+    monkeypatch.setattr(lang_id, "RUN", 10_000)
+    want, want_total = lang_id.forward_backward(scores, counts, move, start, whole)
+    assert np.allclose(posterior, want) and np.allclose(pairs, whole) and np.isclose(total, want_total)
+    assert np.isclose(pairs.sum(), np.maximum(counts - 1, 0).sum())
+
+
 def test_mix_levels_and_emits(spark, docs):
     found = mixing.op2(docs).collect()
     assert all(r.taken <= 2 * r.size for r in found)
