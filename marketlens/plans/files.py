@@ -24,15 +24,19 @@ def upload(s, d) -> DataFrame:
 def listings(s, d) -> DataFrame:
     """Two sources of listings one after another: short documents, then all of them, with a stable order."""
     docs = s.read.parquet(f"{d}/documents.parquet")
-    one = docs.filter("n_chars < 500").select(F.lit(0).alias("source_rank"), "doc_id", "lang", F.substring("text", 1, 400).alias("name"))
-    two = docs.select(F.lit(1).alias("source_rank"), "doc_id", "lang", F.substring("text", 1, 400).alias("name"))
+    one = docs.filter("n_chars < 500").select(F.lit(0).alias("source_rank"), "doc_id", "lang", F.col("text").alias("name"))
+    two = docs.select(F.lit(1).alias("source_rank"), "doc_id", "lang", F.col("text").alias("name"))
     return one.unionByName(two)
 
 
 def merge_listings(rows: DataFrame, key=None) -> DataFrame:
-    """First-wins deduplication in source order; keys of under three letters or digits are dropped."""
+    """First-wins deduplication in source order; keys of under three letters or digits are dropped.
+
+    Keys may be whole texts, so their 256-bit hashes are shuffled instead, without the names.
+    """
     k = compact(F.col("name")) if key is None else key
-    return first_wins(rows.filter(F.length(k) >= 3), k, "source_rank", "doc_id")
+    hashed = rows.filter(F.length(k) >= 3).withColumn("_hash", F.sha2(k, 256)).drop("name")
+    return first_wins(hashed, F.col("_hash"), "source_rank", "doc_id").drop("_hash")
 
 
 def profile(rows: DataFrame) -> DataFrame:
