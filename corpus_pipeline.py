@@ -18,6 +18,8 @@ from marketlens.llm.common import ensure_checkpoint_dir
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose language is less sure than this are rejected, as are those without letters.
 LEAST_SCORE = 0.5
+#: Near duplicates have a similarity of so many percent; a pair right at it shares no band with a probability of 8 in 100,000.
+SIMILAR, BANDS, ROWS = 80, 40, 7
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays; rows that repeat an id are one document."""
-    kept = neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = neardup.near_duplicates(docs, SIMILAR, BANDS, ROWS).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").select(*COLUMNS)
 
 

@@ -26,11 +26,17 @@ BANDS, ROWS = 32, 8
 PARTNERS, BLOCK = 64, 1024
 #: A block's side is smaller where its documents are long: about so many shingles.
 BLOCK_SHINGLES = 1_000_000
-#: Pairs whose sketches agree in less than this are not verified: a similarity of 0.85 is four standard errors above it.
-LEAST_ESTIMATE = 0.76
+#: Pairs whose sketches agree in so many standard errors less than the limit are not verified.
+ERRORS = 4
 _LOW = U((1 << 48) - 1)
 
 
+def least_estimate(percent: int, places: int) -> float:
+    """The share of equal places below which a pair is not verified: ERRORS binomial standard errors under percent."""
+    limit = percent / 100
+    return max(0.0, limit - ERRORS * (limit * (1 - limit) / places) ** 0.5)
+
+
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct hashes of each text's shingles; with fewer words the whole sequence is one."""
     words = read_words(texts, lower=True)
@@ -211,7 +217,7 @@ def joining_links(members: DataFrame, docs: DataFrame, percent: int, least: floa
     return sent.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def link_buckets(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def link_buckets(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, least: float) -> DataFrame:
     """(bucket, doc) -> (node, component) for the documents that are linked with any other in their buckets.
 
     First each bucket's pivot is compared with all its documents. The pivot is the document that
@@ -233,8 +239,8 @@ def link_buckets(members: DataFrame, classes: DataFrame, docs: DataFrame, percen
     state = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
     its = pivots.join(of.withColumnRenamed("doc", "pivot"), "pivot", "left").select("bucket", F.coalesce("component", "pivot").alias("its"))
     rest = cut(known.join(state.join(its, "bucket"), "bucket").join(classes.select("doc", "n_shingles", "sketch"), "doc"))
-    open_ones = cut(undecided(rest, percent, LEAST_ESTIMATE))
-    more = cut(joining_links(rest.join(open_ones, ["bucket", "doc"]), docs, percent, LEAST_ESTIMATE))
+    open_ones = cut(undecided(rest, percent, least))
+    more = cut(joining_links(rest.join(open_ones, ["bucket", "doc"]), docs, percent, least))
     return components if more.isEmpty() else connected_components(links.union(more))
 
 
@@ -243,7 +249,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
 
     Shingles are five lower-cased (A-Z) words; documents with a similarity of percent or more
     are linked, and component_id is the smallest id that a document reaches. A pair right at
-    85 % shares none of 32 bands of 8 with a probability of 4 in 100,000. Null, empty and blank
+    85 % shares none of 32 bands of 8 with a probability of 4 in 100,000; a lower percent needs
+    shorter bands (80 %, 40 bands of 7: 8 in 100,000). Null, empty and blank
     texts have no shingles and are linked with nothing, nor is a row whose id is null (its
     component_id is null, and it is kept). Rows that repeat an id are one document; tests and
     links use the texts of all of them. Other columns are left out; an empty table gives an empty one.
@@ -258,7 +265,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     spread = classes.select("doc", F.posexplode("bands").alias("band", "k")).select(F.xxhash64("band", "k").alias("bucket"), "doc")
     shared = spread.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo <> hi").select("bucket")
     members = cut(spread.join(shared, "bucket").distinct())
-    components = link_buckets(members, classes, docs, percent)
+    components = link_buckets(members, classes, docs, percent, least_estimate(percent, bands * rows))
     final = classes.join(components, F.col("doc") == F.col("node"), "left").select(*sets, F.coalesce("component", "doc").alias("class_id"))
     found = sketches.join(final, sets, "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id"))
