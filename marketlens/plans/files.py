@@ -72,7 +72,7 @@ def _docs(s, d):
 QUERIES = {
     "fuzzy_match_best": lambda s, d: fuzzy_best(upload(s, d), role(s, d, "product"), 0.35),
     "normalized_key_match": lambda s, d: exact_lookup(
-        role(s, d, "stock").filter("stock_id % 8 = 2").join(role(s, d, "product").select("product_id", F.upper("name").alias("product")), "product_id")
+        role(s, d, "stock").join(role(s, d, "product").select("product_id", F.upper("name").alias("product")), "product_id")
         .select((F.col("stock_id") * 100_000 + F.col("product_id")).alias("row"), F.when(F.col("product_id") % 5 == 0, "no such thing").otherwise(F.concat(F.lit("  "), "product")).alias("product"),
                 F.format_string("supplier#%09d ", "shop_id").alias("shop"), F.expr("CASE WHEN quantity > 10 THEN price END").alias("price")),
         role(s, d, "product"), role(s, d, "shop"),

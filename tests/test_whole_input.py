@@ -1,8 +1,10 @@
 """Queries over their whole input, by brute force."""
 
 import re
+from collections import defaultdict
 
 from marketlens.plans import files
+from marketlens.roles import role
 
 
 def test_listings_are_told_apart_by_their_whole_text(spark, tmp_path):
@@ -23,3 +25,20 @@ def test_listings_of_the_given_documents(spark, data):
             first.setdefault(key, (rank, doc))
     found = files.QUERIES["union_dedup_first_wins"](spark, data).collect()
     assert sorted((r.source_rank, r.doc_id) for r in found) == sorted(first.values())
+
+
+def test_every_stock_row_is_looked_up(spark, data):
+    stock, products, shops = (role(spark, data, n).collect() for n in ("stock", "product", "shop"))
+    names, first, known = {r.product_id: r.name for r in products}, {}, {r.shop_id for r in shops}
+    for p in sorted(names):
+        first.setdefault(names[p].lower(), p)
+    want = defaultdict(lambda: [0, 0, 0])
+    for r in stock:
+        if r.product_id in names:
+            product = None if r.product_id % 5 == 0 else first[names[r.product_id].lower()]
+            shop = r.shop_id if r.shop_id in known else None
+            price = r.price if r.quantity is not None and r.quantity > 10 else None
+            reason = "unknown product" if product is None else "unknown shop" if shop is None else "no price" if price is None else "matched"
+            want[reason] = [a + b for a, b in zip(want[reason], (1, product is not None, shop or 0), strict=True)]
+    found = {r.reason: [r.n, r.products, r.shops] for r in files.QUERIES["normalized_key_match"](spark, data).collect()}
+    assert found == want
