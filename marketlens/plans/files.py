@@ -53,15 +53,26 @@ def contacts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("lang").alias("grp"), F.get(found, F.lit(0)).alias("email"), F.size(found).alias("n_emails"), first_phone(F.col("text")).alias("phone"))
 
 
+def deal(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """A table and an upload of all rows: by their key a third is only in the table, a third in both, a third only in the upload."""
+    return rows.filter(f"({key}) % 3 <> 2"), rows.filter(f"({key}) % 3 <> 0")
+
+
 def _ratings(s, d):
-    """The last order of each (user, product) as a rating."""
-    return role(s, d, "item").select("user_id", "product_id", F.col("quantity").alias("rating"), "item_id")
+    """Orders as ratings: one of each (user, product) as the table, and an upload."""
+    table, rows = deal(role(s, d, "item").select("user_id", "product_id", F.col("quantity").alias("rating"), "item_id"), "item_id")
+    return table.groupBy("user_id", "product_id").agg(F.max("rating").alias("rating")), rows
+
+
+def _edges(s, d):
+    return deal(role(s, d, "follow"), "user_id + shop_id")
 
 
 def _import(s, d):
-    """A re-import of two shops' rows, some without a price: the counters."""
-    table = role(s, d, "stock").filter("shop_id < 20").groupBy("shop_id", "product_id", "size_id").agg(F.max("price").alias("price"))
-    rows = role(s, d, "stock").filter("shop_id BETWEEN 15 AND 25").select("shop_id", "product_id", "size_id", F.expr("nullif(price, 0) + 1").alias("price"), (F.col("stock_id") * 100_000 + F.col("product_id")).alias("position"), "quantity")
+    """A re-import over all shops, of known rows and new ones, some without a quantity: the table after it and the counters."""
+    known, sent = deal(role(s, d, "stock"), "shop_id + product_id")
+    table = known.groupBy("shop_id", "product_id", "size_id").agg(F.max("price").alias("price"))
+    rows = sent.select("shop_id", "product_id", "size_id", F.expr("nullif(price, 0) + 1").alias("price"), (F.col("stock_id") * 100_000 + F.col("product_id")).alias("position"), "quantity")
     return import_rows(table, rows, ["shop_id", "product_id", "size_id"], ["price"], "position", F.col("quantity").isNotNull())
 
 
@@ -77,13 +88,9 @@ QUERIES = {
                 F.format_string("supplier#%09d ", "shop_id").alias("shop"), F.expr("CASE WHEN quantity > 10 THEN price END").alias("price")),
         role(s, d, "product"), role(s, d, "shop"),
     ).groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.count("product_id").alias("products"), F.sum("shop_id").alias("shops")),
-    "upsert_keep_latest": lambda s, d: keep_latest(
-        _ratings(s, d).filter("item_id % 2 = 0").groupBy("user_id", "product_id").agg(F.max("rating").alias("rating")), _ratings(s, d).filter("item_id % 3 = 0"), ["user_id", "product_id"], "item_id"
-    ),
-    "upsert_do_nothing": lambda s, d: keep_existing(
-        role(s, d, "follow").filter("(user_id + shop_id) % 2 = 0"), role(s, d, "follow").filter("user_id % 3 = 0"), ["user_id", "shop_id"]
-    ),
-    "toggle_edges": lambda s, d: toggle(role(s, d, "follow").filter("(user_id + shop_id) % 2 = 0"), role(s, d, "follow").filter("user_id % 3 = 0"), ["user_id", "shop_id"]),
+    "upsert_keep_latest": lambda s, d: keep_latest(*_ratings(s, d), ["user_id", "product_id"], "item_id"),
+    "upsert_do_nothing": lambda s, d: keep_existing(*_edges(s, d), ["user_id", "shop_id"]),
+    "toggle_edges": lambda s, d: toggle(*_edges(s, d), ["user_id", "shop_id"]),
     "null_safe_upsert_counts": lambda s, d: _import(s, d)[1],
     "null_safe_upsert_rows": lambda s, d: _import(s, d)[0],
     "insert_unless_duplicate": lambda s, d: insert_unless_duplicate(

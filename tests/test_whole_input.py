@@ -42,3 +42,41 @@ def test_every_stock_row_is_looked_up(spark, data):
             want[reason] = [a + b for a, b in zip(want[reason], (1, product is not None, shop or 0), strict=True)]
     found = {r.reason: [r.n, r.products, r.shops] for r in files.QUERIES["normalized_key_match"](spark, data).collect()}
     assert found == want
+
+
+def test_ratings_of_all_orders_are_upserted(spark, data):
+    table, latest = {}, {}
+    for r in sorted(role(spark, data, "item").collect(), key=lambda r: r.item_id):
+        if r.item_id % 3 != 2:
+            table[r.user_id, r.product_id] = max(r.quantity, table.get((r.user_id, r.product_id), r.quantity))
+        if r.item_id % 3 != 0:
+            latest[r.user_id, r.product_id] = r.quantity
+    found = files.QUERIES["upsert_keep_latest"](spark, data).collect()
+    assert sorted(map(tuple, found)) == sorted((*k, v) for k, v in (table | latest).items())
+
+
+def test_all_edges_are_worked_on(spark, data):
+    edges = {tuple(r) for r in role(spark, data, "follow").select("user_id", "shop_id").collect()}
+    found = {n: sorted(map(tuple, files.QUERIES[n](spark, data).select("user_id", "shop_id").collect())) for n in ("upsert_do_nothing", "toggle_edges")}
+    assert found == {"upsert_do_nothing": sorted(edges), "toggle_edges": sorted(e for e in edges if sum(e) % 3 != 1)}
+
+
+def test_import_goes_over_all_shops(spark, data):
+    stock = sorted(role(spark, data, "stock").collect(), key=lambda r: r.stock_id)
+    table, added, updated, skipped = {}, 0, 0, 0
+    for r in stock:
+        key = (r.shop_id, r.product_id, r.size_id)
+        if (r.shop_id + r.product_id) % 3 != 2:
+            table[key] = max(r.price, table.get(key, r.price))
+    for r in stock:
+        key = (r.shop_id, r.product_id, r.size_id)
+        if (r.shop_id + r.product_id) % 3 == 0:
+            continue
+        if r.quantity is None:
+            skipped += 1
+            continue
+        added, updated = added + (key not in table), updated + (key in table)
+        table[key] = r.price + 1
+    assert files.QUERIES["null_safe_upsert_counts"](spark, data).first().asDict() == {"added": added, "updated": updated, "skipped": skipped}
+    found = files.QUERIES["null_safe_upsert_rows"](spark, data).collect()
+    assert sorted(map(str, ((r.shop_id, r.product_id, r.size_id, r.price) for r in found))) == sorted(str((*k, v)) for k, v in table.items())
