@@ -16,16 +16,16 @@ from marketlens.llm import bpe, lang_id, mixing, neardup, secret_scan
 from marketlens.llm.common import ensure_checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Documents whose language is less sure than this are rejected, as are those without letters.
-LEAST_SCORE = 0.5
+#: Documents whose words' labels are on the mean less certain than this are rejected, as are those without letters.
+LEAST_CERTAINTY = 0.5
 #: Near duplicates have a similarity of so many percent; a pair right at it shares no band with a probability of 8 in 100,000.
 SIMILAR, BANDS, ROWS = 80, 40, 7
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a recognised language; the others get the predicted one."""
+    """Rejects documents whose words are of no recognised language; the others, also in several languages, get the predicted one."""
     found = lang_id.label_documents(docs, lang_id.fit_on(docs))
-    sure = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    sure = found.filter((F.col("lang_pred") != "und") & (F.col("certainty") >= LEAST_CERTAINTY))
     return sure.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 

@@ -280,17 +280,18 @@ def training_sample(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, words_per
 
 
 _SPAN = T.StructType().add("first", "integer").add("words", "integer").add("lang", "string")
-ADDED = T.StructType().add("lang_pred", "string").add("score", "double").add("spans", T.ArrayType(_SPAN))
+ADDED = T.StructType().add("lang_pred", "string").add("score", "double").add("certainty", "double").add("spans", T.ArrayType(_SPAN))
 
 
 def label_documents(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
-    """docs plus lang_pred, score and spans, from the text alone.
+    """docs plus lang_pred, score, certainty and spans, from the text alone.
 
     spans: runs of words with the same likeliest label (the first word's place, how many, the label).
     lang_pred is the label with the largest mean posterior over the words that have a letter or a
-    byte beyond ASCII, and score is that mean. A text that is null or has no letter is `und` with
-    score 0 and no spans, as is every text if the model has no labels. Repeated rows, null ids and
-    other columns pass through (columns of the three names are replaced), and an empty table gives an empty one.
+    byte beyond ASCII, and score is that mean; certainty is these words' mean of the largest posterior, which
+    is high where each word is surely of some language, however many take turns. A text that is null or has no
+    letter is `und` with score and certainty 0 and no spans, as is every text if the model has no labels. Repeated
+    rows, null ids and other columns pass through (columns of the four names are replaced), and an empty table gives an empty one.
     """
     rest = [c for c in docs.columns if c not in ADDED.names]
     docs = docs.select(*[F.col(f"`{c}`") for c in rest])
@@ -306,7 +307,7 @@ def label_documents(docs: DataFrame, model: Crf, text: str = "text") -> DataFram
             texts = batch.column(place).to_pylist()
             lettered = [bool(model.labels) and t is not None and any(map(str.isalpha, t)) for t in texts]
             words = read_words([t if ok else None for t, ok in zip(texts, lettered, strict=True)], lower=True)
-            preds, scores, spans, bounds = [], [], [], [0]
+            preds, scores, certain, spans, bounds = [], [], [], [], [0]
             firsts: list[np.ndarray] = []
             if len(words.hashes):
                 posterior, _ = forward_backward(emissions(model, words), words.counts.astype(np.int64), model.transitions, model.starts)
@@ -315,22 +316,25 @@ def label_documents(docs: DataFrame, model: Crf, text: str = "text") -> DataFram
                 best = posterior.argmax(axis=1)
                 total = np.r_[np.zeros((1, posterior.shape[1])), np.cumsum(posterior * counts_in[:, None], axis=0)]
                 weight = np.r_[0, np.cumsum(counts_in)]
+                surest = np.r_[0, np.cumsum(posterior.max(axis=1) * counts_in)]
             for ok, (a, b) in zip(lettered, words.per_text(), strict=True):
                 if not ok or weight[b] == weight[a]:
                     preds.append("und")
                     scores.append(0.0)
+                    certain.append(0.0)
                     bounds.append(bounds[-1])
                     continue
                 mean = (total[b] - total[a]) / (weight[b] - weight[a])
                 preds.append(model.labels[int(mean.argmax())])
                 scores.append(float(min(1.0, max(0.0, mean.max()))))
+                certain.append(float(min(1.0, max(0.0, (surest[b] - surest[a]) / (weight[b] - weight[a])))))
                 own = best[a:b]
                 heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
                 firsts.append(np.stack([heads, np.diff(np.r_[heads, b - a]), own[heads]]))
                 bounds.append(bounds[-1] + len(heads))
             spans = np.concatenate(firsts, axis=1) if firsts else np.zeros((3, 0), np.int64)
             runs = pa.StructArray.from_arrays([pa.array(spans[0], pa.int32()), pa.array(spans[1], pa.int32()), names.take(pa.array(spans[2], pa.int64()))], fields=list(kind.value_type))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), runs)], [*rest, *ADDED.names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(certain, pa.float64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), runs)], [*rest, *ADDED.names])
 
     return docs.mapInArrow(label, schema)
 
