@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,16 +29,29 @@ def word_count(text: Column) -> Column:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir.
 
-    Only where it is unset, as in local tests, is a temporary folder made.
+    Only where it is unset and the master is local, as in tests, is a temporary folder made.
     """
     sc = spark.sparkContext
-    named = sc.getCheckpointDir()
-    if named is None:
+    if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="marketlens-checkpoint-"))
     return sc.getCheckpointDir()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of this library's own making, wherever it lies."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def unused_name(df: DataFrame, stem: str) -> str:
+    """A column name that df has not got, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"_{stem}{k or ''}" for k in range(len(taken) + 1)) if n not in taken)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once into the shared checkpoint folder, so that lost executors don't undo it."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -1,83 +1,144 @@
 """Secret scans with DataFrame operations only.
 
-Named patterns give the base spans. Beyond them, long tokens are held against a battery of
-randomness tests: chi-squared uniformity over the alphabet of the inferred encoding, runs of
-character classes, and serial correlation. The null hypothesis is ordinary matter (words,
-identifiers, paths), a p-value says how seldom that looks so random, and a Benjamini-Hochberg
-threshold is set over all tokens of the corpus within each stratum of lengths, since short
-tokens prove less.
+Named patterns give the base spans. Beyond them, each long token has an encoding inferred and is
+put through a battery of tests for a random string in that encoding: chi-squared uniformity over
+its alphabet, runs of character classes against the number that its alphabet lets expect, and
+serial correlation of the symbols' places in it. Fisher's sum of the three says how far a
+token is from random. How far ordinary matter is, is learned from decoys: a stretch of each
+document's own characters in the same encoding and length. By encoding and stratum of lengths (short
+tokens prove less) a Benjamini-Hochberg limit over all tokens of the corpus then
+bounds the share of ordinary ones among those that are found.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, unused_name
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
+#: What may be a random string: symbols of the usual encodings, with padding.
+TOKEN = r"[A-Za-z0-9+/_\x01-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Strata of token lengths by their least length.
+#: Strata of token lengths by their least length, in symbols.
 STRATA = (20, 24, 32, 48, 64, 128, 256)
-_EMPTY = "array<struct<start:int,kind:int,end:int,token:string>>"
+#: The encodings by name: their symbols in order. base64 is also written with - and _.
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ENCODINGS = {
+    "hex": "0123456789abcdef", "base32": _UPPER + "234567", "base36": _DIGITS + _LOWER, "base62": _UPPER + _LOWER + _DIGITS, "base64": _UPPER + _LOWER + _DIGITS + "+/",
+}
+#: Tokens further from random than this are never found: beyond it lie about 3 in 10,000 random strings.
+FURTHEST = 30.0
+#: A limit's steps, and how ordinary matter is held to be where a corpus has no decoys: log(distance) is about
+#: log(symbols) with this deviation, which counts as so many decoys.
+STEP, DEVIATION, PRIOR = 0.25, 0.5, 8
+#: Scans over arrays go in two levels, of so many items below; blocks of a text have so many code points.
+_CHUNK, _BLOCK, _BLOCKS = 64, 2048, 64
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def bind(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x worked out once and not anew wherever f or a lambda in it names it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of non-negative integers what combine (a sum or a maximum) makes of those before it, in two levels."""
+    zero = lambda: F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda s, v: F.struct(combine(s["at"], v).alias("at"), F.array_append(s["out"], s["at"]).alias("out"))
+
+    def levels(a: Column) -> Column:
+        heads = F.sequence(F.lit(0), F.greatest(F.size(a) - 1, F.lit(0)), F.lit(_CHUNK))
+        parts = F.transform(heads, lambda i: F.aggregate(F.slice(a, i + 1, F.lit(_CHUNK)), zero(), step))
 
+        def joined(p: Column) -> Column:
+            before = F.aggregate(p, zero(), lambda s, x: step(s, x["at"]), lambda s: s["out"])
+            return F.flatten(F.zip_with(p, before, lambda x, b: F.transform(x["out"], lambda v: combine(v, b))))
 
-@dataclass(frozen=True)
-class Ordinary:
-    """Ordinary matter: chances that two characters agree (and three), that the character class changes, and the serial correlation."""
+        return bind(parts, joined)
 
-    agree2: float = 0.07
-    agree3: float = 0.0067
-    change: float = 0.12
-    serial: float = 0.25
+    return bind(values, levels)
 
 
-def match_spans(text: Column, pattern: str, kind: int) -> Column:
-    """Leftmost non-overlapping matches as (start, kind, end, token), in code points, end exclusive.
+def match_spans(text: Column, pattern: str) -> Column:
+    """Leftmost non-overlapping matches as (start, end, token), in code points, end exclusive.
 
     The stretches between matches and the matches' own lengths add up to the places.
     """
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_EMPTY).alias("out"))
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["hit"].alias("token"))
-        return F.struct(end.alias("at"), F.array_append(state["out"], span).alias("out"))
+    def place(h: Column) -> Column:
+        gaps = F.split(text, pattern, -1)
+        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(h)), h, lambda g, t: F.struct(F.length(g).alias("gap"), F.length(t).alias("size"), t.alias("token")))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, zero, step, lambda s: s["out"])
+        def add(p: Column) -> Column:
+            before = running(F.transform(p, lambda x: x["gap"] + x["size"]), lambda a, b: a + b)
+            start = lambda x, b: b + x["gap"]
+            return F.zip_with(p, before, lambda x, b: F.struct(start(x, b).alias("start"), (start(x, b) + x["size"]).alias("end"), x["token"].alias("token")))
 
+        return bind(pairs, add)
 
-def base_spans(text: Column) -> Column:
-    """The named patterns' spans by start, then kind; matches that fall short of their length are dropped after matching."""
+    return bind(hits, place)
+
+
+def _as(kind: int, spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
+
+
+def _named(text: Column) -> Column:
     low = F.lower(text)
-    named = low.contains(_KEYWORDS[0])
+    out = low.contains(_KEYWORDS[0])
     for word in _KEYWORDS[1:]:
-        named = named | low.contains(word)
-    none = F.array().cast(_EMPTY)
-    assign = F.filter(match_spans(text, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["token"], ASSIGN, 2)) >= 8)
+        out = out | low.contains(word)
+    return out
+
+
+def base_spans(text: Column) -> Column:
+    """The named patterns' spans by start, then kind; matches that fall short of their length are dropped after matching."""
+    none = F.array().cast(_SPANS)
+    assign = F.filter(match_spans(text, ASSIGN), lambda s: F.length(F.regexp_extract(s["token"], ASSIGN, 2)) >= 8)
     # a run's later part is never longer than the whole run, so here a bound inside the pattern means the same
-    access, hexes = match_spans(text, r"AKIA[A-Z0-9]{12,}", 1), match_spans(text, r"[0-9a-f]{32,}", 2)
+    access, hexes = match_spans(text, r"AKIA[A-Z0-9]{12,}"), match_spans(text, r"[0-9a-f]{32,}")
     return F.array_sort(
         F.concat(
-            F.when(named, assign).otherwise(none),
-            F.when(text.contains("AKIA"), access).otherwise(none),
-            F.when(text.rlike(r"[0-9a-f]{32}"), hexes).otherwise(none),
+            F.when(_named(text), _as(0, assign)).otherwise(none),
+            F.when(text.contains("AKIA"), _as(1, access)).otherwise(none),
+            F.when(text.rlike(r"[0-9a-f]{32}"), _as(2, hexes)).otherwise(none),
         )
     )
 
 
-def random_candidates(text: Column, base: Column) -> Column:
-    """Tokens of 20 or more characters of the usual encodings, with a digit or an inner capital, outside the base spans."""
-    token = r"[A-Za-z0-9+/_=-]{20,}"
-    found = F.filter(match_spans(text, token, 3), lambda s: s["token"].rlike("[0-9]|[a-z][A-Z]"))
-    apart = F.filter(found, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return F.when(text.rlike(r"[A-Za-z0-9+/_=-]{20}"), apart).otherwise(F.array().cast(_EMPTY))
+def candidates(text: Column) -> Column:
+    """Tokens as (start, end, token) with a digit and a letter or with an inner capital, apart from the base spans.
+
+    Assignments become marks of their length first, and a token that touches one holds a mark;
+    the other base spans lie inside tokens.
+    """
+    plain = F.translate(text, "\x01", "\x02")  # marks of the text's own
+    hits = F.regexp_extract_all(plain, F.lit(ASSIGN), F.lit(0))
+    long = lambda h: F.length(F.regexp_extract(h, ASSIGN, 2)) >= 8
+    marked = lambda h: F.when(long(h), F.repeat(F.lit("\x01"), F.length(h))).otherwise(h)
+    between = F.zip_with(F.split(plain, ASSIGN, -1), F.concat(F.transform(hits, marked), F.array(F.lit(""))), lambda g, h: F.concat(g, h))
+    masked = F.when(_named(text), F.array_join(between, "")).otherwise(plain)
+    mixed = r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z][A-Z]"
+    base = r"\x01|[0-9a-f]{32}|AKIA[A-Z0-9]{12}"
+    found = F.filter(match_spans(masked, TOKEN), lambda s: s["token"].rlike(mixed) & ~s["token"].rlike(base))
+    return F.when(text.rlike(r"[A-Za-z0-9+/_-]{20}"), found).otherwise(F.array().cast("array<struct<start:int,end:int,token:string>>"))
+
+
+def encoding_of(symbols: Column) -> Column:
+    """The narrowest encoding that has all symbols."""
+    return (
+        F.when(symbols.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(symbols.rlike("^[A-Z2-7]+$"), "base32")
+        .when(symbols.rlike("^(?:[a-z0-9]+|[A-Z0-9]+)$"), "base36").when(symbols.rlike("^[A-Za-z0-9]+$"), "base62").otherwise("base64")
+    )
 
 
 def upper_tail(z: Column) -> Column:
@@ -87,115 +148,192 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def surprise(tokens: Column, null: Ordinary) -> Column:
-    """The candidates with their encoding and tenths of -log10(p), up to 300, under the null hypothesis."""
+def _lookup(key: Column, values: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[key]
+
+
+def _classes(alphabet: str) -> tuple[float, float]:
+    """By a random string's symbols: the chance that the class (upper, lower, digit, other) changes, and that it does twice in a row."""
+    kind = lambda c: 0 if c.isupper() else 1 if c.islower() else 2 if c.isdigit() else 3
+    p = [sum(kind(c) == k for c in alphabet) / len(alphabet) for k in range(4)]
+    return 1 - sum(x * x for x in p), sum(x * (1 - x) ** 2 for x in p)
 
-    def count(s: Column) -> Column:
-        whole = F.regexp_replace(s["token"], "=+$", "")
-        body = F.regexp_replace(whole, "[^A-Za-z0-9]", "")  # separators would count as changes of class in paths and identifiers
-        chars = F.split(body, "")
-        runs = F.length(F.regexp_replace(F.translate(body, _CLASSES[0], _CLASSES[1]), r"(.)\1*", "."))
-        codes = F.transform(chars, F.ascii)
-        encoding = (
-            F.when(whole.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(whole.rlike("^[A-Z2-7]+$"), "base32")
-            .when(whole.rlike("^(?:[a-z0-9]+|[A-Z0-9]+)$"), "base36").when(whole.rlike("^[A-Za-z0-9]+$"), "base62").otherwise("base64")
-        )
-        return F.struct(s.alias("s"), body.alias("body"), F.array_distinct(chars).alias("kinds"), runs.alias("runs"), codes.alias("codes"), encoding.alias("encoding"))
 
-    def add(s: Column) -> Column:
-        n = F.length(s["body"])
+_SIZE = {k: float(len(v)) for k, v in ENCODINGS.items()}
+_CHANGE = {k: _classes(v)[0] for k, v in ENCODINGS.items()}
+_TWICE = {k: _classes(v)[1] for k, v in ENCODINGS.items()}
+_TO_CLASS = (_UPPER + _LOWER + _DIGITS + "+/", "A" * 26 + "a" * 26 + "0" * 10 + "++")
 
-        def pairs(acc: Column, c: Column) -> Column:
-            k = (n - F.length(F.replace(s["body"], c, F.lit("")))).cast("double")
-            return acc + k * (k - 1) / 2
 
+def distance(symbols: Column, encoding: Column) -> Column:
+    """How far a string is from random in an encoding: -2 times the sum of the logarithms of three p-values.
+
+    They are of Pearson's chi-squared over the alphabet's A symbols (A - 1 degrees of freedom, by Wilson and Hilferty's cube
+    root), of the number of runs of classes (too few), and of the lag-one correlation of the symbols' places in the
+    alphabet (either sign), each against a random string in this encoding.
+    """
+
+    def counted(s: Column) -> Column:
+        chars = F.split(s["symbols"], "")
+        n = F.length(s["symbols"])
+        square = lambda acc, c: acc + F.pow((n - F.length(F.replace(s["symbols"], c, F.lit("")))).cast("double"), F.lit(2.0))
+        runs = F.length(F.regexp_replace(F.translate(s["symbols"], *_TO_CLASS), r"(.)\1*", "."))
+        places = F.transform(chars, lambda c: F.position(c, s["alphabet"]).cast("double"))
+        return F.struct(n.cast("double").alias("n"), s["encoding"].alias("encoding"), F.aggregate(F.array_distinct(chars), F.lit(0.0), square).alias("squares"), runs.cast("double").alias("runs"), places.alias("places"))
+
+    def summed(s: Column) -> Column:
         total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-        codes = s["codes"]
-        lagged = F.zip_with(F.slice(codes, 1, n - 1), F.slice(codes, 2, n - 1), lambda x, y: (x * y).cast("double"))
+        x, n = s["places"], s["n"].cast("int")
         return F.struct(
-            s["s"].alias("s"), s["encoding"].alias("encoding"), n.cast("double").alias("n"), s["runs"].cast("double").alias("runs"),
-            F.aggregate(s["kinds"], F.lit(0.0), pairs).alias("pairs"), total(F.transform(codes, lambda x: x.cast("double"))).alias("sum"),
-            total(F.transform(codes, lambda x: (x * x).cast("double"))).alias("squares"), total(lagged).alias("lagged"),
-            codes[0].cast("double").alias("head"), F.element_at(codes, -1).cast("double").alias("tail"),
+            s["n"].alias("n"), s["encoding"].alias("encoding"), s["squares"].alias("squares"), s["runs"].alias("runs"), total(x).alias("sum"), total(F.transform(x, lambda v: v * v)).alias("sum2"),
+            total(F.zip_with(F.slice(x, F.lit(1), n - 1), F.slice(x, F.lit(2), n - 1), lambda a, b: a * b)).alias("lagged"), x[0].alias("head"), F.element_at(x, -1).alias("tail"),
         )
 
-    def judge(s: Column) -> Column:
-        n = s["n"]
-        # uniformity: Pearson's statistic over A letters is A * (2 * pairs + n) / n - n, so pairs carry it
-        two, size = n * (n - 1) / 2, F.create_map(*[F.lit(x) for kv in _ALPHABET.items() for x in kv])[s["encoding"]]
-        likely = F.greatest(F.lit(null.agree2), 1.1 / size)
-        spread = two * likely * (1 - likely) + n * (n - 1) * (n - 2) * max(null.agree3 - null.agree2**2, 1e-4)
-        uniform = (two * likely - s["pairs"]) / F.sqrt(spread)
-        change = (s["runs"] - 1 - (n - 1) * null.change) / F.sqrt((n - 1) * null.change * (1 - null.change))
+    def judged(s: Column) -> Column:
+        n, size = s["n"], _lookup(s["encoding"], _SIZE)
+        df = size - 1
+        chi2 = size / n * s["squares"] - n
+        uneven = (F.cbrt(chi2 / df) - 1 + 2 / (9 * df)) / F.sqrt(2 / (9 * df))
+        q, twice = _lookup(s["encoding"], _CHANGE), _lookup(s["encoding"], _TWICE)
+        changes = F.sqrt((n - 1) * q * (1 - q) + 2 * (n - 2) * (twice - q * q))
+        few = ((n - 1) * q - (s["runs"] - 1)) / changes
         mean = s["sum"] / n
         across = s["lagged"] - mean * (2 * s["sum"] - s["head"] - s["tail"]) + (n - 1) * mean * mean
-        serial = across / F.greatest(s["squares"] - n * mean * mean, F.lit(1e-9))
-        loose = (null.serial - serial) * F.sqrt(n)
-        p = upper_tail((uniform + change + loose) / 3**0.5)
-        tenths = F.floor(F.least(-10 * F.log10(F.greatest(p, F.lit(1e-30))), F.lit(300.0))).cast("int")
-        stratum = F.lit(0)
-        for least in STRATA[1:]:
-            stratum = stratum + (n >= least).cast("int")
-        return F.struct(s["s"]["start"].alias("start"), s["s"]["kind"].alias("kind"), s["s"]["end"].alias("end"), s["encoding"].alias("encoding"), stratum.alias("stratum"), tenths.alias("tenths"))
+        serial = F.abs(across / F.greatest(s["sum2"] - n * mean * mean, F.lit(1e-9)) + 1 / (n - 1)) * F.sqrt(n)
+        log = lambda p: F.ln(F.greatest(p, F.lit(1e-300)))
+        return -2 * (log(upper_tail(uneven)) + log(upper_tail(few)) + log(F.least(2 * upper_tail(serial), F.lit(1.0))))
+
+    whole = F.struct(symbols.alias("symbols"), encoding.alias("encoding"), _lookup(encoding, ENCODINGS).alias("alphabet"))
+    return bind(bind(bind(whole, counted), summed), judged)
+
+
+def stratum_of(n: Column) -> Column:
+    out = F.lit(0)
+    for least in STRATA[1:]:
+        out = out + (n >= least).cast("int")
+    return out
+
+
+def normal_form(symbols: Column, encoding: Column) -> Column:
+    """Symbols as the encoding's alphabet has them."""
+    return F.when(encoding == "hex", F.lower(symbols)).when(encoding == "base36", F.lower(symbols)).when(encoding == "base64", F.translate(symbols, "-_", "+/")).otherwise(symbols)
+
 
-    solid = F.filter(F.transform(tokens, count), lambda s: F.length(s["body"]) >= STRATA[0] - 4)
-    return F.transform(F.transform(solid, add), judge)
+def measured(tokens: Column) -> Column:
+    """The candidates as (start, end, encoding, stratum, distance)."""
+
+    def one(s: Column) -> Column:
+        whole = F.struct(s["start"].alias("start"), s["end"].alias("end"), F.regexp_replace(s["token"], "=+$", "").alias("symbols"))
+        coded = lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["symbols"].alias("symbols"), encoding_of(t["symbols"]).alias("encoding"))
+        done = lambda t: F.struct(
+            t["start"].alias("start"), t["end"].alias("end"), t["encoding"].alias("encoding"), stratum_of(F.length(t["symbols"])).alias("stratum"),
+            distance(normal_form(t["symbols"], t["encoding"]), t["encoding"]).alias("distance"),
+        )
+        return bind(bind(whole, coded), done)
+
+    return F.transform(tokens, one)
 
 
-_ALPHABET = {"hex": 16.0, "base32": 32.0, "base36": 36.0, "base62": 62.0, "base64": 64.0}
-_CLASSES = ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 26 + "A" * 26 + "0" * 10)
+def decoy(text: Column, encoding: str, n: int) -> Column:
+    """A stretch of n of a text's own characters in an encoding, at a place given by its hash; null if it has fewer."""
+    kept = {
+        "hex": F.regexp_replace(F.lower(text), "[^0-9a-f]", ""), "base32": F.regexp_replace(F.upper(text), "[^A-Z2-7]", ""), "base36": F.regexp_replace(F.lower(text), "[^a-z0-9]", ""),
+        "base62": F.regexp_replace(text, "[^A-Za-z0-9]", ""), "base64": F.regexp_replace(text, "[^A-Za-z0-9]+", "/"),
+    }[encoding]
+    places = lambda s: F.pmod(F.xxhash64(F.lit(n), s), F.greatest(F.length(s) - n + 1, F.lit(1)).cast("long")).cast("int")
+    return bind(kept, lambda s: F.when(F.length(s) >= n, F.substring(s, places(s) + 1, F.lit(n))))
 
 
-def thresholds(judged: DataFrame, q: float) -> dict[int, int]:
-    """By stratum the least tenths that keep the share of false discoveries under q: Benjamini-Hochberg over a histogram.
+def limits(found: DataFrame, tokens: str, docs: DataFrame, text: str, q: float) -> dict[str, float]:
+    """By encoding and stratum the greatest distance that keeps the share of ordinary tokens under q.
 
-    The counts are of all tokens; only the histogram, of 7 strata by 301 values, comes to the driver.
+    Tokens and decoys are counted over the whole table; only a histogram (35 groups by 121 steps)
+    and three numbers for each of the groups that have tokens come to the driver.
     """
-    rows = judged.select(F.explode("judged").alias("j")).groupBy("j.stratum", "j.tenths").count().collect()
+    t = F.col("t")
+    key = F.concat_ws(":", t["encoding"], t["stratum"].cast("string"))
+    step = F.ceil(F.least(t["distance"], F.lit(FURTHEST + 1)) / STEP).cast("int")
+    histogram = found.select(F.explode(tokens).alias("t")).groupBy(key.alias("key"), step.alias("step")).count().collect()
+    counts: dict[str, dict[int, int]] = {}
+    for r in histogram:
+        counts.setdefault(r.key, {})[r.step] = r["count"]
+    keys = [k for k in sorted(counts) if min(counts[k]) * STEP <= FURTHEST]
+    if not keys:
+        return {}
+    whole = F.coalesce(F.col(text), F.lit(""))
+    made = [F.struct(F.lit(k).alias("key"), F.lit(k.split(":")[0]).alias("encoding"), decoy(whole, k.split(":")[0], STRATA[int(k.split(":")[1])]).alias("symbols")) for k in keys]
+    decoys = docs.select(F.explode(F.array(*made)).alias("d")).filter("d.symbols IS NOT NULL")
+    x = F.ln(F.greatest(distance(F.col("d.symbols"), F.col("d.encoding")), F.lit(1e-3)))
+    seen = {r.key: r for r in decoys.select(F.col("d.key").alias("key"), x.alias("x")).groupBy("key").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var")).collect()}
     out = {}
-    for stratum in {r.stratum for r in rows}:
-        counts = [0] * 302
-        for r in rows:
-            if r.stratum == stratum:
-                counts[r.tenths] += r["count"]
-        m = found = sum(counts)
-        for tenths in range(301):  # found: tokens at least so surprising
-            if found and m * 10 ** (-tenths / 10) <= q * found:
-                out[stratum] = tenths
-                break
-            found -= counts[tenths]
+    for k in keys:
+        r = seen.get(k)
+        n, mean, var = (r.n, r.mean, r.var) if r else (0, 0.0, 0.0)
+        prior = math.log(STRATA[int(k.split(":")[1])])
+        centre = (PRIOR * prior + n * mean) / (PRIOR + n)
+        spread = math.sqrt((PRIOR * DEVIATION**2 + n * var) / (PRIOR + n))
+        m, below = sum(counts[k].values()), 0
+        for s in range(int(FURTHEST / STEP) + 1):
+            below += counts[k].get(s, 0)
+            p = 0.5 * math.erfc((centre - math.log(max(s * STEP, 1e-3))) / spread / math.sqrt(2))
+            if below and m * p <= q * below:
+                out[k] = s * STEP
     return out
 
 
-def scan(docs: DataFrame, q: float = 0.01, null: Ordinary = Ordinary(), text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, q: float = 0.01, text: str = "text", keep_text: bool = True) -> DataFrame:
     """docs plus `secrets`: an array of (start, kind, end) by start, then kind (an index of KINDS), in code points.
 
-    Null and empty texts have none. Every token of the table has a part in the thresholds.
-    Other columns, repeated rows and an empty table pass through; a column `secrets` is replaced.
+    Null and empty texts have none; a very long text, however dense in secrets, takes time in proportion to its length.
+    Every token of the table has a part in the limits, equal distances are found or left together, and repeated rows all count. Other columns and an
+    empty table pass through; a column `secrets` is replaced. With keep_text the texts are gone over twice, as
+    writing them in between would cost more; without, the text is left out and they are gone over once.
     """
     docs = docs.drop("secrets")
+    mark = unused_name(docs, "found")
     whole = F.coalesce(F.col(text), F.lit(""))
-    based = docs.withColumn("_base", base_spans(whole))
-    judged = based.withColumn("judged", surprise(random_candidates(whole, F.col("_base")), null))
-    limits = thresholds(judged, q)
-    hit = F.lit(False)
-    limit = lambda s: hit if not limits else F.coalesce(s["tenths"] >= F.create_map(*[F.lit(x) for kv in sorted(limits.items()) for x in kv])[s["stratum"]], hit)
-    plain = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
-    added = F.transform(F.filter("judged", limit), plain)
-    return judged.withColumn("secrets", F.array_sort(F.concat(F.transform("_base", plain), added))).drop("_base", "judged")
+    found = docs.withColumn(mark, F.struct(base_spans(whole).alias("base"), measured(candidates(whole)).alias("tokens")))
+    if not keep_text:
+        found = cut(found.drop(text))
+    most = limits(found, f"{mark}.tokens", docs, text, q)
+
+    def added(tokens: Column) -> Column:
+        if not most:
+            return F.array().cast(_SPANS)
+        near = lambda s: F.ceil(s["distance"] / STEP) * STEP <= F.coalesce(_lookup(F.concat_ws(":", s["encoding"], s["stratum"].cast("string")), most), F.lit(-1.0))
+        return _as(3, F.filter(tokens, near))
+
+    return found.withColumn(mark, bind(F.col(mark), lambda f: F.array_sort(F.concat(f["base"], added(f["tokens"]))))).withColumnRenamed(mark, "secrets")
 
 
 def redact(scanned: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The texts with every span of `secrets` replaced; overlapping spans become one mark. Drops `secrets`."""
+    """The texts with every span of `secrets` replaced; overlapping spans become one mark. Drops `secrets`.
+
+    A text is taken in blocks, and a block with the spans that touch it. Null texts stay null.
+    """
     whole = F.col(text)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    fresh = lambda s: F.zip_with(s, running(F.transform(s, lambda x: x["end"]), F.greatest), lambda x, b: F.struct(x["start"].alias("start"), x["end"].alias("end"), (x["start"] >= b).alias("fresh")))
+    touching = lambda spans, at, size: F.filter(spans, lambda s: (s["end"] > at) & (s["start"] < at + size))
+
+    def block(piece: Column, at: Column, spans: Column) -> Column:
+        zero = F.struct(at.alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def step(state: Column, s: Column) -> Column:
+            before = F.substring(piece, state["at"] - at + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+            shown = F.when(s["fresh"] & (s["start"] >= at), F.concat(before, F.lit(mark))).otherwise(before)
+            return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.array_append(state["out"], shown).alias("out"))
+
+        done = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(piece, F.least(s["at"] - at, F.lit(_BLOCK)) + 1, F.lit(_BLOCK)))
+        return F.aggregate(spans, zero, step, done)
 
-    def step(state: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(whole, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))
-        out = F.when(s["start"] >= state["at"], F.array_append(state["out"], piece)).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+    def blocks(pieces: Column, spans: Column) -> Column:
+        size = _BLOCK * _BLOCKS
+        heads = F.sequence(F.lit(0), F.greatest(F.size(pieces) - 1, F.lit(0)), F.lit(_BLOCKS))
+        few = lambda i, near: F.transform(F.slice(pieces, i + 1, F.lit(_BLOCKS)), lambda p, k: block(p, (i + k) * _BLOCK, touching(near, (i + k) * _BLOCK, _BLOCK)))
+        return F.array_join(F.flatten(F.transform(heads, lambda i: bind(touching(spans, i * _BLOCK, size), lambda near: few(i, near)))), "")
 
-    done = F.aggregate("secrets", zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(whole, s["at"] + 1, F.length(whole))))
+    pieces = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    done = bind(fresh(F.col("secrets")), lambda spans: bind(pieces, lambda p: blocks(p, spans)))
     return scanned.withColumn(text, F.when(F.size("secrets") > 0, done).otherwise(whole)).drop("secrets")
 
 
@@ -204,7 +342,7 @@ def op8(docs: DataFrame) -> DataFrame:
     show = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("secrets", lambda s: s["kind"] < 3)
-    return scan(docs).select(
+    return scan(docs.select("doc_id", "text"), keep_text=False).select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(show(base), 256).alias("base_sha256"), show(F.col("secrets")).alias("spans"),
     )
