@@ -13,7 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unused_name
+
+#: A level's bits travel inside the query, so a list may have as many keys as keep each level under this size.
+MOST_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -23,12 +26,14 @@ class Level:
     seed: int
 
     def probe(self, key: Column) -> Column:
-        hit = F.lit(True)
-        for h in range(self.n_hashes):
-            at = F.pmod(F.xxhash64(F.lit(self.seed), F.lit(h), key), F.lit(8 * len(self.bits)))
+        n = F.lit(8 * len(self.bits))
+
+        def set_at(h: Column) -> Column:
+            at = F.pmod(F.xxhash64(F.lit(self.seed), h, key), n)
             byte = F.conv(F.hex(F.substring(F.lit(self.bits), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-            hit = hit & (F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1)
-        return hit
+            return F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
+
+        return F.forall(F.array(*[F.lit(h) for h in range(self.n_hashes)]), set_at)
 
 
 @dataclass(frozen=True)
@@ -49,6 +54,8 @@ class BloomCascade:
 def _encode(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
     n_hashes = max(1, round(-math.log2(rate)))
     n_bytes = max(8, math.ceil(n * n_hashes * 1.4427 / 8))
+    if n_bytes > MOST_BYTES:
+        raise ValueError(f"a level would take {n_bytes} bytes, more than {MOST_BYTES}: join with so long a list instead")
     at = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(seed), F.lit(h), F.col("key")), F.lit(8 * n_bytes)) for h in range(n_hashes)]))
     # a row per set byte: as large as the filter, which the listed keys bound
     rows = keys.select(at.alias("at")).groupBy(F.shiftright("at", 3).alias("byte")).agg(
@@ -98,10 +105,12 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def candidate_keys(host: Column, path: Column, lengths: Sequence[int]) -> Column:
-    """Every key that a rule for this host and path could have: its domains times its path's heads of the given lengths."""
-    parts = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+def candidate_keys(host: Column, path: Column, depths: Sequence[int], lengths: Sequence[int]) -> Column:
+    """Every key that a rule for this host and path could have, for rules of so many labels and paths of such lengths.
+
+    Only the host's last labels are looked at, so a host of very many costs no more than reading it.
+    """
+    domains = F.array_distinct(F.array(*[F.substring_index(host, ".", -n) for n in depths]))
     heads = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda p: p.isNotNull())
     keys = F.flatten(F.transform(domains, lambda d: F.transform(heads, lambda p: F.concat(d, p))))
     return F.when(host != "", keys).otherwise(F.array().cast("array<string>"))
@@ -112,21 +121,25 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], default: str
 
     rules: (allow or block, host and path). A rule fits its host and all subdomains where the
     path starts with the rule's; the longest wins, and default holds where none fits. A null or
-    malformed url has an empty host and path and gets default. Columns of the same names are
+    malformed url has an empty host and path and gets default. A url takes time by its length, however many
+    labels its host has. Of rules with one key the last counts. Columns of the same names are
     replaced; other columns, repeated rows and an empty table pass through.
     """
     spark = pages.sparkSession
+    rules = [(verdict, key) for key, verdict in {key: verdict for verdict, key in rules}.items()]
     pages = pages.drop("host", "path", "rule", "verdict").withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
     lengths = sorted({len(key) - key.index("/") for _, key in rules}) or [1]
-    keys = candidate_keys(F.col("host"), F.col("path"), lengths)
+    depths = sorted({key.split("/")[0].count(".") + 1 for _, key in rules}) or [1]
+    keys = candidate_keys(F.col("host"), F.col("path"), depths, lengths)
+    mark = unused_name(pages, "keys")
     listed = spark.createDataFrame([(key,) for _, key in rules], "key string")
     blocked = spark.createDataFrame([(key,) for verdict, key in rules if verdict == "block"], "key string")
     fits = build_cascade(pages.select(F.explode(keys).alias("key")), listed)
     blocks = build_cascade(listed, blocked)  # only rules are asked for, so they are its universe
-    fitting = F.filter(F.col("_keys"), lambda k: fits.contains(k))
+    fitting = F.filter(F.col(mark), lambda k: fits.contains(k))
     longest = F.array_max(F.transform(fitting, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))["key"]
     verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(blocks.contains(F.col("rule")), "block").otherwise("allow")
-    return pages.withColumn("_keys", keys).withColumn("rule", longest).withColumn("verdict", verdict).drop("_keys")
+    return pages.withColumn(mark, keys).withColumn("rule", longest).withColumn("verdict", verdict).drop(mark)
 
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
