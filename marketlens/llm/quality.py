@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, join_groups
@@ -25,10 +25,14 @@ SYMBOLS, GAPS = "#*$%&|<>", " \t\n\v\f\r"
 REPEAT = 5
 #: The dimensions' least standard deviations, in transformed units: many texts have no symbols and no repeats at all.
 FLOORS = (0.5, 0.1, 0.1, 0.2, 0.2)
-#: Groups of fewer rows take their language's estimate, and those the whole table's.
-LEAST_GROUP = 50
-#: The share of rows that a concentration step keeps, and how often it is taken.
-SHARE, STEPS = 0.75, 3
+#: A group's estimate is drawn towards its language's as by so many rows of it, that towards the whole table's, and
+#: that towards a spread of WIDE in each dimension; so a small group weighs little, and no size is a threshold.
+PRIOR = 50
+WIDE = (2.0, 0.5, 0.5, 0.5, 0.5)
+#: The share of rows that a concentration step keeps. Steps go on until no group's log determinant falls by more than STABLE.
+SHARE, STABLE = 0.75, 0.01
+#: Distances are counted in so many bins to the octave, from 2**-20 to 2**40.
+OCTAVE, LOWEST, HIGHEST = 16, -20, 40
 
 
 def text_statistics(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,23 +85,37 @@ def chi2_quantile(p: float, k: int) -> float:
     return (lo + hi) / 2
 
 
+def _square(upper: list[float], d: int) -> np.ndarray:
+    out = np.zeros((d, d))
+    out[np.triu_indices(d)] = upper
+    return out + np.triu(out, 1).T
+
+
+def _floored(cov: np.ndarray, floors: tuple[float, ...]) -> np.ndarray:
+    """A covariance whose variances are at least the floors' squares."""
+    cov = cov.copy()
+    i = np.diag_indices(len(floors))
+    cov[i] = np.maximum(cov[i], 0)
+    cov[i] += np.maximum(np.square(floors) - cov[i], 0)
+    return cov
+
+
+_ESTIMATE = "group string, size double, centre array<double>, cov array<double>, precision array<double>, logdet double"
+
+
 def _shape(batches: Iterable[pa.RecordBatch], floors: tuple[float, ...], correct: float) -> Iterator[pa.RecordBatch]:
-    """(group, n, sums, products) -> (group, size, centre, precision)."""
+    """(group, size, n, sums, products) -> _ESTIMATE."""
     d = len(floors)
-    upper = np.triu_indices(d)
+    floats = pa.list_(pa.float64())
     for batch in batches:
-        centres, precisions = [], []
-        for n, s, q in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+        rows = []
+        for n, s, q in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True):
             mean = np.array(s) / n
-            cov = np.zeros((d, d))
-            cov[upper] = np.array(q) / n
-            cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
-            cov = cov * correct
-            cov[np.diag_indices(d)] = np.maximum(np.diag(cov), 0)
-            low = np.maximum(np.square(floors) - np.diag(cov), 0)
-            centres.append(mean.tolist())
-            precisions.append(np.linalg.inv(cov + np.diag(low)).ravel().tolist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(centres, pa.list_(pa.float64())), pa.array(precisions, pa.list_(pa.float64()))], ["group", "size", "centre", "precision"])
+            cov = (_square(q, d) / n - np.outer(mean, mean)) * correct
+            full = _floored(cov, floors)
+            rows.append((mean.tolist(), cov.ravel().tolist(), np.linalg.inv(full).ravel().tolist(), float(np.linalg.slogdet(full)[1])))
+        columns = [list(c) for c in zip(*rows, strict=True)] or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, floats) for c in columns[:3]], pa.array(columns[3], pa.float64())], ["group", "size", "centre", "cov", "precision", "logdet"])
 
 
 def distance(x: Column, centre: Column, precision: Column, d: int) -> Column:
@@ -112,11 +130,12 @@ def _group(level: int) -> Column:
     return F.to_json(F.array(*parts))
 
 
-def mcd(rows: DataFrame, floors: tuple[float, ...], share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """(group, id, x) -> (group, size, centre, precision) by concentration steps.
+def mcd(rows: DataFrame, floors: tuple[float, ...], share: float = SHARE) -> DataFrame:
+    """(group, id, x) -> (group, size, centre, cov, precision, logdet) by concentration steps until the determinants are stable.
 
-    They start from medians and quartiles, which are as robust, and each keeps the share of
-    the group's rows that lie nearest. Quantiles and moments are combined before the shuffle.
+    They start from medians and quartiles, which are as robust. A step is one pass: moments are summed by group and
+    bin of distance, combined before the shuffle; the nearest bins that make up the share are
+    kept, of the last one as large a part as is needed. A group is never in one place, so it may be of any size.
     """
     d = len(floors)
     inner = chi2_quantile(share, d)
@@ -124,26 +143,53 @@ def mcd(rows: DataFrame, floors: tuple[float, ...], share: float = SHARE, steps:
     start = rows.groupBy("group").agg(F.count(F.lit(1)).alias("size"), *[F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75]).alias(f"q{i}") for i in range(d)])
     scale = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(floors[i])) for i in range(d)]
     diagonal = F.array(*[1 / (scale[i] * scale[i]) if i == j else F.lit(0.0) for i in range(d) for j in range(d)])
-    shape = cut(start.select("group", "size", F.array(*[F.col(f"q{i}")[1] for i in range(d)]).alias("centre"), diagonal.alias("precision")))
-    for _ in range(steps):
-        far = join_groups(rows, shape, "group", "id").select("group", "id", "x", distance(F.col("x"), F.col("centre"), F.col("precision"), d).alias("d2"))
-        limit = cut(far.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.percentile_approx("d2", share).alias("limit")))
-        near = join_groups(far, limit, "group", "id").filter("d2 <= limit")
-        x = [F.col("x")[i] for i in range(d)]
-        sums = near.groupBy("group").agg(
-            F.count(F.lit(1)).alias("n"), F.max("size").alias("size"),
-            F.array(*[F.sum(x[i]) for i in range(d)]).alias("sums"), F.array(*[F.sum(x[i] * x[j]) for i in range(d) for j in range(i, d)]).alias("products"),
-        )
-        shape = cut(sums.select("group", "n", "size", "sums", "products").mapInArrow(lambda it: _shape(it, floors, correct), "group string, size long, centre array<double>, precision array<double>"))
-    return shape
-
-
-def judge(docs: DataFrame, keep: float = 0.9999, floors: tuple[float, ...] = FLOORS) -> DataFrame:
+    shape = cut(start.select("group", F.array(*[F.col(f"q{i}")[1] for i in range(d)]).alias("centre"), diagonal.alias("precision"), F.lit(None).cast("double").alias("logdet")))
+    x = [F.col("x")[i] for i in range(d)]
+    moments = [F.lit(1.0), *x, *[x[i] * x[j] for i in range(d) for j in range(i, d)]]
+    names = [f"m{k}" for k in range(len(moments))]
+    place = F.floor(F.log2(F.greatest(F.col("d2"), F.lit(2.0**LOWEST))) * OCTAVE).cast("int")
+    w = Window.partitionBy("group").orderBy("bin")
+    before = F.coalesce(F.sum("m0").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    while True:
+        far = join_groups(rows, shape.select("group", "centre", "precision"), "group", "id").select("group", "x", distance(F.col("x"), F.col("centre"), F.col("precision"), d).alias("d2"))
+        binned = far.groupBy("group", F.least(place, F.lit(HIGHEST * OCTAVE)).alias("bin")).agg(*[F.sum(m).alias(n) for m, n in zip(moments, names, strict=True)])
+        # at most (HIGHEST - LOWEST) * OCTAVE bins of a group come together
+        part = F.least(F.greatest((F.col("size") * share - F.col("before")) / F.col("m0"), F.lit(0.0)), F.lit(1.0))
+        near = binned.withColumns({"before": before, "size": F.sum("m0").over(Window.partitionBy("group"))}).withColumn("part", part).filter("part > 0")
+        sums = near.groupBy("group", "size").agg(*[F.sum(F.col(n) * F.col("part")).alias(n) for n in names])
+        packed = sums.select("group", "size", "m0", F.array(*names[1 : d + 1]), F.array(*names[d + 1 :]))
+        known = shape.select(F.col("group").alias("was"), F.col("logdet").alias("last"))
+        shape = cut(packed.mapInArrow(lambda it: _shape(it, floors, correct), _ESTIMATE))
+        moved = shape.join(known, F.col("group") == F.col("was")).agg(F.max(F.coalesce(F.col("last") - F.col("logdet"), F.lit(1.0))).alias("m")).first().m
+        if moved is None or moved <= STABLE:
+            return shape
+
+
+def _drawn(batches: Iterable[pa.RecordBatch], floors: tuple[float, ...], prior: float, wide: tuple[float, ...]) -> Iterator[pa.RecordBatch]:
+    """(group, and size, centre, cov of it, its language and the table) -> (group, centre, precision), each drawn towards the next."""
+    d = len(floors)
+    floats = pa.list_(pa.float64())
+    for batch in batches:
+        centres, precisions = [], []
+        for row in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
+            centre, cov = np.array(row[7]), np.diag(np.square(wide))
+            for size, own, spread in (row[6:9], row[3:6], row[0:3]):
+                a = size / (size + prior)
+                away = np.array(own) - centre
+                cov = a * np.reshape(spread, (d, d)) + (1 - a) * cov + a * (1 - a) * np.outer(away, away)
+                centre = centre + a * away
+            centres.append(centre.tolist())
+            precisions.append(np.linalg.inv(_floored(cov, floors)).ravel().tolist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(centres, floats), pa.array(precisions, floats)], ["group", "centre", "precision"])
+
+
+def judge(docs: DataFrame, keep: float = 0.9999, floors: tuple[float, ...] = FLOORS, prior: float = PRIOR, wide: tuple[float, ...] = WIDE) -> DataFrame:
     """doc_id, COUNTS, base_failed, distance2 and kept for every row of docs.
 
     A document fails the base rules with under 10 words, or if more than a fifth of its words
-    repeat; what passes is rejected if its squared distance is beyond the chi-squared quantile `keep`.
-    Null and empty texts have no words. Null languages and sources are groups of their own.
+    repeat; what passes is rejected if its squared distance from its language and source's estimate is beyond the chi-squared quantile `keep`
+    (one right at it is kept). That estimate is of the group's own rows, drawn towards the language's and the table's as by `prior` rows.
+    Null and empty texts have no words and null languages and sources are groups of their own; very long texts are counted whole.
     Repeated rows all count. Other columns are left out; an empty table gives an empty one.
     """
     d = len(floors)
@@ -151,18 +197,18 @@ def judge(docs: DataFrame, keep: float = 0.9999, floors: tuple[float, ...] = FLO
     counts = ", ".join(f"{c} long" for c in COUNTS)
     stats = rows.mapInArrow(text_statistics, f"doc_id long, lang string, source string, {counts}")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    groups = F.array(*[F.struct(F.lit(level).alias("level"), _group(level).alias("group")) for level in (0, 1, 2)])
-    stats = cut(stats.withColumns({"base_failed": failed, "x": F.array(*vector()), "groups": groups}).withColumn("id", F.xxhash64("doc_id", "n_words", "word_chars")))
-    levels = stats.filter(~F.col("base_failed")).select("id", "x", F.explode("groups.group").alias("group"))
-    shape = mcd(levels, floors).filter(F.col("size") >= LEAST_GROUP)
-    # the narrowest of a document's groups that has an estimate
-    known = stats
+    own = {f"g{level}": _group(level) for level in (0, 1, 2)}
+    stats = cut(stats.withColumns({"base_failed": failed, "x": F.array(*vector()), **own}).withColumn("id", F.xxhash64("doc_id", "n_words", "word_chars")).drop("lang", "source"))
+    passed = stats.filter(~F.col("base_failed"))
+    shape = mcd(passed.select("id", "x", F.explode(F.array(*own)).alias("group")), floors)
+    groups = passed.select(*own).distinct()
     for level in (0, 1, 2):
-        side = shape.select(F.col("group").alias("key"), F.struct("centre", "precision").alias(f"s{level}"))
-        known = join_groups(known.withColumn("key", F.col("groups")[level]["group"]), side, "key", "id", "left").drop("key")
-    best = F.coalesce("s0", "s1", "s2")
-    far = distance(F.col("x"), best["centre"], best["precision"], d)
-    known = known.withColumn("distance2", far)
+        side = shape.select(F.col("group").alias(f"g{level}"), *[F.col(c).alias(f"{c}{level}") for c in ("size", "centre", "cov")])
+        groups = groups.join(side, f"g{level}")
+    wanted = groups.select("g0", *[f"{c}{level}" for level in (0, 1, 2) for c in ("size", "centre", "cov")])
+    drawn = cut(wanted.mapInArrow(lambda it: _drawn(it, floors, prior, wide), "group string, centre array<double>, precision array<double>"))
+    known = join_groups(stats.withColumnRenamed("g0", "group"), drawn, "group", "id", "left")
+    known = known.withColumn("distance2", distance(F.col("x"), F.col("centre"), F.col("precision"), d))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= chi2_quantile(keep, d), F.lit(True))
     return known.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), "distance2")
 
