@@ -3,6 +3,8 @@
 A window is k consecutive words. Consecutive windows that share a minimiser (the least
 hash among their m-word grams) travel as one packed string to the minimiser's bucket,
 where sorting brings equal windows together and tells which document has each first.
+Windows are sorted by a hash, and those with equal hashes are compared word by word, so no
+word is removed because two hashes met.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import gram_hashes, hash_spans, mix64, read_words, slices, spans, split_words
+from .textops import gram_hashes, hash_spans, mix64, read_words, slices, spans, split_words, word_ids
 
 #: A null doc_id stands behind all others.
 LAST = (1 << 63) - 1
@@ -24,23 +26,37 @@ PACK = "dest int, kind int, docs binary, starts binary, sizes binary, packed bin
 SETTLED, WINDOWS = 0, 1
 
 
-def _later(first: np.ndarray, second: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which windows are found in a document with a smaller id; first and second are two hashes of each."""
-    out = np.zeros(len(first), bool)
-    if len(first) < 2:
+def _later(hashes: np.ndarray, doc: np.ndarray, ids: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Which windows are found in a document with a smaller id; ids[at : at + k] are a window's words."""
+    out = np.zeros(len(hashes), bool)
+    if len(hashes) < 2:
         return out
-    order = np.argsort(first, kind="stable")
-    ties = first[order[1:]] == first[order[:-1]]
+    order = np.argsort(hashes, kind="stable")
+    ties = hashes[order[1:]] == hashes[order[:-1]]
     if not ties.any():
         return out
     near = np.zeros(len(order), bool)
     near[1:] |= ties
     near[:-1] |= ties
     order = order[near]
-    order = order[np.lexsort((doc[order], second[order], first[order]))]
-    a, b, d = first[order], second[order], doc[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    order = order[np.lexsort((doc[order], hashes[order]))]
+    h, d, place = hashes[order], doc[order], at[order]
+    new = np.r_[True, h[1:] != h[:-1]]
+    same = np.ones(len(order) - 1, bool)
+    for j in range(k):
+        word = ids[place + j]
+        same &= word[1:] == word[:-1]
+    met = ~new[1:] & ~same  # different windows with one hash
+    if met.any():
+        run = np.cumsum(new)
+        for r in np.unique(run[1:][met]).tolist():
+            inside = np.flatnonzero(run == r)
+            words = ids[place[inside][:, None] + np.arange(k)]
+            inside = inside[np.lexsort((d[inside], *words.T[::-1]))]
+            where = np.sort(inside)
+            order[where], d[where], place[where] = order[inside], d[inside], place[inside]
+            words = ids[place[where][:, None] + np.arange(k)]
+            new[where[1:]] |= (words[1:] != words[:-1]).any(axis=1)
     least = d[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     out[order[d > least]] = True
     return out
@@ -96,7 +112,7 @@ def pack(batches: Iterable[pa.RecordBatch], k: int, m: int, parts: int) -> Itera
         at = np.flatnonzero(np.arange(n) + k <= end[:n])  # windows don't reach into the next document
         if not len(at):
             continue
-        later = _later(gram_hashes(words.hashes, k, 1)[at], gram_hashes(words.hashes, k, 2)[at], doc_at[at])
+        later = _later(gram_hashes(words.hashes, k, 1)[at], doc_at[at], word_ids(words.data, words.starts, words.ends)[0], at, k)
         gone = at[later]
         rows = list(_settled(doc_at[gone], gone - base[gone], parts))
         at = at[~later]
@@ -125,6 +141,8 @@ def settle(batches: Iterable[pa.RecordBatch], k: int, parts: int) -> Iterator[pa
     """In a bucket: unpack the windows, sort them and send off those that a smaller document has too."""
     unsqueeze = zstandard.ZstdDecompressor()
     held: list[tuple] = []
+    known: list[pa.Array] = []
+    place = 0
     for batch in batches:
         rows = []
         for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -133,17 +151,25 @@ def settle(batches: Iterable[pa.RecordBatch], k: int, parts: int) -> Iterator[pa
                 continue
             docs, starts, size = np.frombuffer(row[2], np.int64), np.frombuffer(row[3], np.int32), np.frombuffer(row[4], np.int32).astype(np.int64)
             data = unsqueeze.decompress(row[5])
-            hashes = hash_spans(data, *spans(data))
+            begin, end = spans(data)
+            ids, distinct = word_ids(data, begin, end)
             count = size - (k - 1)
             inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             at = np.repeat(np.cumsum(size) - size, count) + inside
-            held.append((gram_hashes(hashes, k, 1)[at], gram_hashes(hashes, k, 2)[at], np.repeat(docs, count), (np.repeat(starts, count) + inside).astype(np.int32)))
+            held.append((gram_hashes(hash_spans(data, begin, end), k, 1)[at], np.repeat(docs, count), (np.repeat(starts, count) + inside).astype(np.int32), (at + place).astype(np.int64), ids))
+            known.append(distinct)
+            place += len(ids)
         if rows:
             yield _batch(rows)
     if held:
-        first, second, doc, starts = (np.concatenate([p[i] for p in held]) for i in range(4))
+        # the packs' lists of words become one
+        whole = pa.chunked_array(known).combine_chunks().dictionary_encode()
+        again, base = np.asarray(whole.indices).astype(np.int32), np.cumsum([0, *map(len, known)])
+        ids = np.concatenate([again[b:][p[4]] for b, p in zip(base.tolist(), held, strict=False)])
+        known.clear()
+        hashes, doc, starts, at = (np.concatenate([p[i] for p in held]) for i in range(4))
         held.clear()
-        later = _later(first, second, doc)
+        later = _later(hashes, doc, ids, at, k)
         rows = list(_settled(doc[later], starts[later].astype(np.int64), parts))
         if rows:
             yield _batch(rows)
@@ -196,12 +222,12 @@ def dedup_substrings(docs: DataFrame, k: int = 13, m: int = 4, key: str = "doc_i
 
     A word goes if a window over it also starts in a document with a smaller id; windows are
     judged on the input. Words are kept unchanged and joined by one space. A null or empty text
-    has no words. Rows that repeat an id count as one document: none makes another go. A null
+    has no words, and a very long one is taken whole. Rows that repeat an id count as one document: none makes another go. A null
     id stands behind all others. Other columns are left out; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())  # a bucket stays as large as the input's partitions
     packs = rows.mapInArrow(lambda it: pack(it, k, m, parts), PACK)
     settled = packs.repartitionById(parts, "dest").mapInArrow(lambda it: settle(it, k, parts), PACK)
     marks = settled.repartitionById(parts, "dest").mapInArrow(merge_marks, "doc_id long, runs binary")

@@ -99,6 +99,16 @@ def read_words(texts: list[str | None], lower: bool = False) -> Words:
     return Words(data, starts, ends, counts, hash_spans(data, starts, ends))
 
 
+def word_ids(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Each word's place in a list of the distinct words, and that list; equal places mean equal words."""
+    raw = np.frombuffer(data, np.uint8)
+    dense = raw[~_IS_GAP[raw]]
+    offsets = np.r_[0, np.cumsum(ends - starts)].astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(dense.tobytes())])
+    coded = words.dictionary_encode()
+    return np.asarray(coded.indices).astype(np.int32), coded.dictionary
+
+
 def split_words(text: str | None, lower: bool = False) -> list[bytes]:
     """The words of a text as UTF-8; bytes.split() parts at exactly space and 0x09-0x0D."""
     raw = (text or "").encode()
