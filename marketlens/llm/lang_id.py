@@ -12,17 +12,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import GAP
-from .textops import U, Words, mix64, read_words, slices
+from .textops import U, Words, mix64, read_words, slices, split_words
 
-#: The model's bounds: weights are 2**16 rows of one number per language, and it is fitted on about
-#: so many documents of each language, a run of so many words of each.
+#: The model's bounds: weights are 2**16 rows of one number per language, and it is fitted on at most
+#: so many documents of each of the most frequent languages, a run of so many words of each.
 BITS = 16
-SAMPLE_DOCS, SAMPLE_WORDS = 300, 200
+SAMPLE_DOCS, SAMPLE_WORDS, MOST_LANGUAGES = 300, 200, 100
 LEXICON = 20_000
 NGRAMS, AFFIXES = (2, 3, 4), (1, 2, 3, 4)
 #: Chains are worked out in runs of so many words, and texts in slices of about so many bytes.
@@ -190,7 +190,7 @@ def forward_backward(scores: np.ndarray, counts: np.ndarray, transitions: np.nda
 
 def _switched(texts: list[str], langs: list[int], n: int, rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
     """Training chains: half of one language, half of runs of 4 to 20 words from several; and a label for each word."""
-    split = [t.split() for t in texts]
+    split = [[w.decode() for w in split_words(t)] for t in texts]
     usable = [i for i, w in enumerate(split) if w]
     chains, labels = [], []
     for c in range(n):
@@ -258,24 +258,29 @@ def fit_crf(texts: list[str], langs: list[str], n_chains: int = 2000, rounds: in
     return Crf(names, params[0].astype(np.float32), lexicon, params[1][: len(lexicon)].astype(np.float32), params[2], params[3])
 
 
-def training_sample(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, words_per_doc: int = SAMPLE_WORDS) -> tuple[list[str], list[str]]:
-    """Runs of words of labelled documents, about docs_per_lang of each language, chosen by a hash of the id.
+def training_sample(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, words_per_doc: int = SAMPLE_WORDS, languages: int = MOST_LANGUAGES) -> tuple[list[str], list[str]]:
+    """Runs of words of labelled documents, at most docs_per_lang of each of the most frequent languages, chosen by a hash of id and text.
 
-    Counts are over all labelled rows; what is collected is bounded by the two parameters and
-    words of up to 64 characters, however large the table is.
+    Counts are over all labelled rows; what is collected is bounded by the three parameters and
+    words of up to 64 characters, however large the table is and whatever its ids are.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    found = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(languages).collect()
+    counts = {r.lang: r["count"] for r in found}
     if not counts:
         return [], []
-    shares = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, docs_per_lang / n))])
+    shares = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 2 * docs_per_lang / n))])
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    draw = lambda seed: F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / float(1 << 30)
+    draw = lambda seed: F.pmod(F.xxhash64(F.lit(seed), key, "text"), F.lit(1 << 30)) / float(1 << 30)
     words = F.split(F.col("text"), GAP)
     start = F.floor(draw(2) * F.greatest(F.size(words) - words_per_doc, F.lit(1))).cast("int")
     run = F.transform(F.slice(words, start + 1, words_per_doc), lambda w: F.substring(w, 1, 64))
-    rows = labelled.filter(draw(1) < shares[F.col("lang")]).select("doc_id", "lang", F.array_join(run, " ").alias("run")).collect()
-    rows.sort(key=lambda r: (r.lang, r.doc_id is None, r.doc_id, r.run))
+    some = labelled.withColumn("draw", draw(1)).filter(F.col("draw") < F.coalesce(shares[F.col("lang")], F.lit(0.0)))
+    # about twice as many as are wanted, repeated rows once; of them the first by draw
+    some = some.select("lang", "draw", F.array_join(run, " ").alias("run")).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "run"))
+    rows = some.withColumn("place", place).filter(F.col("place") <= docs_per_lang).select("lang", "run").collect()
+    rows.sort(key=lambda r: (r.lang, r.run))
     return [r.run for r in rows], [r.lang for r in rows]
 
 
@@ -290,7 +295,8 @@ def label_documents(docs: DataFrame, model: Crf, text: str = "text") -> DataFram
     lang_pred is the label with the largest mean posterior over the words that have a letter or a
     byte beyond ASCII, and score is that mean; certainty is these words' mean of the largest posterior, which
     is high where each word is surely of some language, however many take turns. A text that is null or has no
-    letter is `und` with score and certainty 0 and no spans, as is every text if the model has no labels. Repeated
+    letter is `und` with score and certainty 0 and no spans, as is every text if the model has no labels. Of labels with equal
+    means the first by name counts. A very long text is one chain, worked out in runs. Repeated
     rows, null ids and other columns pass through (columns of the four names are replaced), and an empty table gives an empty one.
     """
     rest = [c for c in docs.columns if c not in ADDED.names]
