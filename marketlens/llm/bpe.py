@@ -22,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import cut
 from .textops import hash_spans, slices
 
 #: A block holds about so many bytes of text, or one document.
 BLOCK_BYTES = 6 << 20
+#: A task remembers the ids of so many distinct words; then it starts anew, so its memory is bounded whatever the vocabulary of the corpus is.
+MOST_WORDS = 2_000_000
 WORDS = pa.schema([("dest", pa.int32()), ("block", pa.int64()), ("lengths", pa.binary()), ("data", pa.binary())])
 POSITIONS = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("index", pa.binary())])
 WORDS_DDL, POSITIONS_DDL = "dest int, block long, lengths binary, data binary", "block long, docs binary, index binary"
@@ -150,7 +153,9 @@ def encode_words(batches: Iterable[pa.RecordBatch], path: str | None) -> Iterato
             ends = np.cumsum(_expand(lengths, np.uint32)).tolist()
             data = zstandard.decompress(data)
             words = [data[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
-            new = [w for w in words if w not in table]
+            if len(table) > MOST_WORDS:
+                table.clear()
+            new = list(dict.fromkeys(w for w in words if w not in table))
             for w, found in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
                 table[w] = np.array(found.ids, np.uint32).tobytes()
             ids = [table[w] for w in words]
@@ -174,7 +179,7 @@ def join_positions(positions: pa.Table, words: pa.Table) -> pa.Table:
         docs, known, counts = np.frombuffer(zstandard.decompress(packed), np.int64).reshape(3, -1)
         at = _expand(index, np.uint32)
         if len(at) and int(at.max()) >= len(lengths):
-            raise RuntimeError("a block has not got the ids of all its words: its input came in another order in a second attempt")
+            raise RuntimeError("a block has not got the ids of all its words: its input came in another order in a second attempt; leave `stable` unset")
         data = memoryview(np.asarray(table.take(pa.array(at)).flatten())).cast("B")
         ends = (np.r_[0, np.cumsum(lengths[at], dtype=np.int64)][np.cumsum(counts)] * 4).tolist()
         doc.append(pa.array(docs, mask=known == 0))
@@ -182,10 +187,16 @@ def join_positions(positions: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.chunked_array(doc, pa.int64()), "ids": pa.array(out, pa.binary())})
 
 
-def _joined(docs: DataFrame, path: str | None, key: str, text: str, finish, schema: str) -> DataFrame:
-    """finish over the table (doc_id, ids) of each block."""
+def _joined(docs: DataFrame, path: str | None, key: str, text: str, stable: bool, finish, schema: str) -> DataFrame:
+    """finish over the table (doc_id, ids) of each block.
+
+    Blocks are made twice and have to be the same both times, also after an executor is lost. Files are read
+    alike each time; rows of another origin may come in another order, so they are written to the shared folder first.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if not stable:
+        rows = cut(rows)
     words = rows.mapInArrow(lambda it: send_words(it, parts), WORDS_DDL)
     coded = words.repartitionById(parts, "dest").mapInArrow(lambda it: encode_words(it, path), WORDS_DDL)
     positions = rows.mapInArrow(lambda it: send_positions(it, parts), POSITIONS_DDL)
@@ -193,15 +204,17 @@ def _joined(docs: DataFrame, path: str | None, key: str, text: str, finish, sche
     return pair.applyInArrow(lambda p, w: finish(join_positions(p, w)), schema)
 
 
-def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", stable: bool = False) -> DataFrame:
     """doc_id and ids (binary: little-endian unsigned 32-bit integers) for every row of docs.
 
+    stable: docs is read straight from files, with nothing but projections and filters since.
+
     The ids are those that the tokenizers library gives for the whole text without special tokens
     of its own adding, truncation or padding. path: a byte-level BPE file, present on every executor.
-    Null and empty texts have no ids. Repeated rows and null ids keep a row each; other columns
+    Null and empty texts have no ids; a very long text is a block of its own. Repeated rows and null ids keep a row each; other columns
     are left out, and an empty table gives an empty one.
     """
-    return _joined(docs, path, key, text, lambda t: t, "doc_id long, ids binary")
+    return _joined(docs, path, key, text, stable, lambda t: t, "doc_id long, ids binary")
 
 
 def vocabulary(path: str | None = None) -> pa.Array:
@@ -241,15 +254,15 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids") -> Dat
     return rest.mapInArrow(lambda it: decode_batches(it, pieces, ids), T.StructType([*rest.schema.fields]).add("decoded", "string"))
 
 
-def round_trip(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", stable: bool = False) -> DataFrame:
     """decode(encode(docs)) with both ends in one Python worker, which halves the workers that a task holds."""
     pieces = vocabulary(path)
     finish = lambda t: pa.Table.from_batches(decode_batches(t.to_batches(), pieces, "ids"), t.schema.append(pa.field("decoded", pa.string())))
-    return _joined(docs, path, key, text, finish, "doc_id long, ids binary, decoded string")
+    return _joined(docs, path, key, text, stable, finish, "doc_id long, ids binary, decoded string")
 
 
-def op4(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return round_trip(docs, path).select(
+def op4(docs: DataFrame, path: str | None = None, stable: bool = False) -> DataFrame:
+    return round_trip(docs, path, stable=stable).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lang_id": lambda spark, d: lang_id.op1(table(spark, d, "documents")),
     "op2_mixing": lambda spark, d: mixing.op2(table(spark, d, "documents")),
     "op3_minhash": lambda spark, d: neardup.op3(table(spark, d, "documents")),
-    "op4_bpe": lambda spark, d: bpe.op4(table(spark, d, "documents")),
+    "op4_bpe": lambda spark, d: bpe.op4(table(spark, d, "documents"), stable=True),
     "op8_secret_scan": lambda spark, d: secret_scan.op8(table(spark, d, "documents")),
     "op9_quality": lambda spark, d: quality.op9(table(spark, d, "documents")),
     "op10_substring_dedup": lambda spark, d: substring_dedup.op10(table(spark, d, "documents")),
