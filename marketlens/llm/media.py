@@ -83,6 +83,8 @@ def write_ogg(payload: bytes, n_bytes: int, rate: int = RATE, packet: int = PACK
 class Stream:
     packets: list[bytes] = field(default_factory=list)
     granule: int = 0
+    #: The granule position of each page that has one: the samples up to the end of its last whole packet.
+    granules: list[int] = field(default_factory=list)
     pages: int = 0
     ended: bool = False
     open: bytes | None = None
@@ -119,7 +121,10 @@ def read_ogg(data: bytes) -> dict[int, Stream]:
         stream.pages += 1
         stream.ended = bool(flags & 4)
         if granule >= 0:
+            if granule < stream.granule:
+                raise ValueError("a granule position goes back")
             stream.granule = granule
+            stream.granules.append(granule)
         at = end
     if any(not s.ended or s.open is not None for s in streams.values()):
         raise ValueError("a stream does not end")
@@ -139,25 +144,27 @@ def join_streams(streams: dict[int, Stream]) -> tuple[bytes, dict]:
             if i * len(order) + k < len(parts):
                 parts[i * len(order) + k] = data
     seconds = [streams[s].granule / rate for s in order]
+    times = [[g / rate for g in streams[s].granules[1:]] for s in order]  # the first page of a stream is its header
     payload = b"".join(parts)
     if len(payload) != size or sum(streams[s].granule for s in order) != size:
         raise ValueError("the payload's length differs")
-    return payload, {"rate": rate, "n_bytes": n_bytes, "pages": sum(x.pages for x in streams.values()), "packets": sum(len(x.packets) for x in streams.values()), "seconds": seconds}
+    return payload, {"rate": rate, "n_bytes": n_bytes, "pages": sum(x.pages for x in streams.values()), "packets": sum(len(x.packets) for x in streams.values()), "seconds": seconds, "times": times}
 
 
 def features(payload: bytes, said: dict) -> str:
-    """Sample statistics and the streams' times, as text."""
+    """Sample statistics, and the streams' durations and the times at which their pages end, as text."""
     x = np.frombuffer(payload, np.uint8)
     level = x.astype(np.float64) - 128
     crossings = int(((x[1:] >= 128) != (x[:-1] >= 128)).sum())
     times = "+".join(f"{s:.6f}" for s in said["seconds"])
-    return f"rate={said['rate']};pages={said['pages']};packets={said['packets']};seconds={times};peak={int(np.abs(level).max())};mean={x.mean():.4f};rms={np.sqrt((level * level).mean()):.4f};crossings={crossings}"
+    ends = "+".join("/".join(f"{t:.6f}" for t in own) for own in said["times"])
+    return f"rate={said['rate']};pages={said['pages']};packets={said['packets']};seconds={times};ends={ends};peak={int(np.abs(level).max())};mean={x.mean():.4f};rms={np.sqrt((level * level).mean()):.4f};crossings={crossings}"
 
 
 def encode_ogg(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and media (binary) for every row: the text's UTF-8 bytes, with bytes 0 up to a positive multiple of 64.
 
-    Null counts as empty; equal texts have equal media. Repeated rows and null ids keep a row each,
+    Null counts as empty; equal texts have equal media; a very long text makes many pages. Repeated rows and null ids keep a row each,
     other columns are left out, and an empty table gives an empty one.
     """
 
@@ -173,15 +180,21 @@ def encode_ogg(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def decode_ogg(stored: DataFrame) -> DataFrame:
-    """(doc_id, media) -> doc_id, n_bytes, payload, media and feature, read from the stored bytes."""
+    """(doc_id, media) -> doc_id, n_bytes, payload, media and feature, read from the stored bytes.
+
+    Null media give nulls; damaged ones raise ValueError. Repeated rows keep a row each.
+    """
     names = ["doc_id", "n_bytes", "payload", "media", "feature"]
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media"):
             rows: list[list] = [[], [], []]
             for media in batch.column(1).to_pylist():
-                payload, said = join_streams(read_ogg(media))
-                for column, value in zip(rows, (said["n_bytes"], payload, features(payload, said)), strict=True):
+                values: tuple = (None, None, None)
+                if media is not None:
+                    payload, said = join_streams(read_ogg(media))
+                    values = (said["n_bytes"], payload, features(payload, said))
+                for column, value in zip(rows, values, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), batch.column(1), pa.array(rows[2], pa.string())], names)
 
