@@ -63,13 +63,26 @@ def read_members(archive: bytes, step: int = 1 << 16) -> Iterator[bytearray]:
         yield out
 
 
+def _fields(head: bytes | bytearray) -> dict[str, str]:
+    """Header fields behind the first line, names in lower case; a line that begins with a blank goes on with the one before."""
+    out: dict[str, str] = {}
+    name = ""
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        else:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
 def parse_record(raw: bytearray) -> tuple[dict[str, str], bytes]:
     """Header fields (names in lower case) and block, framed by Content-Length."""
     end = raw.find(b"\r\n\r\n")
     if end < 0 or not raw.startswith(b"WARC/"):
         raise ValueError("no WARC header")
-    fields = dict(line.split(": ", 1) for line in raw[:end].decode().split("\r\n")[1:])
-    fields = {k.lower(): v for k, v in fields.items()}
+    fields = _fields(raw[:end])
     size = int(fields["content-length"])
     block = bytes(raw[end + 4 : end + 4 + size])
     if len(block) != size or raw[end + 4 + size :] != b"\r\n\r\n":
@@ -77,42 +90,71 @@ def parse_record(raw: bytearray) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
-def _sha1_hex(field: str) -> str:
+def read_digest(field: str) -> tuple[str, str] | None:
+    """Algorithm and lower-case hex of a digest field (base32 or hex); null where hashlib has no such algorithm or the value has another length."""
     kind, _, value = field.partition(":")
-    if kind != "sha1":
-        raise ValueError("unknown digest")
-    return base64.b32decode(value).hex()
+    kind = kind.lower().replace("-", "")
+    if kind not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return None
+    n = hashlib.new(kind).digest_size
+    if len(value) == 2 * n:
+        return kind, value.lower()
+    try:
+        raw = base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except ValueError:
+        return None
+    return (kind, raw.hex()) if len(raw) == n else None
+
+
+def _verify(field: str | None, data: bytes, what: str) -> None:
+    known = read_digest(field) if field else None
+    if known and hashlib.new(known[0], data).hexdigest() != known[1]:
+        raise ValueError(f"a record's {what} digest differs")
 
 
 def read_archive(archive: bytes) -> Iterator[tuple]:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to and payload (null for a revisit); digests are verified."""
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to and payload of each record; digests are verified where they are given.
+
+    The payload of an HTTP response is what follows its head, that of any other record its block; a revisit has none.
+    payload_digest is the SHA-1 in hex: the one given, else that of the payload. page_id and refers_to are of this
+    module's own fields, null in other makers' files. payload_bytes is what the HTTP head says, else the payload's length.
+    """
     for raw in read_members(archive):
         fields, block = parse_record(raw)
-        if hashlib.sha1(block).hexdigest() != _sha1_hex(fields["warc-block-digest"]):
-            raise ValueError("a record's block digest differs")
-        head, _, payload = block.partition(b"\r\n\r\n")
-        http = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-        digest = _sha1_hex(fields["warc-payload-digest"])
-        kind = fields["warc-type"]
-        if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
-            raise ValueError("a record's payload digest differs")
-        page, refers = fields["x-page-id"], fields.get("x-refers-to-page-id")
-        yield (int(page) if page else None, fields["warc-target-uri"], int(http["Content-Length"]), digest, kind, int(refers) if refers else None, payload if kind == "response" else None)
+        _verify(fields.get("warc-block-digest"), block, "block")
+        kind = fields.get("warc-type", "")
+        http: dict[str, str] = {}
+        payload = block
+        if fields.get("content-type", "").startswith("application/http"):
+            head, _, payload = block.partition(b"\r\n\r\n")
+            http = _fields(head)
+        given = fields.get("warc-payload-digest")
+        whole = kind != "revisit"
+        if whole:
+            _verify(given, payload, "payload")
+        said = read_digest(given) if given else None
+        digest = said[1] if said and said[0] == "sha1" else hashlib.sha1(payload).hexdigest() if whole else None
+        size = http.get("content-length", "")
+        n = int(size) if size.isdecimal() and (not whole or int(size) == len(payload)) else len(payload) if whole else None
+        page, refers = fields.get("x-page-id"), fields.get("x-refers-to-page-id")
+        yield (int(page) if page else None, fields.get("warc-target-uri"), n, digest, kind, int(refers) if refers else None, payload if whole else None)
 
 
 def mark_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """(page_id, url, html) -> the same with n_bytes, digest and refers_to (null for a response).
 
-    Counts are combined before the shuffle, and a payload of very many pages is dealt over
+    Small payloads go past the join. Counts are combined before the shuffle, and a payload of very many pages is dealt over
     several join partitions by Spark's skew handling, as the join needs no grouping after it.
     """
     html = F.coalesce("html", F.lit(""))
     pages = pages.withColumns({"html": html, "n_bytes": F.octet_length(html).cast("long"), "digest": F.sha1(F.encode(html, "utf-8"))})
     large = pages.filter(F.col("n_bytes") >= least_bytes)
     last = large.groupBy("digest", "n_bytes").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    joined = pages.join(last, ["digest", "n_bytes"], "left")
+    joined = large.join(last, ["digest", "n_bytes"], "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
-    return joined.select("page_id", "url", "html", "n_bytes", "digest", refers.alias("refers_to"))
+    columns = ["page_id", "url", "html", "n_bytes", "digest"]
+    small = pages.filter(F.col("n_bytes") < least_bytes).select(*columns, F.lit(None).cast("long").alias("refers_to"))
+    return joined.select(*columns, refers.alias("refers_to")).unionByName(small)
 
 
 def write_archives(pages: DataFrame, least_bytes: int = 1000, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -120,8 +162,8 @@ def write_archives(pages: DataFrame, least_bytes: int = 1000, archive_bytes: int
 
     Of records with equal payloads of at least least_bytes, that with the largest page_id is a
     response and the others are revisits of it; smaller payloads are all responses. A null html is
-    an empty payload. Rows that repeat the largest page_id are all responses; a null page_id is a
-    revisit if another row with that payload has an id, else a response. Other columns are left out.
+    an empty payload, and a very long one is a record like any other. Rows that repeat the largest page_id are all responses, under one record id; a null page_id is a
+    revisit if another row with that payload has an id, else a response. Other columns are left out; an empty table gives no archives.
     """
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +207,7 @@ def read_archives(archives: DataFrame, column: str = "warc") -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """The records of .warc.gz files that this module's writer made, through Spark's own file reader."""
+    """The records of .warc.gz files of this or another maker, a gzip member per record, through Spark's own file reader."""
     return read_archives(spark.read.format("binaryFile").load(path), "content")
 
 
