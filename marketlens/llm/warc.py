@@ -97,10 +97,11 @@ def read_digest(field: str) -> tuple[str, str] | None:
     if kind not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
         return None
     n = hashlib.new(kind).digest_size
-    if len(value) == 2 * n:
+    if len(value) == 2 * n and all(c in "0123456789abcdefABCDEF" for c in value):
         return kind, value.lower()
     try:
-        raw = base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+        bare = value.upper().rstrip("=")
+        raw = base64.b32decode(bare + "=" * (-len(bare) % 8))
     except ValueError:
         return None
     return (kind, raw.hex()) if len(raw) == n else None
