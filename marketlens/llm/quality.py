@@ -143,26 +143,29 @@ def mcd(rows: DataFrame, floors: tuple[float, ...], share: float = SHARE) -> Dat
     start = rows.groupBy("group").agg(F.count(F.lit(1)).alias("size"), *[F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75]).alias(f"q{i}") for i in range(d)])
     scale = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(floors[i])) for i in range(d)]
     diagonal = F.array(*[1 / (scale[i] * scale[i]) if i == j else F.lit(0.0) for i in range(d) for j in range(d)])
-    shape = cut(start.select("group", F.array(*[F.col(f"q{i}")[1] for i in range(d)]).alias("centre"), diagonal.alias("precision"), F.lit(None).cast("double").alias("logdet")))
+    first = start.select("group", F.array(*[F.col(f"q{i}")[1] for i in range(d)]).alias("centre"), diagonal.alias("precision"))
+    best = cut(first.select("group", F.lit(0.0).alias("size"), "centre", F.lit(None).cast("array<double>").alias("cov"), "precision", F.lit(float("inf")).alias("logdet"), F.lit(True).alias("open")))
     x = [F.col("x")[i] for i in range(d)]
     moments = [F.lit(1.0), *x, *[x[i] * x[j] for i in range(d) for j in range(i, d)]]
     names = [f"m{k}" for k in range(len(moments))]
     place = F.floor(F.log2(F.greatest(F.col("d2"), F.lit(2.0**LOWEST))) * OCTAVE).cast("int")
     w = Window.partitionBy("group").orderBy("bin")
     before = F.coalesce(F.sum("m0").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    while True:
-        far = join_groups(rows, shape.select("group", "centre", "precision"), "group", "id").select("group", "x", distance(F.col("x"), F.col("centre"), F.col("precision"), d).alias("d2"))
+    # a group goes on only as long as its determinant falls, and determinants have a floor, so this ends
+    while not (going := best.filter("open").select("group", "centre", "precision")).isEmpty():
+        far = join_groups(rows, going, "group", "id").select("group", "x", distance(F.col("x"), F.col("centre"), F.col("precision"), d).alias("d2"))
         binned = far.groupBy("group", F.least(place, F.lit(HIGHEST * OCTAVE)).alias("bin")).agg(*[F.sum(m).alias(n) for m, n in zip(moments, names, strict=True)])
         # at most (HIGHEST - LOWEST) * OCTAVE bins of a group come together
         part = F.least(F.greatest((F.col("size") * share - F.col("before")) / F.col("m0"), F.lit(0.0)), F.lit(1.0))
         near = binned.withColumns({"before": before, "size": F.sum("m0").over(Window.partitionBy("group"))}).withColumn("part", part).filter("part > 0")
         sums = near.groupBy("group", "size").agg(*[F.sum(F.col(n) * F.col("part")).alias(n) for n in names])
         packed = sums.select("group", "size", "m0", F.array(*names[1 : d + 1]), F.array(*names[d + 1 :]))
-        known = shape.select(F.col("group").alias("was"), F.col("logdet").alias("last"))
-        shape = cut(packed.mapInArrow(lambda it: _shape(it, floors, correct), _ESTIMATE))
-        moved = shape.join(known, F.col("group") == F.col("was")).agg(F.max(F.coalesce(F.col("last") - F.col("logdet"), F.lit(1.0))).alias("m")).first().m
-        if moved is None or moved <= STABLE:
-            return shape
+        found = packed.mapInArrow(lambda it: _shape(it, floors, correct), _ESTIMATE)
+        new = found.select("group", F.struct("size", "centre", "cov", "precision", "logdet").alias("new"))
+        falls = F.coalesce(F.col("new.logdet") < F.col("logdet") - STABLE, F.lit(False))
+        columns = [F.when(falls, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in ("size", "centre", "cov", "precision", "logdet")]
+        best = cut(best.join(new, "group", "left").select("group", *columns, falls.alias("open")))
+    return best.drop("open")
 
 
 def _drawn(batches: Iterable[pa.RecordBatch], floors: tuple[float, ...], prior: float, wide: tuple[float, ...]) -> Iterator[pa.RecordBatch]:
