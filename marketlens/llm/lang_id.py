@@ -87,8 +87,8 @@ def emissions(model: Crf, words: Words) -> np.ndarray:
     """A row of scores for each word; each distinct word is scored once."""
     _, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
     out = np.zeros((len(first), len(model.labels)), np.float32)
-    for i in range(0, len(first), 20_000):  # long words make many features
-        some = first[i : i + 20_000]
+    for i in range(0, len(first), 5_000):  # long words make many features
+        some = first[i : i + 5_000]
         features, bounds = word_features(words.data, words.starts[some], words.ends[some])
         scores = np.add.reduceat(model.weights[features], bounds[:-1], axis=0)
         out[i : i + len(some)] = scores / np.sqrt(np.diff(bounds))[:, None]
@@ -265,12 +265,14 @@ def training_sample(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, words_per
     words of up to 64 characters, however large the table is and whatever its ids are.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    found = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(languages).collect()
-    counts = {r.lang: r["count"] for r in found}
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    # repeated rows draw alike, so different ones are counted
+    different = F.approx_count_distinct(F.xxhash64(key, "text")).alias("different")
+    found = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), different).orderBy(F.col("n").desc(), "lang").limit(languages).collect()
+    counts = {r.lang: max(1, r.different) for r in found}
     if not counts:
         return [], []
     shares = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 2 * docs_per_lang / n))])
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     draw = lambda seed: F.pmod(F.xxhash64(F.lit(seed), key, "text"), F.lit(1 << 30)) / float(1 << 30)
     words = F.split(F.col("text"), GAP)
     start = F.floor(draw(2) * F.greatest(F.size(words) - words_per_doc, F.lit(1))).cast("int")
