@@ -28,7 +28,7 @@ from .textops import hash_spans, slices
 #: A block holds about so many bytes of text, or one document.
 BLOCK_BYTES = 6 << 20
 #: A task remembers the ids of so many distinct words; then it starts anew, so its memory is bounded whatever the vocabulary of the corpus is.
-MOST_WORDS = 2_000_000
+MOST_WORDS = 500_000
 WORDS = pa.schema([("dest", pa.int32()), ("block", pa.int64()), ("lengths", pa.binary()), ("data", pa.binary())])
 POSITIONS = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("index", pa.binary())])
 WORDS_DDL, POSITIONS_DDL = "dest int, block long, lengths binary, data binary", "block long, docs binary, index binary"

@@ -26,6 +26,8 @@ BANDS, ROWS = 32, 8
 PARTNERS, BLOCK = 64, 1024
 #: A block's side is smaller where its documents are long: about so many shingles.
 BLOCK_SHINGLES = 1_000_000
+#: Texts are sketched in slices of about so many bytes.
+SLICE = 1 << 20
 #: Pairs whose sketches agree in so many standard errors less than the limit are not verified.
 ERRORS = 4
 _LOW = U((1 << 48) - 1)
@@ -78,7 +80,7 @@ def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def sketch_rows(batches: Iterable[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> doc_id, size of the set, 128 bits of the set, band keys, and a byte of each coordinate."""
-    for batch in slices(batches):
+    for batch in slices(batches, size=SLICE):
         n, one, two, keys, short = [], [], [], [], []
         for items in shingle_sets(batch.column(1).to_pylist()):
             n.append(len(items))
