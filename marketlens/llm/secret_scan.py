@@ -235,7 +235,11 @@ def measured(tokens: Column) -> Column:
 
 
 def decoy(text: Column, encoding: str, n: int) -> Column:
-    """A stretch of n of a text's own characters in an encoding, at a place given by its hash; null if it has fewer."""
+    """A stretch of n of a text's own characters in an encoding, at a place given by its hash; null if it has fewer.
+
+    Long tokens are left out first, so that secrets have no part in what counts as ordinary.
+    """
+    text = F.regexp_replace(text, r"[A-Za-z0-9+/_-]{20,}", " ")
     kept = {
         "hex": F.regexp_replace(F.lower(text), "[^0-9a-f]", ""), "base32": F.regexp_replace(F.upper(text), "[^A-Z2-7]", ""), "base36": F.regexp_replace(F.lower(text), "[^a-z0-9]", ""),
         "base62": F.regexp_replace(text, "[^A-Za-z0-9]", ""), "base64": F.regexp_replace(text, "[^A-Za-z0-9]+", "/"),
