@@ -118,9 +118,9 @@ _EMAIL = "list_filter(list_distinct(list_transform(regexp_extract_all(coalesce(t
 _FIRST_EMAIL = _EMAIL.replace("list_distinct(", "(")
 _DIGITS = "regexp_replace(regexp_extract(text, '(?:\\+?1[ .-]?)?\\(?[0-9]{3}\\)?[ .-]?[0-9]{3}[ .-][0-9]{4}', 0), '\\D', '', 'g')"
 _CONTACTS = f"c AS (SELECT doc_id, lang AS grp, {_FIRST_EMAIL}[1] AS email, CAST(len({_EMAIL}) AS INT) AS n_emails, CASE WHEN length({_DIGITS}) = 10 THEN '+1' || {_DIGITS} WHEN length({_DIGITS}) = 11 AND starts_with({_DIGITS}, '1') THEN '+' || {_DIGITS} END AS phone FROM documents)"
-_EDGES = "a AS (SELECT * FROM follow WHERE (user_id + shop_id) % 2 = 0), b AS (SELECT * FROM follow WHERE user_id % 3 = 0)"
-_UPSERT = """WITH t AS (SELECT shop_id, product_id, size_id, max(price) AS price FROM stock WHERE shop_id < 20 GROUP BY 1, 2, 3),
-r AS (SELECT shop_id, product_id, size_id, nullif(price, 0) + 1 AS price, stock_id * 100000 + product_id AS position FROM stock WHERE shop_id BETWEEN 15 AND 25 AND quantity IS NOT NULL),
+_EDGES = "a AS (SELECT * FROM follow WHERE (user_id + shop_id) % 3 <> 2), b AS (SELECT * FROM follow WHERE (user_id + shop_id) % 3 <> 0)"
+_UPSERT = """WITH t AS (SELECT shop_id, product_id, size_id, max(price) AS price FROM stock WHERE (shop_id + product_id) % 3 <> 2 GROUP BY 1, 2, 3),
+r AS (SELECT shop_id, product_id, size_id, nullif(price, 0) + 1 AS price, stock_id * 100000 + product_id AS position FROM stock WHERE (shop_id + product_id) % 3 <> 0 AND quantity IS NOT NULL),
 j AS (SELECT r.*, t.shop_id IS NOT NULL AS known, row_number() OVER (PARTITION BY r.shop_id, r.product_id, r.size_id ORDER BY position) AS k, row_number() OVER (PARTITION BY r.shop_id, r.product_id, r.size_id ORDER BY position DESC) AS z
   FROM r LEFT JOIN t ON r.shop_id = t.shop_id AND r.product_id = t.product_id AND r.size_id IS NOT DISTINCT FROM t.size_id)
 """
@@ -135,19 +135,19 @@ SQL = {
         SELECT up.row, up.name, product_id, match_name, CAST(floor(coalesce(score, 0) * 100 + 0.5) AS BIGINT) AS confidence FROM up LEFT JOIN (SELECT * FROM b WHERE z = 1) b USING (row)""", "product"
     ),
     "normalized_key_match": with_roles(
-        """WITH x AS (SELECT product_id, shop_id, CASE WHEN quantity > 10 THEN price END AS price FROM stock WHERE stock_id % 8 = 2), f AS (SELECT name, min(product_id) AS first FROM product GROUP BY 1),
+        """WITH x AS (SELECT product_id, shop_id, CASE WHEN quantity > 10 THEN price END AS price FROM stock), f AS (SELECT name, min(product_id) AS first FROM product GROUP BY 1),
         m AS (SELECT CASE WHEN x.product_id % 5 = 0 THEN NULL ELSE first END AS product_id, shop.shop_id, price FROM x JOIN product USING (product_id) JOIN f USING (name) LEFT JOIN shop USING (shop_id)),
         r AS (SELECT *, CASE WHEN product_id IS NULL THEN 'unknown product' WHEN shop_id IS NULL THEN 'unknown shop' WHEN price IS NULL THEN 'no price' ELSE 'matched' END AS reason FROM m)
         SELECT reason, count(*) AS n, count(product_id) AS products, CAST(sum(shop_id) AS BIGINT) AS shops FROM r GROUP BY 1""", "stock", "product", "shop"
     ),
     "upsert_keep_latest": with_roles(
-        """WITH t AS (SELECT user_id, product_id, max(quantity) AS rating FROM item WHERE item_id % 2 = 0 GROUP BY 1, 2), r AS (SELECT user_id, product_id, arg_max(quantity, item_id) AS rating FROM item WHERE item_id % 3 = 0 GROUP BY 1, 2)
+        """WITH t AS (SELECT user_id, product_id, max(quantity) AS rating FROM item WHERE item_id % 3 <> 2 GROUP BY 1, 2), r AS (SELECT user_id, product_id, arg_max(quantity, item_id) AS rating FROM item WHERE item_id % 3 <> 0 GROUP BY 1, 2)
         SELECT user_id, product_id, coalesce(r.rating, t.rating) AS rating FROM t FULL JOIN r USING (user_id, product_id)""", "item"
     ),
     "upsert_do_nothing": with_roles(f"WITH {_EDGES} SELECT user_id, shop_id FROM a UNION SELECT user_id, shop_id FROM b", "follow"),
     "toggle_edges": with_roles(f"WITH {_EDGES} (SELECT user_id, shop_id FROM a EXCEPT SELECT user_id, shop_id FROM b) UNION ALL (SELECT user_id, shop_id FROM b EXCEPT SELECT user_id, shop_id FROM a)", "follow"),
     "null_safe_upsert_counts": with_roles(
-        _UPSERT + "SELECT count(*) FILTER (WHERE NOT known AND k = 1) AS added, count(*) FILTER (WHERE known OR k > 1) AS updated, (SELECT count(*) FROM stock WHERE shop_id BETWEEN 15 AND 25 AND quantity IS NULL) AS skipped FROM j", "stock"
+        _UPSERT + "SELECT count(*) FILTER (WHERE NOT known AND k = 1) AS added, count(*) FILTER (WHERE known OR k > 1) AS updated, (SELECT count(*) FROM stock WHERE (shop_id + product_id) % 3 <> 0 AND quantity IS NULL) AS skipped FROM j", "stock"
     ),
     "null_safe_upsert_rows": with_roles(
         _UPSERT + """SELECT shop_id, product_id, size_id, price FROM j WHERE z = 1 UNION ALL
@@ -166,7 +166,7 @@ SQL = {
         """WITH f AS (SELECT product_id, item_id, CASE WHEN item_id % 40 = 0 THEN 1 ELSE 0 END AS x, max(item_id) OVER (PARTITION BY product_id) AS last FROM item)
         SELECT product_id, item_id FROM f WHERE CASE WHEN product_id % 2 = 0 THEN item_id = last ELSE x = 1 END""", "item"
     ),
-    "union_dedup_first_wins": """WITH u AS (SELECT 0 AS source_rank, doc_id, lang, substr(text, 1, 400) AS name FROM documents WHERE n_chars < 500 UNION ALL SELECT 1, doc_id, lang, substr(text, 1, 400) FROM documents),
+    "union_dedup_first_wins": """WITH u AS (SELECT 0 AS source_rank, doc_id, lang, text AS name FROM documents WHERE n_chars < 500 UNION ALL SELECT 1, doc_id, lang, text FROM documents),
         k AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS key FROM u), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY source_rank, doc_id) AS z FROM k WHERE length(key) >= 3)
         SELECT source_rank, doc_id, lang FROM r WHERE z = 1""",
     "listing_profile": f"""WITH {_CONTACTS} SELECT coalesce(nullif(grp, ''), 'Unknown') AS grp, count(*) AS n, count(email) AS n_email, count(phone) AS n_phone,
