@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _HOURS = r"^(\d{1,2})(?::(\d{2}))?(am|pm)-(\d{1,2})(?::(\d{2}))?(am|pm)$"
+_ANYWHERE = r"(\d+)(?::(\d+))?(am|pm)\s*[-–]\s*(\d+)(?::(\d+))?(am|pm)"
 _LOOSE = r"^\s*(\d{1,2})(?::(\d{2}))?\s*(am|pm)\s*[-–]\s*(\d{1,2})(?::(\d{2}))?\s*(am|pm)\s*$"
 
 
@@ -54,25 +55,34 @@ def clock(minutes: Column) -> Column:
 
 
 def shop_status(hours: Column, ts: Column) -> Column:
-    """'open', 'closing soon' (within the hour), 'opens <time>' today or on the next open day of a week, 'closed' or 'unknown'.
+    """What a shop's door says, from a map of weekday to text; null without a map.
 
-    hours: a map from weekday to text.
+    A day without hours gives the next open day of a week ('tomorrow' for the first), or 'Closed today'; text that isn't hours is
+    shown itself. On an open day it says when the shop opens, closes (within 90 minutes, in half hours beyond 30 minutes) or until when it is open.
     """
     day = lambda k: F.try_element_at(hours, F.date_format(F.date_add(ts.cast("date"), k), "EEE"))
-    now, today = F.hour(ts) * 60 + F.minute(ts), opening_minutes(day(0))
-    later: Column | None = None
-    for k in range(1, 8):
-        m = opening_minutes(day(k))
-        said = F.concat(F.lit("opens "), F.date_format(F.date_add(ts.cast("date"), k), "EEE"), F.lit(" "), clock(m["opens"]))
-        later = F.when(m.isNotNull(), said) if later is None else later.when(m.isNotNull(), said)
-    assert later is not None
+    none = lambda d: F.coalesce(d, F.lit("")).isin("", "Closed")
+
+    def minutes(d: Column) -> tuple[Column, Column, Column]:
+        low = F.lower(d)
+        ends = [_hour(low, _ANYWHERE, g, g + 2) * 60 + F.coalesce(F.regexp_extract(low, _ANYWHERE, g + 1).try_cast("int"), F.lit(0)) for g in (1, 4)]
+        return low.rlike(_ANYWHERE), ends[0], ends[1]
+
+    later: Column = F.lit("Closed today")
+    for k in range(7, 0, -1):
+        said, opens, _ = minutes(day(k))
+        name = F.lit("tomorrow") if k == 1 else F.date_format(F.date_add(ts.cast("date"), k), "EEE")
+        later = F.when(~none(day(k)) & said, F.concat(F.lit("Opens "), name, F.lit(" at "), clock(opens))).otherwise(later)
+    now = F.hour(ts) * 60 + F.minute(ts)
+    said, opens, closes = minutes(day(0))
+    before, left = opens - now, closes - now
+    short = lambda what, n: F.concat(F.lit(what), n.cast("string"), F.lit("m"))
     return (
-        F.when(F.size(hours) == 0, "unknown")
-        .when((now >= today["opens"]) & (now < today["closes"] - 60), "open")
-        .when((now >= today["opens"]) & (now < today["closes"]), "closing soon")
-        .when(now < today["opens"], F.concat(F.lit("opens "), clock(today["opens"])))
-        .otherwise(F.coalesce(later, F.lit("closed")))
-    )
+        F.when(hours.isNull(), F.lit(None).cast("string")).when(none(day(0)), later).when(~said, day(0))
+        .when(before > 0, F.when(before < 60, short("Opens in ", before)).otherwise(F.concat(F.lit("Opens at "), clock(opens))))
+        .when(left > 0, F.when(left <= 30, short("Closes in ", left)).when(left <= 90, short("Closes in ", (F.floor(left / 30 + 0.5) * 30).cast("int"))).otherwise(F.concat(F.lit("Open until "), clock(closes))))
+        .otherwise("Closed now")
+    )
 
 
 def seconds_between(earlier: Column, later: Column) -> Column:
@@ -80,14 +90,28 @@ def seconds_between(earlier: Column, later: Column) -> Column:
     return F.timestamp_diff("SECOND", earlier, later)
 
 
-def age_label(seconds: Column) -> Column:
-    """'just now', '5m ago', '3h ago', '2d ago'."""
+def age_label(seconds: Column, just: bool = True) -> Column:
+    """'just now' (or without it '0m ago'), '5m ago', '3h ago', '2d ago'."""
     unit = lambda n, mark: F.concat(F.floor(seconds / n).cast("string"), F.lit(mark))
     return (
-        F.when(seconds < 60, "just now").when(seconds < 3600, unit(60, "m ago")).when(seconds < 86_400, unit(3600, "h ago")).otherwise(unit(86_400, "d ago"))
+        F.when(F.lit(just) & (seconds < 60), "just now").when(seconds < 3600, unit(60, "m ago")).when(seconds < 86_400, unit(3600, "h ago")).otherwise(unit(86_400, "d ago"))
     )
 
 
+def day_key(text: Column) -> Column:
+    """The day of a time kept as text, its first ten characters; null for an empty one."""
+    return F.substring(F.nullif(text, F.lit("")), 1, 10)
+
+
+def whole_minutes(seconds: Column) -> Column:
+    return F.floor(seconds / 60 + 0.5).cast("long")
+
+
+def stopwatch(seconds: Column) -> Column:
+    """Minutes and seconds as 'm:ss'."""
+    return F.concat(F.floor(seconds / 60).cast("string"), F.lit(":"), F.lpad((seconds % 60).cast("string"), 2, "0"))
+
+
 def month_cells(first: Column) -> Column:
     """The 35 days of a month's sheet from the Monday on or before its first day; a sixth week is cut."""
     monday = F.date_sub(first, F.weekday(first))

@@ -7,31 +7,43 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapsed, plain, similarity
 
-#: An upload has at most so many rows; that bounds what is broadcast.
-MOST_ROWS = 1000
+#: An upload is dealt into blocks of about so many rows, which bounds what is broadcast at once.
+BLOCK_ROWS = 500
 
 
 def fuzzy_best(upload: DataFrame, catalogue: DataFrame, least: float = 0.0) -> DataFrame:
     """(row, name) of an upload against (product_id, name): the most similar product of each row.
 
-    The upload is a stated set of at most MOST_ROWS rows, which is checked; each task holds it
-    against its part of the catalogue's distinct names, and only the best of each task is
+    Each task holds a block of the upload against its part of the catalogue's distinct names, and only the best of each task is
     shuffled. Ties go to the smallest product_id; a score of 0 or under `least` is no match.
     """
-    n = upload.count()
-    if n > MOST_ROWS:
-        raise ValueError(f"an upload has at most {MOST_ROWS} rows; this one has {n}")
     names = catalogue.groupBy(plain(F.col("name")).alias("_known")).agg(F.min_by("name", "product_id").alias("match_name"), F.min("product_id").alias("product_id"))
-    wanted = F.broadcast(upload.select("row", plain(F.col("name")).alias("_wanted")))
-    scored = names.join(wanted, similarity(F.col("_known"), F.col("_wanted")) > F.greatest(F.lit(0.0), F.lit(least) - 1e-12))
-    score = similarity(F.col("_known"), F.col("_wanted"))
-    best = scored.withColumn("score", score).groupBy("row").agg(
-        F.max_by(F.struct("product_id", "match_name", "score"), F.struct("score", -F.col("product_id"))).alias("m")
-    )
-    found = upload.join(best, "row", "left")
+    wanted = upload.select("row", plain(F.col("name")).alias("_wanted"))
+    n_blocks = max(1, -(-wanted.count() // BLOCK_ROWS))
+    best: DataFrame | None = None
+    for k in range(n_blocks):
+        block = F.broadcast(wanted if n_blocks == 1 else wanted.filter(F.pmod(F.xxhash64("row"), F.lit(n_blocks)) == k))
+        scored = names.join(block, F.lit(True)).withColumn("score", similarity(F.col("_known"), F.col("_wanted")))
+        found = scored.groupBy("row").agg(F.max_by(F.struct("product_id", "match_name", "score"), F.struct("score", -F.col("product_id"))).alias("m"))
+        best = found if best is None else best.unionByName(found)
+    assert best is not None
+    enough = best.filter(F.col("m.score") > F.greatest(F.lit(0.0), F.lit(least) - 1e-12))
+    found = upload.join(enough, "row", "left")
     return found.select("row", "name", F.col("m.product_id").alias("product_id"), F.col("m.match_name").alias("match_name"), F.floor(F.coalesce("m.score", F.lit(0.0)) * 100 + 0.5).alias("confidence"))
 
 
+def second_stage(matched: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(row, product_id, size) of matched rows against (product_id, size_id, size_name): of the matched product's sizes the most similar one.
+
+    Ties go to the smallest size_id; a row without a product, a size or any similarity has none.
+    """
+    pairs = matched.filter(F.coalesce("size", F.lit("")) != "").join(sizes, "product_id")
+    scored = pairs.withColumn("score", similarity(plain(F.col("size")), plain(F.col("size_name")))).filter("score > 0")
+    best = scored.groupBy("row").agg(F.max_by(F.struct("size_id", "size_name", "score"), F.struct("score", -F.col("size_id"))).alias("m"))
+    out = matched.join(best, "row", "left")
+    return out.select("row", "product_id", F.col("m.size_id").alias("size_id"), F.col("m.size_name").alias("size_name"), F.floor(F.col("m.score") * 100 + 0.5).alias("size_confidence"))
+
+
 def exact_lookup(rows: DataFrame, products: DataFrame, shops: DataFrame) -> DataFrame:
     """(row, product, shop, price) with a reason for each row: the first that applies of four, or matched.
 

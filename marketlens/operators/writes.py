@@ -12,6 +12,9 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Generated keys are dealt out by one task, so an upload has at most so many rows.
+MOST_INSERTED = 1_000_000
+
 
 def same(a: str, b: str, keys: Sequence[str], null_safe: bool = False) -> Column:
     eq = lambda k: F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) if null_safe else F.col(f"{a}.{k}") == F.col(f"{b}.{k}")
@@ -19,10 +22,12 @@ def same(a: str, b: str, keys: Sequence[str], null_safe: bool = False) -> Column
 
 
 def insert_rows(table: DataFrame, rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """rows get the next keys in their order; rows are one upload, so numbering them is small work."""
+    """rows get the next keys in their order; rows are one upload, which is checked, so one task can number them."""
+    if (n := rows.count()) > MOST_INSERTED:
+        raise ValueError(f"an upload has at most {MOST_INSERTED} rows; this one has {n}")
     last = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("_last"))
     numbered = rows.withColumn("_n", F.row_number().over(Window.orderBy(*order)))
-    new = numbered.crossJoin(F.broadcast(last)).withColumn(key, F.col("_last") + F.col("_n")).drop("_n", "_last")
+    new = numbered.join(F.broadcast(last)).withColumn(key, F.col("_last") + F.col("_n")).drop("_n", "_last")  # one row
     return table.unionByName(new, allowMissingColumns=True)
 
 
@@ -87,25 +92,20 @@ def import_rows(table: DataFrame, rows: DataFrame, keys: Sequence[str], columns:
     """An upload merged by null-safe keys, as a loop over its rows would: the table after it and one row of counters.
 
     Of rows with one key the last position wins; the first of them counts as added where
-    the key is new, every other as updated; rows that aren't valid are skipped.
+    the key is new, every other as updated; rows that aren't valid are skipped. Rows are combined by key
+    before the shuffle, so a key with very many is no burden.
     """
     ok = rows.filter(F.coalesce(valid, F.lit(False)))
-    known = table.select(*keys).distinct().withColumn("_known", F.lit(True))
-    w = Window.partitionBy(*keys)
-    judged = (
-        ok.alias("r").join(known.alias("t"), same("r", "t", keys, null_safe=True), "left")
-        .select("r.*", F.coalesce("t._known", F.lit(False)).alias("_known"))
-        .withColumns({"_first": F.min(position).over(w), "_last": F.max(position).over(w)})
-    )
-    added = ~F.col("_known") & (F.col(position) == F.col("_first"))
-    done = judged.agg(F.count_if(added).alias("added"), F.count_if(~added).alias("updated"))
+    sent = ok.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max_by(F.struct(*columns), F.col(position)).alias("_last"))
+    known = table.select(*keys, F.lit(True).alias("_known")).distinct()
+    judged = sent.alias("s").join(known.alias("t"), same("s", "t", keys, null_safe=True), "left")
+    n_new = F.count_if(F.col("_known").isNull())
+    done = judged.agg(n_new.alias("added"), (F.coalesce(F.sum("_n"), F.lit(0)) - n_new).alias("updated"))
     skipped = rows.agg(F.count_if(~F.coalesce(valid, F.lit(False))).alias("skipped"))
     counters = done.crossJoin(skipped)  # one row each
-    winners = judged.filter(F.col(position) == F.col("_last")).select(*keys, *columns)
-    kept = table.alias("t").join(winners.alias("r"), same("t", "r", keys, null_safe=True), "left_anti")
-    updated = table.alias("t").join(winners.alias("r"), same("t", "r", keys, null_safe=True)).select(*[F.col(f"{'r' if c in columns else 't'}.{c}") for c in table.columns])
-    new = judged.filter((F.col(position) == F.col("_last")) & ~F.col("_known")).select(*keys, *columns)
-    return kept.unionByName(updated).unionByName(new, allowMissingColumns=True), counters
+    both = table.alias("t").join(sent.alias("s"), same("t", "s", keys, null_safe=True), "full")
+    value = lambda c: F.when(F.col("_n").isNotNull(), F.col("_last")[c]).otherwise(F.col(f"t.{c}")) if c in columns else F.coalesce(F.col(f"t.{c}"), F.col(f"s.{c}")) if c in keys else F.col(f"t.{c}")
+    return both.select(*[value(c).alias(c) for c in table.columns]), counters
 
 
 def insert_unless_duplicate(table: DataFrame, rows: DataFrame, keys: Sequence[str], dated: str, position: str) -> DataFrame:

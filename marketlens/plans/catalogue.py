@@ -12,9 +12,10 @@ from ..roles import STRENGTHS, role, with_roles
 
 
 def order_of(sort: str) -> tuple[Column, ...]:
-    """A sort by name; unknown ones go by brand and name."""
-    one = {"rating": desc("avg_rating"), "price_asc": asc("min_price"), "price_desc": desc("min_price"), "newest": desc("product_id")}
-    return (one[sort],) if sort in one else (asc("brand"), asc("name"))
+    """A sort by name; unknown ones go by popularity."""
+    popular = (desc("review_count"), desc("avg_rating"))
+    known = {"rating": popular[::-1], "price_asc": (asc("min_price"),), "price_desc": (desc("min_price"),), "newest": (desc("created_at"),)}
+    return known.get(sort, popular)
 
 
 def offers(stock: DataFrame) -> DataFrame:
@@ -27,13 +28,14 @@ def ratings(reviews: DataFrame) -> DataFrame:
 
 
 def matching(
-    products: DataFrame, reviews: DataFrame, stock: DataFrame, shops: DataFrame, q: str = "", brand: str = "", strength: str = "", kind: str = "", note: str = "",
+    products: DataFrame, reviews: DataFrame, stock: DataFrame, shops: DataFrame, q: str = "", brand: str = "", strength: str = "", kind: str = "", note: str = "", wrapper: str = "", country: str = "",
     city: str = "", state: str = "", min_price: float = 0, max_price: float = 0, in_stock: bool = False, min_rating: float = 0,
 ) -> DataFrame:
     """Products that meet every filter given, with rating, price and shop count over all shops.
 
-    A price bound drops products without stock; a rating bound counts unrated ones as 0. City
-    and state only decide which products are found.
+    A price bound drops products without stock; a rating bound counts unrated ones as 0. City (a part of its name)
+    and state only decide which products are found. Where a filter is given, reviews and stock are cut down to the products
+    found before they are aggregated.
     """
     p = products.filter(
         every(
@@ -42,13 +44,17 @@ def matching(
             given(strength, lambda v: F.col("strength") == v),
             given(kind, lambda v: F.col("kind") == v),
             given(note, lambda v: F.col("notes").like(f"%{v}%")),
+            given(wrapper, lambda v: F.col("wrapper").like(f"%{v}%")),
+            given(country, lambda v: F.col("country") == v),
         )
     )
     if city or state:
-        near = shops.filter(every(given(city, lambda v: F.col("city") == v), given(state, lambda v: F.col("state") == v)))
+        near = shops.filter(every(given(city, lambda v: F.col("city").like(f"%{v}%")), given(state, lambda v: F.col("state") == v)))
         p = p.join(stock.filter("in_stock").join(near, "shop_id", "left_semi"), "product_id", "left_semi")
     if in_stock:
         p = p.join(stock.filter("in_stock"), "product_id", "left_semi")
+    if any((q, brand, strength, kind, note, wrapper, country, city, state)):
+        reviews, stock = (t.join(p.select("product_id"), "product_id", "left_semi") for t in (reviews, stock))
     p = star(p, "product_id", ratings(reviews), offers(stock))
     p = p.withColumns({"avg_rating": F.coalesce("avg_rating", F.lit(0.0)), "review_count": F.coalesce("review_count", F.lit(0)), "shop_count": F.coalesce("shop_count", F.lit(0))})
     return p.filter(
@@ -60,16 +66,16 @@ def matching(
     )
 
 
-def search(found: DataFrame, sort: str = "name", number: int = 1, size: int = 24) -> DataFrame:
-    """A page of matching(); unknown sorts go by name, and the size keeps to 1 to 100."""
-    return page(found, number, clamp(size, 1, 100), *order_of(sort), asc("product_id"))
+def search(found: DataFrame, sort: str = "popular", number: int = 1, size: int = 24) -> DataFrame:
+    """A page of matching(); unknown sorts go by popularity, and the size keeps to 1 to 100."""
+    return page(found, number, clamp(size, 1, 100), *order_of(sort), asc("product_id")).select(*_FOUND)
 
 
 _FOUND = ("product_id", "brand", "name", "avg_rating", "review_count", "min_price", "shop_count")
 
 
 def _found(spark: SparkSession, d: str, **params) -> DataFrame:
-    return matching(*[role(spark, d, x) for x in ("product", "review", "stock", "shop")], **params).select(*_FOUND)
+    return matching(*[role(spark, d, x) for x in ("product", "review", "stock", "shop")], **params)
 
 
 _FOUND_SQL = """WITH rt AS (SELECT product_id, avg(rating) AS avg_rating, count(*) AS review_count FROM review GROUP BY 1),
@@ -85,9 +91,13 @@ _LIKE = "(brand LIKE '%r%' OR name LIKE '%r%' OR kind LIKE '%r%')"
 QUERIES = {
     "catalog_search": lambda s, d: search(_found(s, d, q="r", state="ASIA", min_rating=60), "price_desc", 2),
     "catalog_search_total": lambda s, d: totals(_found(s, d, q="r", state="ASIA", min_rating=60), 24),
-    "catalog_price_band": lambda s, d: _found(s, d, min_price=900, max_price=1500),
-    "catalog_in_stock_exists": lambda s, d: _found(s, d, in_stock=True, strength="full"),
-    "catalog_min_rating": lambda s, d: _found(s, d, min_rating=75),
+    "catalog_popular": lambda s, d: search(_found(s, d, wrapper="re", country="NATION_3", city="ION_1")),
+    "catalog_rating": lambda s, d: search(_found(s, d, q="i"), "rating"),
+    "catalog_newest": lambda s, d: search(_found(s, d, kind="ECONOMY"), "newest", size=100),
+    "catalog_price_asc": lambda s, d: search(_found(s, d, in_stock=True), "price_asc", 2, 500),
+    "catalog_price_band": lambda s, d: _found(s, d, min_price=900, max_price=1500).select(*_FOUND),
+    "catalog_in_stock_exists": lambda s, d: _found(s, d, in_stock=True, strength="full").select(*_FOUND),
+    "catalog_min_rating": lambda s, d: _found(s, d, min_rating=75).select(*_FOUND),
     "brand_counts": lambda s, d: role(s, d, "product").groupBy("brand").agg(F.count(F.lit(1)).alias("n")),
     "facet_strengths_ordinal": lambda s, d: (
         role(s, d, "product").select("strength").distinct().filter(F.col("strength").isNotNull())
@@ -112,7 +122,7 @@ QUERIES = {
     "rating_bands": lambda s, d: role(s, d, "review").groupBy("product_id").agg(
         *[F.count_if(F.col("rating").between(lo, hi)).alias(f"band_{lo}") for lo, hi in ((90, 100), (80, 89), (70, 79), (60, 69), (50, 59))]
     ),
-    "score_color_band": lambda s, d: role(s, d, "review").groupBy(ladder(F.col("rating"), ((90, "gold"), (80, "green"), (70, "amber")), "grey").alias("colour")).agg(
+    "score_color_band": lambda s, d: role(s, d, "review").groupBy(ladder(F.col("rating"), ((95, "green"), (90, "gold"), (85, "orange")), "grey").alias("colour")).agg(
         F.count(F.lit(1)).alias("n"), F.min("rating").alias("lo"), F.max("rating").alias("hi")
     ),
     "latest_review": lambda s, d: latest(role(s, d, "review"), ["product_id"], desc("created_at"), desc("rating"), asc("review_id"), asc("shop_id")).select("product_id", "review_id", "rating", "created_at"),
@@ -163,6 +173,13 @@ def _sql(where: str, tail: str = "", columns: str = _COLS) -> str:
 SQL = {
     "catalog_search": _sql(f"{_LIKE} AND avg_rating >= 60 AND {_NEAR}", "ORDER BY min_price DESC NULLS FIRST, product_id LIMIT 24 OFFSET 24"),
     "catalog_search_total": _sql(f"{_LIKE} AND avg_rating >= 60 AND {_NEAR}", "", "count(*) AS total, CAST(ceil(count(*) / 24.0) AS BIGINT) AS pages"),
+    "catalog_popular": _sql(
+        "wrapper LIKE '%re%' AND country = 'NATION_3' AND product_id IN (SELECT product_id FROM stock JOIN shop USING (shop_id) WHERE in_stock AND city LIKE '%ION_1%')",
+        "ORDER BY review_count DESC, avg_rating DESC, product_id LIMIT 24",
+    ),
+    "catalog_rating": _sql("(brand LIKE '%i%' OR name LIKE '%i%' OR kind LIKE '%i%')", "ORDER BY avg_rating DESC, review_count DESC, product_id LIMIT 24"),
+    "catalog_newest": _sql("kind = 'ECONOMY'", "ORDER BY created_at DESC, product_id LIMIT 100"),
+    "catalog_price_asc": _sql("EXISTS (SELECT 1 FROM stock s WHERE s.product_id = found.product_id AND s.in_stock)", "ORDER BY min_price NULLS LAST, product_id LIMIT 100 OFFSET 100"),
     "catalog_price_band": _sql("min_price >= 900 AND min_price <= 1500"),
     "catalog_in_stock_exists": _sql("strength = 'full' AND EXISTS (SELECT 1 FROM stock s WHERE s.product_id = found.product_id AND s.in_stock)"),
     "catalog_min_rating": _sql("avg_rating >= 75"),
@@ -197,7 +214,7 @@ SQL = {
     "rating_bands": with_roles(
         "SELECT product_id, " + ", ".join(f"count(*) FILTER (WHERE rating BETWEEN {lo} AND {hi}) AS band_{lo}" for lo, hi in ((90, 100), (80, 89), (70, 79), (60, 69), (50, 59))) + " FROM review GROUP BY product_id", "review"
     ),
-    "score_color_band": with_roles("SELECT CASE WHEN rating >= 90 THEN 'gold' WHEN rating >= 80 THEN 'green' WHEN rating >= 70 THEN 'amber' ELSE 'grey' END AS colour, count(*) AS n, min(rating) AS lo, max(rating) AS hi FROM review GROUP BY 1", "review"),
+    "score_color_band": with_roles("SELECT CASE WHEN rating >= 95 THEN 'green' WHEN rating >= 90 THEN 'gold' WHEN rating >= 85 THEN 'orange' ELSE 'grey' END AS colour, count(*) AS n, min(rating) AS lo, max(rating) AS hi FROM review GROUP BY 1", "review"),
     "latest_review": with_roles(
         """SELECT product_id, review_id, rating, created_at FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY created_at DESC NULLS FIRST, rating DESC NULLS FIRST, review_id, shop_id) AS k FROM review) WHERE k = 1""", "review"
     ),

@@ -65,16 +65,33 @@ def followed_shops(follows: DataFrame, shops: DataFrame, notes: DataFrame, reads
     return star(mine.join(shops.select("shop_id", "name"), "shop_id"), "shop_id", fans, new).na.fill(0, ["followers", "unread"])
 
 
-def achievements(items: DataFrame, follows: DataFrame) -> DataFrame:
-    """Badges and level of each user."""
-    own = items.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("items"), F.count_if(F.col("status") == "used").alias("used"), F.countDistinct("product_id").alias("products"), F.coalesce(F.max("quantity"), F.lit(0)).alias("largest")
-    )
+#: The least number of badges of each level.
+LEVELS = ((12, "Master"), (8, "Aficionado"), (4, "Enthusiast"), (1, "Beginner"))
+
+
+def achievements(users: DataFrame, items: DataFrame, products: DataFrame, reviews: DataFrame, follows: DataFrame, homes: tuple[str, str] = ("NATION_0", "NATION_1"), label: str = "Brand#5") -> DataFrame:
+    """Fifteen badges and the level of each user: used items, reviews, items owned, countries and brands, the best rating, wishes and shops followed.
+
+    Countries and brands are few, so their sets per user are small.
+    """
+    used = F.col("status") == "used"
+    known = items.join(products.select("product_id", "brand", "country"), "product_id", "left")
+    own = known.groupBy("user_id").agg(
+        F.count_if(used).alias("used"), F.sum(F.when(F.col("status") == "owned", F.col("quantity")).otherwise(0)).alias("owned"), F.count_if(F.col("status") == "wished").alias("wished"),
+        F.collect_set(F.when(used, F.col("country"))).alias("countries"), F.collect_set("brand").alias("brands"),
+        F.collect_set(F.when(F.col("status") == "owned", F.col("country"))).alias("at_home"),
+    )
+    rated = reviews.groupBy("user_id").agg(F.count(F.lit(1)).alias("reviews"), F.max("rating").alias("best"))
     fans = follows.groupBy("user_id").agg(F.count(F.lit(1)).alias("shops"))
-    joined = star(own, "user_id", fans).na.fill(0, ["shops"])
-    badges = [F.col("items") >= 1, F.col("items") >= 10, F.col("used") >= 5, F.col("products") >= 10, F.col("largest") >= 4, F.col("shops") >= 1, F.col("shops") >= 40]
-    count = sum((b.cast("int") for b in badges[1:]), badges[0].cast("int"))
-    return joined.withColumn("badges", count).withColumn("level", ladder(F.col("badges"), ((7, "master"), (5, "expert"), (3, "regular"), (1, "starter")), "none"))
+    none = F.array().cast("array<string>")
+    joined = star(users.select("user_id"), "user_id", own, rated, fans).na.fill(0, ["used", "owned", "wished", "reviews", "best", "shops"])
+    joined = joined.withColumns({c: F.coalesce(c, none) for c in ("countries", "brands", "at_home")}).withColumn("n_countries", F.size("countries"))
+    least = {"used": (1, 5, 10, 25), "reviews": (1, 5), "owned": (10,), "n_countries": (3, 5), "best": (95,), "wished": (5,), "shops": (3,)}
+    earned = [F.col(c) >= n for c, steps in least.items() for n in steps]
+    earned += [F.array_contains("countries", h) for h in homes] + [F.array_contains("brands", label)]
+    count = sum((b.cast("int") for b in earned[1:]), earned[0].cast("int"))
+    all_countries = F.size(F.array_union("countries", "at_home"))
+    return joined.withColumn("badges", count).select("user_id", "used", "reviews", "owned", "n_countries", all_countries.alias("n_all_countries"), F.size("brands").alias("n_brands"), "best", "wished", "shops", "badges", ladder(F.col("badges"), LEVELS, "New").alias("level"))
 
 
 def _fanout(s, d):
@@ -113,7 +130,10 @@ QUERIES = {
     "activity_feed": lambda s, d: top(
         role(s, d, "item").filter("status = 'used' AND user_id <> 8").join(role(s, d, "account").select("user_id", "name"), "user_id").select("item_id", "user_id", "name", "created_at"), 20, desc("created_at"), asc("item_id")
     ),
-    "achievements": lambda s, d: achievements(role(s, d, "item"), role(s, d, "follow")),
+    "achievements": lambda s, d: achievements(
+        role(s, d, "account"), role(s, d, "item"), role(s, d, "product"),
+        role(s, d, "review").join(s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id")), "order_id"), role(s, d, "follow"),
+    ),
     "recently_viewed_top8": lambda s, d: (
         role(s, d, "shop_view").groupBy("user_id", "shop_id").agg(F.max(F.struct("viewed_at", "view_id")).alias("v"))
         .withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("v").desc()))).filter("place <= 8").select("user_id", "shop_id", "place")
@@ -164,10 +184,18 @@ SQL = {
     ),
     "activity_feed": with_roles("SELECT item_id, user_id, name, created_at FROM item JOIN account USING (user_id) WHERE status = 'used' AND user_id <> 8 ORDER BY created_at DESC, item_id LIMIT 20", "item", "account"),
     "achievements": with_roles(
-        """WITH o AS (SELECT user_id, count(*) AS items, count(*) FILTER (WHERE status = 'used') AS used, count(DISTINCT product_id) AS products, coalesce(max(quantity), 0) AS largest FROM item GROUP BY 1), f AS (SELECT user_id, count(*) AS shops FROM follow GROUP BY 1),
-        j AS (SELECT o.*, coalesce(shops, 0) AS shops FROM o LEFT JOIN f USING (user_id)),
-        b AS (SELECT *, CAST(items >= 1 AS INT) + CAST(items >= 10 AS INT) + CAST(used >= 5 AS INT) + CAST(products >= 10 AS INT) + CAST(largest >= 4 AS INT) + CAST(shops >= 1 AS INT) + CAST(shops >= 40 AS INT) AS badges FROM j)
-        SELECT *, CASE WHEN badges >= 7 THEN 'master' WHEN badges >= 5 THEN 'expert' WHEN badges >= 3 THEN 'regular' WHEN badges >= 1 THEN 'starter' ELSE 'none' END AS level FROM b""", "item", "follow"
+        """WITH k AS (SELECT item.*, brand, country FROM item LEFT JOIN product USING (product_id)),
+        o AS (SELECT user_id, count(*) FILTER (WHERE status = 'used') AS used, CAST(sum(CASE WHEN status = 'owned' THEN quantity ELSE 0 END) AS BIGINT) AS owned, count(*) FILTER (WHERE status = 'wished') AS wished,
+          CAST(count(DISTINCT country) FILTER (WHERE status = 'used') AS INT) AS n_countries, CAST(count(DISTINCT country) FILTER (WHERE status IN ('used', 'owned')) AS INT) AS n_all_countries, CAST(count(DISTINCT brand) AS INT) AS n_brands,
+          bool_or(status = 'used' AND country = 'NATION_0') AS h0, bool_or(status = 'used' AND country = 'NATION_1') AS h1, bool_or(brand = 'Brand#5') AS b5 FROM k GROUP BY 1),
+        r AS (SELECT o_custkey AS user_id, count(*) AS reviews, max(rating) AS best FROM review JOIN orders ON o_orderkey = order_id GROUP BY 1), f AS (SELECT user_id, count(DISTINCT shop_id) AS shops FROM follow GROUP BY 1),
+        j AS (SELECT a.user_id, coalesce(used, 0) AS used, coalesce(reviews, 0) AS reviews, coalesce(owned, 0) AS owned, coalesce(n_countries, 0) AS n_countries, coalesce(n_all_countries, 0) AS n_all_countries, coalesce(n_brands, 0) AS n_brands,
+          coalesce(best, 0) AS best, coalesce(wished, 0) AS wished, coalesce(shops, 0) AS shops, coalesce(h0, FALSE) AS h0, coalesce(h1, FALSE) AS h1, coalesce(b5, FALSE) AS b5
+          FROM account a LEFT JOIN o USING (user_id) LEFT JOIN r USING (user_id) LEFT JOIN f USING (user_id)),
+        b AS (SELECT *, CAST(used >= 1 AS INT) + CAST(used >= 5 AS INT) + CAST(used >= 10 AS INT) + CAST(used >= 25 AS INT) + CAST(reviews >= 1 AS INT) + CAST(reviews >= 5 AS INT) + CAST(owned >= 10 AS INT)
+          + CAST(n_countries >= 3 AS INT) + CAST(n_countries >= 5 AS INT) + CAST(h0 AS INT) + CAST(h1 AS INT) + CAST(b5 AS INT) + CAST(best >= 95 AS INT) + CAST(wished >= 5 AS INT) + CAST(shops >= 3 AS INT) AS badges FROM j)
+        SELECT * EXCLUDE (h0, h1, b5), CASE WHEN badges >= 12 THEN 'Master' WHEN badges >= 8 THEN 'Aficionado' WHEN badges >= 4 THEN 'Enthusiast' WHEN badges >= 1 THEN 'Beginner' ELSE 'New' END AS level FROM b""",
+        "item", "product", "review", "follow", "account"
     ),
     "recently_viewed_top8": with_roles(
         """WITH v AS (SELECT user_id, shop_id, max(struct_pack(a := viewed_at, b := view_id)) AS v FROM shop_view GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY v DESC) AS INT) AS place FROM v)

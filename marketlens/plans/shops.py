@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.numbers import located, miles, tenth
 from ..functions.text import json_map
 from ..functions.times import clock, is_open_hourly, is_open_minutes, opening_minutes, shop_status, weekday
-from ..operators.relational import asc, desc, every, given, latest, page, star, top, totals
+from ..operators.relational import asc, desc, every, given, latest, like_any, page, star, top, totals
 from ..operators.writes import deletable
 from ..roles import AS_OF, role, with_roles
 from .catalogue import miles_sql
@@ -19,14 +19,29 @@ def now() -> Column:
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
-def shop_search(shops: DataFrame, stock: DataFrame, follows: DataFrame, notes: DataFrame, state: str = "", lounge: bool = False) -> DataFrame:
-    """Verified shops with what they hold and who follows; each side is aggregated before it is joined."""
-    found = shops.filter(every(F.col("verified"), given(state, lambda v: F.col("state") == v), given(lounge, lambda v: F.col("has_lounge"))))
-    held = stock.filter("in_stock").groupBy("shop_id").agg(F.countDistinct("product_id").alias("products"))
-    fans = follows.groupBy("shop_id").agg(F.countDistinct("user_id").alias("followers"))
-    told = notes.groupBy("shop_id").agg(F.count(F.lit(1)).alias("notes"))
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("products", "followers", "notes")}
-    return star(found, "shop_id", held, fans, told).withColumns(zero).select("shop_id", "name", "city", "state", *zero)
+def shop_search(
+    shops: DataFrame, stock: DataFrame, follows: DataFrame, reviews: DataFrame, q: str = "", city: str = "", state: str = "", lounge: bool = False, walk_in: bool = False,
+    open_now: bool = False,
+) -> DataFrame:
+    """Shops that meet every filter given, with rows in stock, followers and ratings; each side is aggregated before it is joined.
+
+    Verified ones come first, then by followers and stock (see SHOP_ORDER). Open ones are those known to be open: null is not.
+    """
+    found = shops.filter(
+        every(
+            given(q, lambda v: like_any(v, "name", "description", "city")), given(city, lambda v: F.col("city").like(f"%{v}%")), given(state, lambda v: F.col("state") == v),
+            given(lounge, lambda v: F.col("has_lounge")), given(walk_in, lambda v: F.col("walk_in")),
+        )
+    ).withColumn("is_open", is_open_hourly(day_text(), now()))
+    found = found.filter("is_open") if open_now else found
+    held = stock.filter("in_stock").groupBy("shop_id").agg(F.count(F.lit(1)).alias("stock_rows"))
+    fans = follows.groupBy("shop_id").agg(F.count(F.lit(1)).alias("followers"))  # one edge per user
+    rated = reviews.groupBy("shop_id").agg(tenth(F.avg("rating")).alias("avg_rating"), F.count(F.lit(1)).alias("ratings"))
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("stock_rows", "followers", "ratings")} | {"avg_rating": F.coalesce("avg_rating", F.lit(0.0))}
+    return star(found, "shop_id", held, fans, rated).withColumns(zero).select("shop_id", "name", "city", "state", "verified", "is_open", "lat", "lng", *zero)
+
+
+SHOP_ORDER = (desc("verified"), desc("followers"), desc("stock_rows"), asc("shop_id"))
 
 
 def day_text(hours: str = "hours") -> Column:
@@ -34,7 +49,7 @@ def day_text(hours: str = "hours") -> Column:
 
 
 def within(shops: DataFrame, lat: float, lng: float, radius: float = 50) -> DataFrame:
-    """Shops by distance, those without coordinates last and never dropped; the rounded distance is compared."""
+    """Shops by distance, those without coordinates last and never dropped; the rounded distance is compared. A radius of 0 means 50."""
     away = F.when(located(F.col("lat"), F.col("lng")), tenth(miles(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng"))))
     near = shops.withColumn("miles", away).filter(F.col("miles").isNull() | (F.col("miles") <= (radius or 50)))
     return near.select("shop_id", "city", "miles").orderBy(asc("miles"), asc("shop_id"))
@@ -73,13 +88,29 @@ def _top_items(s, d):
     return top(n, 5, desc("n"), asc("product_id")).join(role(s, d, "product").select("product_id", "brand", "name"), "product_id")
 
 
+def demand(requests: DataFrame) -> DataFrame:
+    """Requests with the number for their product, those without a product being one group; counted by key and joined, so a hot key is no burden."""
+    n = requests.groupBy(F.col("product_id").alias("_key")).agg(F.count(F.lit(1)).alias("demand"))
+    return requests.join(n, F.col("product_id").eqNullSafe(F.col("_key"))).select("item_id", "product_id", "created_at", "demand")
+
+
+_SHOP = ("shop_id", "name", "city", "state", "verified", "is_open", "stock_rows", "followers", "ratings", "avg_rating")
+
+
+def _shops(s, d, **params):
+    return shop_search(*[role(s, d, x) for x in ("shop", "stock", "follow", "review")], **params)
+
+
 QUERIES = {
-    "shop_search": lambda s, d: shop_search(role(s, d, "shop"), role(s, d, "stock"), role(s, d, "follow"), role(s, d, "note"), state="ASIA"),
+    "shop_search": lambda s, d: top(_shops(s, d, q="more of A", city="ION"), 30, *SHOP_ORDER).select(*_SHOP),
+    "shop_search_open": lambda s, d: _shops(s, d, open_now=True).select(*_SHOP),
+    "shop_search_facilities": lambda s, d: _shops(s, d, state="ASIA", lounge=True, walk_in=True).select(*_SHOP),
+    "shop_search_near": lambda s, d: within(_shops(s, d, q="Supplier"), 34.05, -118.24, 700).join(_shops(s, d, q="Supplier").select("shop_id", "followers"), "shop_id"),
     "shop_open_now": lambda s, d: role(s, d, "shop").select("shop_id", is_open_hourly(day_text(), now()).alias("is_open")),
     "shop_hours_minutes": lambda s, d: role(s, d, "shop").withColumn("m", opening_minutes(day_text())).select(
         "shop_id", F.col("m.opens").alias("opens"), F.col("m.closes").alias("closes"), clock(F.col("m.opens")).alias("opens_at"), is_open_minutes(day_text(), now()).alias("is_open")
     ),
-    "shop_status_label": lambda s, d: role(s, d, "shop").select("shop_id", shop_status(json_map(F.col("hours")), now()).alias("status")),
+    "shop_status_label": lambda s, d: role(s, d, "shop").select("shop_id", shop_status(F.when(F.col("hours").isNotNull(), json_map(F.col("hours"))), now()).alias("status")),
     "shop_within_radius": lambda s, d: within(role(s, d, "shop"), 34.05, -118.24, 700),
     "city_counts": lambda s, d: role(s, d, "shop").groupBy("city", "state").agg(F.count(F.lit(1)).alias("n")),
     "shop_detail_stats": lambda s, d: star(
@@ -99,11 +130,7 @@ QUERIES = {
     "analytics_kpis": lambda s, d: kpis(role(s, d, "shop_view"), role(s, d, "stock"), role(s, d, "follow"), now()),
     "daily_views": lambda s, d: role(s, d, "shop_view").filter(F.col("viewed_at") > now() - F.expr("INTERVAL 14 DAYS")).groupBy(F.col("viewed_at").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n")),
     "top_items": _top_items,
-    "demand_window": lambda s, d: top(
-        role(s, d, "item").filter("status = 'wished'").withColumn("product_id", F.expr("nullif(product_id, 0)"))
-        .select("item_id", "product_id", "created_at", F.count(F.lit(1)).over(Window.partitionBy("product_id")).alias("demand")),
-        100, desc("created_at"), asc("item_id"),
-    ),
+    "demand_window": lambda s, d: top(demand(role(s, d, "item").filter("status = 'wished'").withColumn("product_id", F.expr("nullif(product_id, 0)"))), 100, desc("created_at"), asc("item_id")),
     "top_requested": lambda s, d: top(role(s, d, "item").filter("status = 'wished' AND priority IS NOT NULL").groupBy("product_id").agg(F.count(F.lit(1)).alias("n")), 5, desc("n"), asc("product_id")),
     "broadcast_reads": lambda s, d: broadcast_reads(role(s, d, "note"), role(s, d, "note_read"), role(s, d, "follow")),
     "active_deals": lambda s, d: top(
@@ -130,7 +157,10 @@ def _admin(s, d):
     """The dashboard's counts in one row; each table is scanned once."""
     one = [
         role(s, d, "account").agg(F.count(F.lit(1)).alias("users"), F.count_if(F.col("segment") == "BUILDING").alias("store_users")),
-        role(s, d, "shop").agg(F.count(F.lit(1)).alias("shops"), F.count_if("verified").alias("verified")),
+        role(s, d, "shop").agg(F.count(F.lit(1)).alias("shops"), F.count_if("verified").alias("verified"), F.count_if(~F.col("verified")).alias("unverified")),
+        role(s, d, "stock").agg(F.count_if("in_stock").alias("in_stock")),
+        role(s, d, "follow").agg(F.count(F.lit(1)).alias("follows")),
+        role(s, d, "note").agg(F.count(F.lit(1)).alias("broadcasts")),
         role(s, d, "product").agg(F.count(F.lit(1)).alias("products"), F.countDistinct("brand").alias("brands")),
         role(s, d, "review").agg(F.count(F.lit(1)).alias("reviews")),
         role(s, d, "item").agg(F.count_if(F.col("status") == "wished").alias("wishes")),
@@ -146,20 +176,48 @@ _PART = r"regexp_extract(lower(day), '^\s*(\d{1,2})(?::(\d{2}))?\s*(am|pm)\s*[-
 _MIN = lambda h, m, ap: f"((CAST({_PART % h} AS INT) % 12 + CASE WHEN {_PART % ap} = 'pm' THEN 12 ELSE 0 END) * 60 + coalesce(TRY_CAST({_PART % m} AS INT), 0))"
 _HOURS = f"WITH dd AS (SELECT shop_id, {_DAY} AS day FROM shop), mm AS (SELECT *, {_PART % 1} <> '' AS ok FROM dd), m2 AS (SELECT shop_id, day, CASE WHEN ok THEN {_MIN(1, 2, 3)} END AS opens, CASE WHEN ok THEN {_MIN(4, 5, 6)} END AS c FROM mm), m AS (SELECT *, CASE WHEN c <= opens THEN c + 1440 ELSE c END AS closes FROM m2)"
 
+
+def _shops_sql(where: str, tail: str = "") -> str:
+    return with_roles(
+        f"""{_HOURS}, h AS (SELECT shop_id, count(DISTINCT stock_id * 100000 + product_id) AS stock_rows FROM stock WHERE in_stock GROUP BY 1), f AS (SELECT shop_id, count(DISTINCT user_id) AS followers FROM follow GROUP BY 1),
+        r AS (SELECT shop_id, avg(rating) AS a, count(*) AS ratings FROM review GROUP BY 1),
+        o AS (SELECT shop_id, CASE WHEN lower(day) = 'closed' THEN FALSE WHEN opens IS NOT NULL THEN 15 >= opens // 60 AND 15 < c // 60 END AS is_open FROM m),
+        j AS (SELECT shop.*, is_open, coalesce(stock_rows, 0) AS stock_rows, coalesce(followers, 0) AS followers, coalesce(ratings, 0) AS ratings, coalesce(floor(a * 10 + 0.5) / 10, 0.0) AS avg_rating
+          FROM shop LEFT JOIN o USING (shop_id) LEFT JOIN h USING (shop_id) LEFT JOIN f USING (shop_id) LEFT JOIN r USING (shop_id))
+        SELECT shop_id, name, city, state, verified, is_open, stock_rows, followers, ratings, avg_rating FROM j WHERE {where} {tail}""", "shop", "stock", "follow", "review"
+    )
+
+
+_CLOCK = "CAST(CASE WHEN {0} // 60 > 12 THEN {0} // 60 - 12 WHEN {0} // 60 = 0 THEN 12 ELSE {0} // 60 END AS VARCHAR) || CASE WHEN {0} % 60 > 0 THEN ':' || lpad(CAST({0} % 60 AS VARCHAR), 2, '0') ELSE '' END || CASE WHEN {0} // 60 >= 12 THEN 'pm' ELSE 'am' END"
+_STATUS_PART = r"regexp_extract(lower(t), '(\d+)(?::(\d+))?(am|pm)\s*[-–]\s*(\d+)(?::(\d+))?(am|pm)', %d)"
+_STATUS_MIN = lambda h, m, ap: f"((CAST({_STATUS_PART % h} AS INT) % 12 + CASE WHEN {_STATUS_PART % ap} = 'pm' THEN 12 ELSE 0 END) * 60 + coalesce(TRY_CAST({_STATUS_PART % m} AS INT), 0))"
+_DAYS = ", ".join(f"({k}, '{d}')" for k, d in enumerate("Wed Thu Fri Sat Sun Mon Tue Wed".split()))
+
 SQL = {
-    "shop_search": with_roles(
-        """WITH h AS (SELECT shop_id, count(DISTINCT product_id) AS products FROM stock WHERE in_stock GROUP BY 1), f AS (SELECT shop_id, count(DISTINCT user_id) AS followers FROM follow GROUP BY 1),
-        n AS (SELECT shop_id, count(*) AS notes FROM note GROUP BY 1)
-        SELECT shop_id, name, city, state, coalesce(products, 0) AS products, coalesce(followers, 0) AS followers, coalesce(notes, 0) AS notes
-        FROM shop LEFT JOIN h USING (shop_id) LEFT JOIN f USING (shop_id) LEFT JOIN n USING (shop_id) WHERE verified AND state = 'ASIA'""", "shop", "stock", "follow", "note"
+    "shop_search": _shops_sql("(name LIKE '%more of A%' OR description LIKE '%more of A%' OR city LIKE '%more of A%') AND city LIKE '%ION%'", "ORDER BY verified DESC, followers DESC, stock_rows DESC, shop_id LIMIT 30"),
+    "shop_search_open": _shops_sql("is_open = TRUE"),
+    "shop_search_facilities": _shops_sql("state = 'ASIA' AND has_lounge AND walk_in"),
+    "shop_search_near": with_roles(
+        f"""WITH f AS (SELECT shop_id, count(DISTINCT user_id) AS n FROM follow GROUP BY 1)
+        SELECT shop_id, city, miles, coalesce(n, 0) AS followers FROM {miles_sql(34.05, -118.24, 'shop')} LEFT JOIN f USING (shop_id) WHERE miles IS NULL OR miles <= 700""", "shop", "follow"
     ),
     "shop_open_now": with_roles(f"{_HOURS} SELECT shop_id, CASE WHEN lower(day) = 'closed' THEN FALSE WHEN opens IS NOT NULL THEN 15 >= opens // 60 AND 15 < c // 60 END AS is_open FROM m", "shop"),
     "shop_hours_minutes": with_roles(
         f"""{_HOURS} SELECT shop_id, opens, closes, CAST(CASE WHEN opens // 60 % 12 = 0 THEN 12 ELSE opens // 60 % 12 END AS VARCHAR) || CASE WHEN opens % 60 > 0 THEN ':' || lpad(CAST(opens % 60 AS VARCHAR), 2, '0') ELSE '' END || CASE WHEN opens < 720 THEN 'am' ELSE 'pm' END AS opens_at,
         CASE WHEN opens IS NOT NULL THEN 900 >= opens AND 900 < closes WHEN lower(day) = 'closed' THEN FALSE END AS is_open FROM m""", "shop"
     ),
-    "shop_status_label": """SELECT s_suppkey AS shop_id, CASE s_suppkey % 7 WHEN 1 THEN 'open' WHEN 2 THEN 'open' WHEN 3 THEN 'closed' WHEN 4 THEN 'closing soon' WHEN 5 THEN 'opens Fri 8am' ELSE 'unknown' END AS status
-        FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    "shop_status_label": with_roles(
+        f"""WITH d AS (SELECT shop_id, k, n, json_extract_string(CASE WHEN json_valid(hours) THEN hours END, '$.' || n) AS t FROM shop, (VALUES {_DAYS}) v(k, n)),
+        e AS (SELECT *, {_STATUS_PART % 1} <> '' AS ok FROM d),
+        p AS (SELECT shop_id, k, n, t, ok, CASE WHEN ok THEN {_STATUS_MIN(1, 2, 3)} END AS o, CASE WHEN ok THEN {_STATUS_MIN(4, 5, 6)} END AS c FROM e),
+        x AS (SELECT shop_id, arg_min(CASE WHEN k = 1 THEN 'tomorrow' ELSE n END, k) AS n, arg_min(o, k) AS o FROM p WHERE k > 0 AND ok AND t <> 'Closed' GROUP BY shop_id)
+        SELECT p.shop_id, CASE WHEN shop.hours IS NULL THEN NULL
+          WHEN coalesce(t, '') IN ('', 'Closed') THEN CASE WHEN x.o IS NULL THEN 'Closed today' ELSE 'Opens ' || x.n || ' at ' || {_CLOCK.format('x.o')} END
+          WHEN NOT ok THEN t WHEN 900 < p.o THEN CASE WHEN p.o - 900 < 60 THEN 'Opens in ' || (p.o - 900) || 'm' ELSE 'Opens at ' || {_CLOCK.format('p.o')} END
+          WHEN 900 < p.c THEN CASE WHEN p.c - 900 <= 30 THEN 'Closes in ' || (p.c - 900) || 'm' WHEN p.c - 900 <= 90 THEN 'Closes in ' || CAST(floor((p.c - 900) / 30.0 + 0.5) * 30 AS INT) || 'm' ELSE 'Open until ' || {_CLOCK.format('p.c')} END
+          ELSE 'Closed now' END AS status
+        FROM p JOIN shop USING (shop_id) LEFT JOIN x USING (shop_id) WHERE p.k = 0""", "shop"
+    ),
     "shop_within_radius": with_roles(f"SELECT shop_id, city, miles FROM {miles_sql(34.05, -118.24, 'shop')} WHERE miles IS NULL OR miles <= 700 ORDER BY miles NULLS LAST, shop_id", "shop"),
     "city_counts": with_roles("SELECT city, state, count(*) AS n FROM shop GROUP BY city, state", "shop"),
     "shop_detail_stats": with_roles(
@@ -204,9 +262,10 @@ SQL = {
         "WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, item_id DESC) AS k FROM item) SELECT user_id, name, item_id, status FROM account LEFT JOIN (SELECT * FROM l WHERE k = 1) USING (user_id)", "item", "account"
     ),
     "admin_kpis": with_roles(
-        """SELECT (SELECT count(*) FROM account) AS users, (SELECT count(*) FROM account WHERE segment = 'BUILDING') AS store_users, (SELECT count(*) FROM shop) AS shops, (SELECT count(*) FROM shop WHERE verified) AS verified,
+        """SELECT (SELECT count(*) FROM account) AS users, (SELECT count(*) FROM account WHERE segment = 'BUILDING') AS store_users, (SELECT count(*) FROM shop) AS shops, (SELECT count(*) FROM shop WHERE verified) AS verified, (SELECT count(*) FROM shop WHERE NOT verified) AS unverified,
+        (SELECT count(*) FROM stock WHERE in_stock) AS in_stock, (SELECT count(*) FROM follow) AS follows, (SELECT count(*) FROM note) AS broadcasts,
         (SELECT count(*) FROM product) AS products, (SELECT count(DISTINCT brand) FROM product) AS brands, (SELECT count(*) FROM review) AS reviews, (SELECT count(*) FROM item WHERE status = 'wished') AS wishes""",
-        "account", "shop", "product", "review", "item"
+        "account", "shop", "product", "review", "item", "stock", "follow", "note"
     ),
     "admin_catalog_counts": with_roles(
         """WITH s AS (SELECT product_id, count(*) AS stock_rows, count(DISTINCT size_id) AS sizes FROM stock GROUP BY 1), r AS (SELECT product_id, count(*) AS reviews FROM review GROUP BY 1), o AS (SELECT product_id, count(DISTINCT user_id) AS owners FROM item GROUP BY 1)

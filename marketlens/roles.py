@@ -23,7 +23,7 @@ _SELECTS: dict[str, tuple[str, str]] = {
         "part",
         "p_partkey AS product_id, p_brand AS brand, p_name AS name, p_type AS kind, "
         "CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_size % 5 = 0 THEN 'mild' WHEN p_size % 5 = 1 THEN 'mild-medium' WHEN p_size % 5 = 2 THEN 'medium' WHEN p_size % 5 = 3 THEN 'medium-full' ELSE 'full' END AS strength, "
-        "p_retailprice AS list_price, '[\"' || replace(p_name, ' ', '\",\"') || '\"]' AS notes",
+        "p_retailprice AS list_price, 'NATION_' || CAST(p_size % 7 AS STRING) AS country, split_part(p_name, ' ', 1) AS wrapper, DATE '2020-01-01' + CAST(p_partkey * 7 % 1000 AS INT) AS created_at, '[\"' || replace(p_name, ' ', '\",\"') || '\"]' AS notes",
     ),
     "shop": (
         "supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
@@ -32,7 +32,7 @@ _SELECTS: dict[str, tuple[str, str]] = {
         "CASE WHEN s_suppkey % 10 = 0 THEN NULL WHEN s_suppkey % 10 = 5 THEN CAST(0 AS DOUBLE) ELSE CAST(-120 AS DOUBLE) + CAST(s_suppkey * 53 % 5000 AS DOUBLE) / CAST(100 AS DOUBLE) END AS lng, "
         "CASE WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_suppkey % 7 = 1 THEN '{\"Wed\":\"10am-8pm\"}' WHEN s_suppkey % 7 = 2 THEN '{\"Wed\":\"12pm-12am\"}' WHEN s_suppkey % 7 = 3 THEN '{\"Wed\":\"Closed\"}' "
         "WHEN s_suppkey % 7 = 4 THEN '{\"Wed\":\"9:30am-3:30pm\",\"Thu\":\"9am-5pm\"}' WHEN s_suppkey % 7 = 5 THEN '{\"Fri\":\"8am-1pm\"}' ELSE 'not json' END AS hours, "
-        "s_acctbal > 0 AS verified, s_suppkey % 3 = 0 AS has_lounge",
+        "s_acctbal > 0 AS verified, s_suppkey % 3 = 0 AS has_lounge, s_suppkey % 4 = 0 AS walk_in, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'A shop with stock from ' || n_name || ' and more of ' || r_name END AS description",
     ),
     "stock": (
         "lineitem",
