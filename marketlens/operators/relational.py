@@ -85,3 +85,26 @@ def nested(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Se
     """Rows of each key as a sorted array of structs; for keys whose rows fit a row."""
     items = F.array_sort(F.collect_list(F.struct(*order, *[c for c in columns if c not in order])))
     return df.groupBy(*keys).agg(items.alias(name))
+
+
+def contains_any(query: str, *columns: str) -> Column:
+    """Any column holds the query, whatever its case; no character of it is a wildcard."""
+    return some(*[F.coalesce(F.lower(c).contains(query.lower()), F.lit(False)) for c in columns])
+
+
+def valid_ranges(df: DataFrame, ranges: dict[str, tuple[float, float]], words: dict[str, Sequence[str]]) -> DataFrame:
+    """df with valid, and why it isn't: the first column out of its range or list, null included."""
+    checks = [(c, F.col(c).between(lo, hi)) for c, (lo, hi) in ranges.items()] + [(c, F.col(c).isin(*w)) for c, w in words.items()]
+    why = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), c) for c, ok in checks])
+    return df.withColumn("why", why).withColumn("valid", F.col("why").isNull())
+
+
+def upcoming(df: DataFrame, at: str, as_of: Column) -> DataFrame:
+    """df with upcoming: at or after as_of."""
+    return df.withColumn("upcoming", F.col(at) >= as_of)
+
+
+def grouped_by_fallback(df: DataFrame, key: str, free: str) -> DataFrame:
+    """Counts by key, where it is missing or 0 by the free text, and where that is empty as 'unknown'."""
+    known = F.coalesce(F.nullif(F.col(key), F.lit(0)).cast("string"), F.nullif(F.col(free), F.lit("")), F.lit("unknown"))
+    return df.groupBy(known.alias("key")).agg(F.count(F.lit(1)).alias("n"))

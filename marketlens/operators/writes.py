@@ -12,6 +12,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import with_suffix
+
 #: Generated keys are dealt out by one task, so an upload has at most so many rows.
 MOST_INSERTED = 1_000_000
 
@@ -129,3 +131,23 @@ def promote_next(table: DataFrame, group: str, key: str, flag: str, at: str) ->
     joined = table.join(best, group)
     value = F.when((F.col("_has") == 0) & (F.col(key) == F.col("_oldest")), 1).otherwise(F.col(flag))
     return joined.withColumn(flag, value).select(*table.columns)
+
+
+def toggle_flag(table: DataFrame, chosen: Column, flag: str) -> DataFrame:
+    """The 0/1 flag of the chosen rows is turned over."""
+    return table.withColumn(flag, F.when(chosen, F.when(F.col(flag) == 1, 0).otherwise(1)).otherwise(F.col(flag)))
+
+
+def check_then_write(table: DataFrame, rows: DataFrame, keys: Sequence[str], columns: Sequence[str], position: str) -> tuple[DataFrame, DataFrame]:
+    """An upload merged by keys that have to be there: rows without one are skipped, and counted as such."""
+    whole = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    return import_rows(table, rows, keys, columns, position, whole)
+
+
+def with_followups(wishes: DataFrame, used: DataFrame, keys: Sequence[str], deals: DataFrame, shops: DataFrame) -> dict[str, DataFrame]:
+    """What goes with two inserts: used items end the wishes with their keys, and each deal writes a note of its shop."""
+    left = wishes.join(used.select(*keys).distinct(), list(keys), "left_anti").select(*wishes.columns)
+    more = F.concat(F.lit("product "), F.col("product_id").cast("string"))
+    message = with_suffix(F.concat(F.col("discount").cast("string"), F.lit("% off")), more)
+    notes = deals.join(shops.select("shop_id", "name"), "shop_id").select("deal_id", "shop_id", F.lit("deal").alias("type"), F.concat(F.lit("New deal at "), F.col("name")).alias("title"), message.alias("message"))
+    return {"wishes": left, "notes": notes}

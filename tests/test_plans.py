@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from marketlens.plans import catalogue, files, people, shops
+from marketlens.plans import catalogue, files, listings, people, shops, shown, upkeep
 from marketlens.streaming import views
 
 PLANS = [(m, n) for m in (catalogue, shops, people, files, views) for n in m.QUERIES]
