@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut
-from .textops import hash_spans, slices
+from .textops import hash_spans, release, slices
 
 #: A block holds about so many bytes of text, or one document.
 BLOCK_BYTES = 6 << 20
@@ -162,6 +162,8 @@ def encode_words(batches: Iterable[pa.RecordBatch], path: str | None) -> Iterato
             sizes = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
             row = ([dest], [block], [_squeeze(sizes)], [_squeeze(np.frombuffer(b"".join(ids), np.uint32))])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, WORDS, strict=True)], schema=WORDS)
+    table.clear()
+    release()
 
 
 def join_positions(positions: pa.Table, words: pa.Table) -> pa.Table:

@@ -27,7 +27,7 @@ LEXICON = 20_000
 NGRAMS, AFFIXES = (2, 3, 4), (1, 2, 3, 4)
 #: Chains are worked out in runs of so many words, and texts in slices of about so many bytes.
 RUN = 128
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 @dataclass

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -131,6 +132,15 @@ def gram_hashes(hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
     return mix64(out)
 
 
+def release() -> None:
+    """Gives memory that is no longer used back to the system: a worker that has done its task stays on, idle, beside later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches again, in slices of about `size` bytes of text; a longer text has a slice of its own."""
     for batch in batches:
@@ -143,3 +153,5 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = SL
             stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1)
             yield batch.slice(start, stop - start)
             start = stop
+        del batch, column, offsets
+    release()
