@@ -255,8 +255,8 @@ SQL = {
         FROM note LEFT JOIN r USING (note_id) LEFT JOIN f USING (shop_id)""", "note", "note_read", "follow"
     ),
     "active_deals": with_roles(
-        """SELECT deal_id, shop_id, product.name AS product, discount, expires_at, created_at FROM deal LEFT JOIN product USING (product_id)
-        WHERE expires_at IS NULL OR expires_at > TIMESTAMP '2001-01-01' ORDER BY created_at DESC, deal_id LIMIT 50""", "deal", "product"
+        """SELECT deal_id, shop_id, product.name AS product, discount, expires_at, deal.created_at FROM deal LEFT JOIN product USING (product_id)
+        WHERE expires_at IS NULL OR expires_at > TIMESTAMP '2001-01-01' ORDER BY deal.created_at DESC, deal_id LIMIT 50""", "deal", "product"
     ),
     "latest_verification": with_roles(
         "WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, item_id DESC) AS k FROM item) SELECT user_id, name, item_id, status FROM account LEFT JOIN (SELECT * FROM l WHERE k = 1) USING (user_id)", "item", "account"
