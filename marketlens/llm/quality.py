@@ -25,6 +25,8 @@ SYMBOLS, GAPS = "#*$%&|<>", " \t\n\v\f\r"
 REPEAT = 5
 #: The dimensions' least standard deviations, in transformed units: many texts have no symbols and no repeats at all.
 FLOORS = (0.5, 0.1, 0.1, 0.2, 0.2)
+#: Texts are counted in slices of about so many bytes.
+SLICE = 1 << 20
 #: A group's estimate is drawn towards its language's as by so many rows of it, that towards the whole table's, and
 #: that towards a spread of WIDE in each dimension; so a small group weighs little, and no size is a threshold.
 PRIOR = 50
@@ -37,7 +39,7 @@ OCTAVE, LOWEST, HIGHEST = 16, -20, 40
 
 def text_statistics(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, lang, source, text) -> the first three and COUNTS."""
-    for batch in slices(batches):
+    for batch in slices(batches, size=SLICE):
         texts = batch.column(3).to_pylist()
         words = read_words(texts)
         grams = gram_hashes(words.hashes, REPEAT, 7)
