@@ -22,4 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": lambda spark, d: url_filter.op6(table(spark, d, "pages")),
 }
 
-SQL: dict[str, str] = {"op2_mixing": mixing.OP2_SQL, "op6_url_filter": url_filter.OP6_SQL, "op7_warc": warc.OP7_SQL}
+SQL: dict[str, str] = {
+    "op2_mixing": mixing.OP2_SQL, "op3_minhash": neardup.OP3_SQL, "op6_url_filter": url_filter.OP6_SQL, "op7_warc": warc.OP7_SQL, "op10_substring_dedup": substring_dedup.OP10_SQL,
+}

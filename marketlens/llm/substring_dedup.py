@@ -240,6 +240,26 @@ def op10(docs: DataFrame) -> DataFrame:
     return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), x AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM x
+), f AS (
+  SELECT g, min(doc_id) AS first FROM g GROUP BY g
+), m AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM g JOIN f USING (g), range(13) r(k) WHERE first < doc_id
+), p AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d
+), k AS (
+  SELECT p.doc_id, count(m.i) AS removed, string_agg(word, ' ' ORDER BY p.i) FILTER (WHERE m.i IS NULL) AS kept FROM p LEFT JOIN m ON m.doc_id = p.doc_id AND m.i = p.i GROUP BY p.doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def brute_force(rows: list[tuple[int, str | None]], k: int = 13) -> list[tuple[int, int, int, str]]:
     """What op10 returns, for small inputs; the tests' measure."""
     first: dict[tuple, int] = {}
