@@ -13,7 +13,10 @@ from ..functions.numbers import percent
 from ..functions.text import city_state, clean_phone, compact, locality, sheet_id
 from ..operators.relational import asc, desc, first_wins, top
 from ..roles import role, with_roles
+from ..sources.readers import inline
 
+#: Where a scan looks, in order.
+SCANNED = (("NATION_1", "ASIA"), ("NATION_3", "AFRICA"), ("NATION_7", ""), ("NATION_404", "EUROPE"))
 #: The keys by which sources drop repeated listings: on name and city together or apart, on the name alone.
 KEYS = ("joined", "apart", "name", "name_kept", "loose")
 
@@ -195,6 +198,7 @@ QUERIES = {
     "contact_segments": lambda s, d: segments(contacts(s, d)),
     "contact_enrichment": lambda s, d: enrich(contacts(s, d).filter("website <> '' AND coalesce(email, '') = ''").select("user_id", "website"), _read_pages(s, d)),
     "parsed_places": lambda s, d: _places(s, d).select("user_id", city_state(F.col("place")).alias("c"), locality(F.col("line"), "Salem", "OR").alias("l"), sheet_id(F.col("url")).alias("sheet")).select("user_id", "c.city", "c.state", F.col("l.city").alias("line_city"), F.col("l.state").alias("line_state"), F.col("l.zip").alias("line_zip"), "sheet"),
+    "scanned_cities": lambda s, d: inline(s, "city string, area string", SCANNED).join(role(s, d, "shop").groupBy("city").agg(F.count(F.lit(1)).alias("shops")), "city", "left").select("city", "area", F.coalesce("shops", F.lit(0)).alias("shops")),
     "json_businesses": lambda s, d: json_walk(_trees(s, d)).select("id", "name", "url", "city"),
     "page_link_counts": lambda s, d: page_links(s.read.parquet(f"{d}/pages.parquet")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("href").alias("different")),
 }
@@ -230,6 +234,7 @@ SQL = {
         CASE user_id % 4 WHEN 0 THEN 'Austin' WHEN 1 THEN 'Austin' ELSE 'Salem' END AS line_city, CASE user_id % 4 WHEN 0 THEN 'TX' ELSE 'OR' END AS line_state, CASE user_id % 4 WHEN 0 THEN '78701' ELSE '' END AS line_zip,
         CASE user_id % 3 WHEN 0 THEN 'abc-_' || user_id END AS sheet FROM account""", "account"
     ),
+    "scanned_cities": with_roles("SELECT city, area, count(shop_id) AS shops FROM (VALUES ('NATION_1', 'ASIA'), ('NATION_3', 'AFRICA'), ('NATION_7', ''), ('NATION_404', 'EUROPE')) v(city, area) LEFT JOIN shop USING (city) GROUP BY ALL", "shop"),
     "json_businesses": with_roles("SELECT shop_id AS id, name, '/b/' || shop_id AS url, city FROM shop WHERE shop_id % 4 < 2", "shop"),
     "page_link_counts": """WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)) AS href FROM pages) SELECT page_id, count(*) AS n, count(DISTINCT href) AS different FROM a GROUP BY 1""",
 }

@@ -71,3 +71,16 @@ def page_emails(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with `emails`: addresses in mailto links first, then those in the text, distinct."""
     linked = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"""(?i)href=["']mailto:([^"'?]+)"""), F.lit(1))
     return pages.withColumn("emails", F.array_distinct(F.concat(F.transform(linked, F.lower), emails(F.col(html)))))
+
+
+def read_result_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Saved answers of a paged service, a JSON document each with `results`: all results, each place once, from the first page that has it."""
+    schema = "page int, results array<struct<place_id: string, name: string, formatted_address: string, formatted_phone_number: string, website: string>>"
+    rows = spark.read.schema(schema).option("multiLine", True).json(folder).select("page", F.posexplode("results").alias("place", "r"))
+    first = rows.filter(F.length("r.name") > 0).groupBy(F.coalesce("r.place_id", F.concat_ws("|", "r.name", "r.formatted_address")).alias("key")).agg(F.min_by("r", F.struct("page", "place")).alias("r"))
+    return first.select("key", F.col("r.name").alias("name"), F.col("r.formatted_address").alias("address"), F.col("r.formatted_phone_number").alias("phone"), F.col("r.website").alias("website"))
+
+
+def inline(spark: SparkSession, columns: str, rows: Sequence[tuple]) -> DataFrame:
+    """A relation of constants: a city list, a template, a seed."""
+    return spark.createDataFrame(list(rows), columns)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .readers import LISTING
@@ -27,3 +29,20 @@ def fill_emails(rows: DataFrame, found: DataFrame) -> DataFrame:
 def as_json(df: DataFrame, name: str = "json") -> DataFrame:
     """One JSON document per row; nested columns stay nested."""
     return df.select(F.to_json(F.struct(*df.columns)).alias(name))
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Rows added to a log, which is never rewritten."""
+    rows.write.mode("append").parquet(path)
+
+
+def write_template(spark: SparkSession, path: str, columns: Sequence[str], example: Sequence[str]) -> None:
+    """A CSV with a header and one row that shows how to fill it in."""
+    write_csv(spark.createDataFrame([tuple(example)], ", ".join(f"`{c}` string" for c in columns)).coalesce(1), path)
+
+
+def apply_once(ledger: DataFrame, steps: Sequence[tuple[str, Callable[[], None]]]) -> DataFrame:
+    """Named steps in order, those that the ledger (name) doesn't hold yet; the ledger after them."""
+    done = {r.name for r in ledger.collect()}  # one row for each step ever made
+    new = [(name,) for name, step in steps if name not in done and (step() or True)]
+    return ledger.unionByName(ledger.sparkSession.createDataFrame(new, "name string"))
