@@ -234,18 +234,25 @@ def measured(tokens: Column) -> Column:
     return F.transform(tokens, one)
 
 
-def decoy(text: Column, encoding: str, n: int) -> Column:
-    """A stretch of n of a text's own characters in an encoding, at a place given by its hash; null if it has fewer.
+def decoys(text: Column, groups: list[tuple[str, int]]) -> Column:
+    """For each group (encoding, stratum) a stretch of a text's own characters as (key, encoding, symbols), at a place given by its hash; null if it has too few.
 
     Long tokens are left out first, so that secrets have no part in what counts as ordinary.
     """
-    text = F.regexp_replace(text, r"[A-Za-z0-9+/_-]{20,}", " ")
     kept = {
-        "hex": F.regexp_replace(F.lower(text), "[^0-9a-f]", ""), "base32": F.regexp_replace(F.upper(text), "[^A-Z2-7]", ""), "base36": F.regexp_replace(F.lower(text), "[^a-z0-9]", ""),
-        "base62": F.regexp_replace(text, "[^A-Za-z0-9]", ""), "base64": F.regexp_replace(text, "[^A-Za-z0-9]+", "/"),
-    }[encoding]
-    places = lambda s: F.pmod(F.xxhash64(F.lit(n), s), F.greatest(F.length(s) - n + 1, F.lit(1)).cast("long")).cast("int")
-    return bind(kept, lambda s: F.when(F.length(s) >= n, F.substring(s, places(s) + 1, F.lit(n))))
+        "hex": lambda t: F.regexp_replace(F.lower(t), "[^0-9a-f]", ""), "base32": lambda t: F.regexp_replace(F.upper(t), "[^A-Z2-7]", ""), "base36": lambda t: F.regexp_replace(F.lower(t), "[^a-z0-9]", ""),
+        "base62": lambda t: F.regexp_replace(t, "[^A-Za-z0-9]", ""), "base64": lambda t: F.regexp_replace(t, "[^A-Za-z0-9]+", "/"),
+    }
+
+    def stretch(s: Column, e: str, stratum: int) -> Column:
+        n = STRATA[stratum]
+        place = F.pmod(F.xxhash64(F.lit(n), s), F.greatest(F.length(s) - n + 1, F.lit(1)).cast("long")).cast("int")
+        return F.struct(F.lit(f"{e}:{stratum}").alias("key"), F.lit(e).alias("encoding"), F.when(F.length(s) >= n, F.substring(s, place + 1, F.lit(n))).alias("symbols"))
+
+    def of(t: Column, e: str) -> Column:
+        return bind(kept[e](t), lambda s: F.array(*[stretch(s, e, k) for x, k in groups if x == e]))
+
+    return bind(F.regexp_replace(text, r"[A-Za-z0-9+/_-]{20,}", " "), lambda t: F.flatten(F.array(*[of(t, e) for e in sorted({e for e, _ in groups})])))
 
 
 def limits(found: DataFrame, tokens: str, docs: DataFrame, text: str, q: float) -> dict[str, float]:
@@ -265,10 +272,10 @@ def limits(found: DataFrame, tokens: str, docs: DataFrame, text: str, q: float)
     if not keys:
         return {}
     whole = F.coalesce(F.col(text), F.lit(""))
-    made = [F.struct(F.lit(k).alias("key"), F.lit(k.split(":")[0]).alias("encoding"), decoy(whole, k.split(":")[0], STRATA[int(k.split(":")[1])]).alias("symbols")) for k in keys]
-    decoys = docs.select(F.explode(F.array(*made)).alias("d")).filter("d.symbols IS NOT NULL")
+    groups = [(e, int(k)) for e, _, k in (key.partition(":") for key in keys)]
+    drawn = docs.select(F.explode(decoys(whole, groups)).alias("d")).filter("d.symbols IS NOT NULL")
     x = F.ln(F.greatest(distance(F.col("d.symbols"), F.col("d.encoding")), F.lit(1e-3)))
-    seen = {r.key: r for r in decoys.select(F.col("d.key").alias("key"), x.alias("x")).groupBy("key").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var")).collect()}
+    seen = {r.key: r for r in drawn.select(F.col("d.key").alias("key"), x.alias("x")).groupBy("key").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var")).collect()}
     out = {}
     for k in keys:
         r = seen.get(k)
