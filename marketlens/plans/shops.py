@@ -25,7 +25,7 @@ def shop_search(
 ) -> DataFrame:
     """Shops that meet every filter given, with rows in stock, followers and ratings; each side is aggregated before it is joined.
 
-    Verified ones come first, then by followers and stock (see SHOP_ORDER). Open ones are those known to be open: null is not.
+    Verified ones come first, then by followers and stock (see shop_order). Open ones are those known to be open: null is not.
     """
     found = shops.filter(
         every(
@@ -41,7 +41,8 @@ def shop_search(
     return star(found, "shop_id", held, fans, rated).withColumns(zero).select("shop_id", "name", "city", "state", "verified", "is_open", "lat", "lng", *zero)
 
 
-SHOP_ORDER = (desc("verified"), desc("followers"), desc("stock_rows"), asc("shop_id"))
+def shop_order() -> tuple[Column, ...]:
+    return desc("verified"), desc("followers"), desc("stock_rows"), asc("shop_id")
 
 
 def day_text(hours: str = "hours") -> Column:
@@ -102,7 +103,7 @@ def _shops(s, d, **params):
 
 
 QUERIES = {
-    "shop_search": lambda s, d: top(_shops(s, d, q="more of A", city="ION"), 30, *SHOP_ORDER).select(*_SHOP),
+    "shop_search": lambda s, d: top(_shops(s, d, q="more of A", city="ION"), 30, *shop_order()).select(*_SHOP),
     "shop_search_open": lambda s, d: _shops(s, d, open_now=True).select(*_SHOP),
     "shop_search_facilities": lambda s, d: _shops(s, d, state="ASIA", lounge=True, walk_in=True).select(*_SHOP),
     "shop_search_near": lambda s, d: within(_shops(s, d, q="Supplier"), 34.05, -118.24, 700).join(_shops(s, d, q="Supplier").select("shop_id", "followers"), "shop_id"),
