@@ -18,12 +18,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import gram_hashes, hash_spans, mix64, read_words, slices, spans, split_words, word_ids
+from .textops import gram_hashes, hash_spans, mix64, read_words, release, slices, spans, split_words, word_ids
 
 #: A null doc_id stands behind all others.
 LAST = (1 << 63) - 1
 PACK = "dest int, kind int, docs binary, starts binary, sizes binary, packed binary"
 SETTLED, WINDOWS = 0, 1
+#: So many words of packs' own lists wait before they become part of the bucket's one list.
+MOST_PENDING = 1 << 19
 
 
 def _later(hashes: np.ndarray, doc: np.ndarray, ids: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -137,11 +139,34 @@ def pack(batches: Iterable[pa.RecordBatch], k: int, m: int, parts: int) -> Itera
         yield _batch(rows)
 
 
+class Interned:
+    """The distinct words of a bucket; packs bring their own lists, which become one a few at a time."""
+
+    def __init__(self) -> None:
+        self.known = pa.array([], pa.large_binary())
+        self.pending: list[pa.Array] = []
+        self.pending_words = 0
+
+    def add(self, distinct: pa.Array) -> None:
+        self.pending.append(distinct)
+        self.pending_words += len(distinct)
+
+    def settle(self, ids: list[np.ndarray], first: int) -> int:
+        """Turns the ids of the packs from `first` on, places in their own lists, into places in the one list; the next pack's place."""
+        coded = pa.concat_arrays([self.known, *self.pending]).dictionary_encode()  # known words keep their places, as they come first
+        places, at = np.asarray(coded.indices), len(self.known)
+        for i, own in enumerate(self.pending, first):
+            ids[i] = places[at : at + len(own)][ids[i]].astype(np.int32)
+            at += len(own)
+        self.known, self.pending, self.pending_words = coded.dictionary, [], 0
+        return len(ids)
+
+
 def settle(batches: Iterable[pa.RecordBatch], k: int, parts: int) -> Iterator[pa.RecordBatch]:
     """In a bucket: unpack the windows, sort them and send off those that a smaller document has too."""
     unsqueeze = zstandard.ZstdDecompressor()
-    held: list[tuple] = []
-    known: list[pa.Array] = []
+    hashes, docs, starts, at, ids = ([] for _ in range(5))  # a part for each pack
+    words, pending = Interned(), 0
     place = 0
     for batch in batches:
         rows = []
@@ -149,30 +174,36 @@ def settle(batches: Iterable[pa.RecordBatch], k: int, parts: int) -> Iterator[pa
             if row[1] == SETTLED:
                 rows.append(row)
                 continue
-            docs, starts, size = np.frombuffer(row[2], np.int64), np.frombuffer(row[3], np.int32), np.frombuffer(row[4], np.int32).astype(np.int64)
+            doc, start, size = np.frombuffer(row[2], np.int64), np.frombuffer(row[3], np.int32), np.frombuffer(row[4], np.int32).astype(np.int64)
             data = unsqueeze.decompress(row[5])
             begin, end = spans(data)
-            ids, distinct = word_ids(data, begin, end)
+            own, distinct = word_ids(data, begin, end)
             count = size - (k - 1)
             inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            at = np.repeat(np.cumsum(size) - size, count) + inside
-            held.append((gram_hashes(hash_spans(data, begin, end), k, 1)[at], np.repeat(docs, count), (np.repeat(starts, count) + inside).astype(np.int32), (at + place).astype(np.int64), ids))
-            known.append(distinct)
-            place += len(ids)
+            head = np.repeat(np.cumsum(size) - size, count) + inside
+            hashes.append(gram_hashes(hash_spans(data, begin, end), k, 1)[head])
+            docs.append(np.repeat(doc, count))
+            starts.append((np.repeat(start, count) + inside).astype(np.int32))
+            at.append(head + place)
+            ids.append(own)
+            words.add(distinct)
+            place += len(own)
+            if words.pending_words > MOST_PENDING:
+                pending = words.settle(ids, pending)
         if rows:
             yield _batch(rows)
-    if held:
-        # the packs' lists of words become one
-        whole = pa.chunked_array(known).combine_chunks().dictionary_encode()
-        again, base = np.asarray(whole.indices).astype(np.int32), np.cumsum([0, *map(len, known)])
-        ids = np.concatenate([again[b:][p[4]] for b, p in zip(base.tolist(), held, strict=False)])
-        known.clear()
-        hashes, doc, starts, at = (np.concatenate([p[i] for p in held]) for i in range(4))
-        held.clear()
-        later = _later(hashes, doc, ids, at, k)
-        rows = list(_settled(doc[later], starts[later].astype(np.int64), parts))
+    if hashes:
+        words.settle(ids, pending)
+        del words
+        whole = []
+        for parts_of in (hashes, docs, ids, at, starts):
+            whole.append(np.concatenate(parts_of))
+            parts_of.clear()
+        later = _later(*whole[:4], k)
+        rows = list(_settled(whole[1][later], whole[4][later].astype(np.int64), parts))
         if rows:
             yield _batch(rows)
+    release()
 
 
 def merge_marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
