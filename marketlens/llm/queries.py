@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lang_id, media, mixing, neardup, quality, secret_scan, substring_dedup, url_filter, warc
+from . import bpe, byte_bpe, lang_id, media, mixing, neardup, quality, secret_scan, substring_dedup, url_filter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ogg": lambda spark, d: media.op5(table(spark, d, "documents")),
     "op7_warc": lambda spark, d: warc.op7(table(spark, d, "pages")),
     "op6_url_filter": lambda spark, d: url_filter.op6(table(spark, d, "pages")),
+    "op13_byte_bpe": lambda spark, d: byte_bpe.op13(table(spark, d, "documents")),
 }
 
 SQL: dict[str, str] = {
