@@ -77,3 +77,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, spread: str, how:
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
     copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII string: each byte is mixed in, then eight bits are shifted out."""
+    steps = f"list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split({text}, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])))"
+    return f"xor(list_reduce({steps}, lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"

@@ -9,7 +9,7 @@ from marketlens.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_same_as_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{data}/{t}.parquet')")
     df = queries.QUERIES[name](spark, data)
     cur = con.execute(queries.SQL[name])
