@@ -2,34 +2,96 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapsed, plain, similarity
+from ..functions.numbers import parse_count, parse_price
+from ..functions.text import collapsed, join_present, plain, similarity
+from .kept import kept
+from .numbering import numbered
+
+#: Rounds of a search, best first: the least similarity, and the length of the grams by which names meet.
+ROUNDS = ((0.7, 2), (0.4, 1), (0.0, 1))
+
 
-#: An upload is dealt into blocks of about so many rows, which bounds what is broadcast at once.
-BLOCK_ROWS = 500
+def grams(names: DataFrame, key: str, q: int) -> DataFrame:
+    """(key, text) -> key, gram, j: each run of q (1 or 2) characters, the j-th of its kind in the text."""
+    letters = F.filter(F.split("text", ""), lambda c: c != "")
+    runs = names.select(key, letters.alias("_c"))
+    if q == 2:
+        runs = runs.select(key, F.filter(F.zip_with("_c", F.slice("_c", 2, F.greatest(F.size("_c") - 1, F.lit(0))), lambda a, b: F.concat(a, b)), lambda g: g.isNotNull()).alias("_c"))
+    counted = runs.select(key, F.explode("_c").alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("_n"))
+    return counted.select(key, "gram", F.explode(F.sequence(F.lit(1), "_n")).alias("j"))
+
+
+def best_match(wanted: DataFrame, known: DataFrame, least: float = 0.0) -> DataFrame:
+    """(row, text) against (id, text), both plain: row, id, known and score of the most similar text of each row that has any.
+
+    The same as comparing all with all, ties to the smallest id, scores of 0 or under `least` left out; but texts meet by an inverted index of
+    grams. Of two texts with a similarity of s or more, the longer has M characters and they share at least M - q + 1 - q(1 - s)M
+    grams, so it is enough to look up a row's rarest grams, all but so many less one. Rounds go from similar to unlike: a row
+    whose best reaches the round's similarity is done, and only the others go on, so the frequent grams are looked up for few rows. Lengths bound
+    the candidates, and the edit distance is worked out only up to what the round allows. Equal texts are looked up once; a frequent gram's rows are split
+    by adaptive execution.
+    """
+    known = kept(known.filter("text <> ''").groupBy("text").agg(F.min("id").alias("id")))
+    open_ = kept(wanted.filter("text <> ''").select("text").distinct())
+    postings: dict[int, tuple[DataFrame, DataFrame]] = {}
+    done: list[DataFrame] = []
+    for similar, q in dict.fromkeys((max(similar, least), q) for similar, q in ROUNDS):
+        if q not in postings:
+            by_gram = kept(grams(known, "id", q))
+            postings[q] = by_gram, by_gram.groupBy("gram", "j").agg(F.count(F.lit(1)).alias("_often"))
+        index, often = postings[q]
+        n = F.length("text")
+        shared = F.ceil(n * (1 - q * (1 - similar)) - q + 1 - 1e-9) if similar > 0 else F.lit(1)
+        asked = open_.withColumn("_keep", n - q + 1 - shared + 1).filter(shared >= 1)
+        ranked = grams(asked, "text", q).join(often, ["gram", "j"], "left").withColumn("_rank", F.row_number().over(Window.partitionBy("text").orderBy(F.asc_nulls_first("_often"), "gram", "j")))
+        probes = ranked.join(asked.select("text", "_keep"), "text").filter("_rank <= _keep").select("text", "gram", "j")
+        pairs = probes.join(index, ["gram", "j"]).select("text", "id").distinct()
+        both = pairs.join(known.withColumnRenamed("text", "known"), "id")
+        a, b = F.length("text"), F.length("known")
+        near = both.filter((b >= a * similar - 1e-9) & (b * similar <= a + 1e-9))
+        allowed = f"CAST(floor({1 - similar!r} * greatest(length(text), length(known)) + 1e-9) AS INT)"
+        scored = near.withColumn("_d", F.expr(f"levenshtein(text, known, {allowed})")).filter("_d >= 0").withColumn("score", 1.0 - F.col("_d") / F.greatest(a, b))
+        found = scored.filter("score > 0").groupBy("text").agg(F.max_by(F.struct("id", "known", "score"), F.struct("score", -F.col("id"))).alias("m"))
+        done.append(kept(found.select("text", "m.*")))
+        open_ = kept(open_.join(done[-1], "text", "left_anti"))
+        if open_.isEmpty():
+            break
+    return wanted.select("row", "text").join(reduce(DataFrame.unionByName, done), "text").select("row", "id", "known", "score")
 
 
 def fuzzy_best(upload: DataFrame, catalogue: DataFrame, least: float = 0.0) -> DataFrame:
     """(row, name) of an upload against (product_id, name): the most similar product of each row.
 
-    Each task holds a block of the upload against its part of the catalogue's distinct names, and only the best of each task is
-    shuffled. Ties go to the smallest product_id; a score of 0 or under `least` is no match.
+    Ties go to the smallest product_id; a score of 0 or under `least` is no match. Null names are like nothing.
     """
-    names = catalogue.groupBy(plain(F.col("name")).alias("_known")).agg(F.min_by("name", "product_id").alias("match_name"), F.min("product_id").alias("product_id"))
-    wanted = upload.select("row", plain(F.col("name")).alias("_wanted"))
-    n_blocks = max(1, -(-wanted.count() // BLOCK_ROWS))
-    best: DataFrame | None = None
-    for k in range(n_blocks):
-        block = F.broadcast(wanted if n_blocks == 1 else wanted.filter(F.pmod(F.xxhash64("row"), F.lit(n_blocks)) == k))
-        scored = names.join(block, F.lit(True)).withColumn("score", similarity(F.col("_known"), F.col("_wanted")))
-        found = scored.groupBy("row").agg(F.max_by(F.struct("product_id", "match_name", "score"), F.struct("score", -F.col("product_id"))).alias("m"))
-        best = found if best is None else best.unionByName(found)
-    assert best is not None
-    enough = best.filter(F.col("m.score") > F.greatest(F.lit(0.0), F.lit(least) - 1e-12))
-    found = upload.join(enough, "row", "left")
-    return found.select("row", "name", F.col("m.product_id").alias("product_id"), F.col("m.match_name").alias("match_name"), F.floor(F.coalesce("m.score", F.lit(0.0)) * 100 + 0.5).alias("confidence"))
+    names = catalogue.groupBy(plain(F.col("name")).alias("known")).agg(F.min_by("name", "product_id").alias("match_name"), F.min("product_id").alias("id"))
+    best = best_match(upload.select("row", plain(F.col("name")).alias("text")), names.select("id", F.col("known").alias("text")), least)
+    found = upload.join(best.join(names, ["id", "known"]), "row", "left")
+    return found.select("row", "name", F.col("id").alias("product_id"), "match_name", F.floor(F.coalesce("score", F.lit(0.0)) * 100 + 0.5).alias("confidence"))
+
+
+def import_preview(upload: DataFrame, products: DataFrame, sizes: DataFrame, least: float = 0.0) -> DataFrame:
+    """An upload (position, brand, name, size, price, quantity; texts) as it is shown before it is imported.
+
+    Rows without brand and name are passed over, and the others numbered from 0 in their order. A row's brand and name together meet the products' brand and name
+    (product_id, brand, name), and its size, if any, the sizes of the product found (product_id, size_id, size_name).
+    """
+    texts = {c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("brand", "name", "size")}
+    asked = upload.select("position", *[t.alias(c) for c, t in texts.items()], parse_price(F.col("price")).alias("price"), parse_count(F.col("quantity"), 0).alias("quantity"))
+    rows = kept(numbered(asked.filter("brand <> '' OR name <> ''"), [F.col("position")], "row", start=0))
+    catalogue = products.select(F.col("product_id").alias("id"), plain(F.concat(F.coalesce("brand", F.lit("")), F.lit(" "), F.coalesce("name", F.lit("")))).alias("text"))
+    best = best_match(rows.select("row", plain(join_present(" ", F.col("brand"), F.col("name"))).alias("text")), catalogue, least)
+    matched = kept(rows.join(best.select("row", F.col("id").alias("product_id"), "score"), "row", "left"))
+    chosen = second_stage(matched.select("row", "product_id", "size"), sizes).drop("product_id")
+    named = products.select("product_id", F.col("brand").alias("match_brand"), F.col("name").alias("match_name"))
+    out = matched.join(chosen, "row", "left").join(named, "product_id", "left")
+    confidence = F.floor(F.col("score") * 100 + 0.5).alias("confidence")
+    return out.select("row", "brand", "name", "size", "price", "quantity", "product_id", "match_brand", "match_name", confidence, "size_id", "size_name", "size_confidence")
 
 
 def second_stage(matched: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -44,6 +106,26 @@ def second_stage(matched: DataFrame, sizes: DataFrame) -> DataFrame:
     return out.select("row", "product_id", F.col("m.size_id").alias("size_id"), F.col("m.size_name").alias("size_name"), F.floor(F.col("m.score") * 100 + 0.5).alias("size_confidence"))
 
 
+def sheet_lookup(rows: DataFrame, products: DataFrame, sizes: DataFrame) -> DataFrame:
+    """A shop's sheet (position, brand, name, size, price, quantity; texts) against (product_id, brand, name) and (product_id, size_id, size_name).
+
+    All three are compared in their collapsed forms; of equal products, and of equal sizes of the product, the smallest id is meant. Each row gets its product, size, price, quantity
+    (null where it is blank) and the reason for which it isn't taken, the first that applies, or null: missing (brand, name or size), not found, size not in
+    catalogue, invalid price (none, or 0). Rows without brand and name are passed over; other columns stay.
+    """
+    blank = lambda c: F.coalesce(collapsed(F.col(c)), F.lit(""))
+    keyed = rows.withColumns({"_b": blank("brand"), "_n": blank("name"), "_s": blank("size")}).filter("_b <> '' OR _n <> ''")
+    p = products.groupBy(blank("brand").alias("_b"), blank("name").alias("_n")).agg(F.min("product_id").alias("product_id"))
+    z = sizes.groupBy("product_id", blank("size_name").alias("_s")).agg(F.min("size_id").alias("size_id"))
+    found = keyed.join(p, ["_b", "_n"], "left").join(z, ["product_id", "_s"], "left")
+    found = found.withColumns({"price": parse_price(F.col("price")), "quantity": parse_count(F.col("quantity"))})
+    reason = (
+        F.when((F.col("_b") == "") | (F.col("_n") == "") | (F.col("_s") == ""), "missing").when(F.col("product_id").isNull(), "not found")
+        .when(F.col("size_id").isNull(), "size not in catalogue").when(F.col("price").isNull(), "invalid price")
+    )
+    return found.withColumn("reason", reason).select(*rows.columns, "product_id", "size_id", "reason")
+
+
 def exact_lookup(rows: DataFrame, products: DataFrame, shops: DataFrame) -> DataFrame:
     """(row, product, shop, price) with a reason for each row: the first that applies of four, or matched.
 

@@ -13,10 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import with_suffix
-
-#: Generated keys are dealt out by one task, so an upload has at most so many rows.
-MOST_INSERTED = 1_000_000
-
+from .numbering import numbered
 
 def same(a: str, b: str, keys: Sequence[str], null_safe: bool = False) -> Column:
     eq = lambda k: F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) if null_safe else F.col(f"{a}.{k}") == F.col(f"{b}.{k}")
@@ -24,12 +21,9 @@ def same(a: str, b: str, keys: Sequence[str], null_safe: bool = False) -> Column
 
 
 def insert_rows(table: DataFrame, rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """rows get the next keys in their order; rows are one upload, which is checked, so one task can number them."""
-    if (n := rows.count()) > MOST_INSERTED:
-        raise ValueError(f"an upload has at most {MOST_INSERTED} rows; this one has {n}")
+    """rows, however many, get the next keys in their order, nulls first."""
     last = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("_last"))
-    numbered = rows.withColumn("_n", F.row_number().over(Window.orderBy(*order)))
-    new = numbered.join(F.broadcast(last)).withColumn(key, F.col("_last") + F.col("_n")).drop("_n", "_last")  # one row
+    new = numbered(rows, [F.col(c) for c in order], "_n").join(F.broadcast(last)).withColumn(key, F.col("_last") + F.col("_n")).drop("_n", "_last")  # one row
     return table.unionByName(new, allowMissingColumns=True)
 
 
@@ -110,6 +104,18 @@ def import_rows(table: DataFrame, rows: DataFrame, keys: Sequence[str], columns:
     return both.select(*[value(c).alias(c) for c in table.columns]), counters
 
 
+def sync_stock(stock: DataFrame, looked_up: DataFrame) -> DataFrame:
+    """Stock (shop_id, product_id, size_id, price, quantity) after sheets that have been looked up: a row without a reason replaces price and quantity, or comes in.
+
+    Of rows for one shop and size the last position counts. synced tells the rows that came from a sheet. To sync the same sheets again changes nothing.
+    """
+    keys = ["shop_id", "product_id", "size_id"]
+    taken = looked_up.filter("reason IS NULL").groupBy(*keys).agg(F.max_by(F.struct("price", "quantity"), "position").alias("_v"))
+    both = stock.select(*keys, "price", "quantity").join(taken, keys, "full")
+    value = lambda c: F.when(F.col("_v").isNotNull(), F.col("_v")[c]).otherwise(F.col(c)).alias(c)
+    return both.select(*keys, value("price"), value("quantity"), F.col("_v").isNotNull().alias("synced"))
+
+
 def insert_unless_duplicate(table: DataFrame, rows: DataFrame, keys: Sequence[str], dated: str, position: str) -> DataFrame:
     """rows to add: those whose keys are new, once; rows without a date always come in."""
     keyed = rows.filter(F.col(dated).isNotNull()).join(table.select(*keys), list(keys), "left_anti")

@@ -23,7 +23,7 @@ def _sizes(s, d) -> DataFrame:
     """The sizes in which each product is in stock."""
     names = F.array(*[F.lit(n) for n in SIZES])
     rows = role(s, d, "stock").filter("in_stock AND size_id IS NOT NULL").select("product_id", "size_id").distinct()
-    return rows.withColumn("size_name", names[F.col("size_id") - 1])
+    return rows.withColumn("size_name", F.get(names, F.col("size_id") - 1))
 
 
 def _upload_sizes(s, d) -> DataFrame:
@@ -50,7 +50,7 @@ def _cascade_counts(s, d) -> DataFrame:
     return out
 
 
-def _smoked(s, d) -> dict[str, DataFrame]:
+def _used_up(s, d) -> dict[str, DataFrame]:
     """Items that come in as used end the user's wishes for the same product, and each deal tells its shop's followers."""
     items = role(s, d, "item").select("item_id", "user_id", "product_id", "status")
     return with_followups(items.filter("status = 'wished'"), items.filter("status = 'used'"), ["user_id", "product_id"], role(s, d, "deal"), role(s, d, "shop"))
@@ -74,8 +74,8 @@ QUERIES = {
         role(s, d, "stock").filter("in_stock").groupBy("shop_id", "size_id").agg(F.max("price").alias("price")),
         role(s, d, "stock").select("shop_id", "size_id", F.expr("price + 1").alias("price"), (F.col("stock_id") * 100_000 + F.col("product_id")).alias("position")), ["shop_id", "size_id"], ["price"], "position",
     )[1],
-    "cascade_wishes": lambda s, d: _smoked(s, d)["wishes"],
-    "cascade_notes": lambda s, d: _smoked(s, d)["notes"],
+    "cascade_wishes": lambda s, d: _used_up(s, d)["wishes"],
+    "cascade_notes": lambda s, d: _used_up(s, d)["notes"],
     "emails_merged_back": lambda s, d: fill_emails(
         role(s, d, "account").selectExpr("user_id", "name", "segment AS city", "CASE WHEN user_id % 3 = 0 THEN 'own@example.com' WHEN user_id % 3 = 1 THEN '' END AS email"),
         role(s, d, "account").filter("user_id % 2 = 0").selectExpr("name", "segment AS city", "'found@example.com' AS email"),
