@@ -13,7 +13,9 @@ from .kept import kept
 from .numbering import numbered
 
 #: Rounds of a search, best first: the least similarity, and the length of the grams by which names meet.
-ROUNDS = ((0.7, 2), (0.4, 1), (0.0, 1))
+ROUNDS = ((0.85, 2), (0.7, 2), (0.4, 1), (0.0, 1))
+#: A row looks up so many grams more than it has to, and meets a text only by so many.
+MEETINGS = 4
 
 
 def grams(names: DataFrame, key: str, q: int) -> DataFrame:
@@ -31,26 +33,24 @@ def best_match(wanted: DataFrame, known: DataFrame, least: float = 0.0) -> DataF
 
     The same as comparing all with all, ties to the smallest id, scores of 0 or under `least` left out; but texts meet by an inverted index of
     grams. Of two texts with a similarity of s or more, the longer has M characters and they share at least M - q + 1 - q(1 - s)M
-    grams, so it is enough to look up a row's rarest grams, all but so many less one. Rounds go from similar to unlike: a row
+    grams, t say, so they share k of the row's rarest grams, all but t - k; k is MEETINGS or t. Rounds go from similar to unlike: a row
     whose best reaches the round's similarity is done, and only the others go on, so the frequent grams are looked up for few rows. Lengths bound
     the candidates, and the edit distance is worked out only up to what the round allows. Equal texts are looked up once; a frequent gram's rows are split
     by adaptive execution.
     """
     known = kept(known.filter("text <> ''").groupBy("text").agg(F.min("id").alias("id")))
     open_ = kept(wanted.filter("text <> ''").select("text").distinct())
-    postings: dict[int, tuple[DataFrame, DataFrame]] = {}
+    left = open_.count()
     done: list[DataFrame] = []
     for similar, q in dict.fromkeys((max(similar, least), q) for similar, q in ROUNDS):
-        if q not in postings:
-            by_gram = kept(grams(known, "id", q))
-            postings[q] = by_gram, by_gram.groupBy("gram", "j").agg(F.count(F.lit(1)).alias("_often"))
-        index, often = postings[q]
+        index = grams(known, "id", q)
+        often = index.groupBy("gram", "j").agg(F.count(F.lit(1)).alias("_often"))
         n = F.length("text")
         shared = F.ceil(n * (1 - q * (1 - similar)) - q + 1 - 1e-9) if similar > 0 else F.lit(1)
-        asked = open_.withColumn("_keep", n - q + 1 - shared + 1).filter(shared >= 1)
+        asked = open_.withColumn("_least", F.least(shared, F.lit(MEETINGS))).filter("_least >= 1").withColumn("_keep", n - q + 1 - shared + F.col("_least"))
         ranked = grams(asked, "text", q).join(often, ["gram", "j"], "left").withColumn("_rank", F.row_number().over(Window.partitionBy("text").orderBy(F.asc_nulls_first("_often"), "gram", "j")))
-        probes = ranked.join(asked.select("text", "_keep"), "text").filter("_rank <= _keep").select("text", "gram", "j")
-        pairs = probes.join(index, ["gram", "j"]).select("text", "id").distinct()
+        probes = ranked.join(asked.select("text", "_keep", "_least"), "text").filter("_rank <= _keep").select("text", "gram", "j", "_least")
+        pairs = probes.join(index, ["gram", "j"]).groupBy("text", "id").agg(F.count(F.lit(1)).alias("_met"), F.first("_least").alias("_least")).filter("_met >= _least")
         both = pairs.join(known.withColumnRenamed("text", "known"), "id")
         a, b = F.length("text"), F.length("known")
         near = both.filter((b >= a * similar - 1e-9) & (b * similar <= a + 1e-9))
@@ -58,8 +58,9 @@ def best_match(wanted: DataFrame, known: DataFrame, least: float = 0.0) -> DataF
         scored = near.withColumn("_d", F.expr(f"levenshtein(text, known, {allowed})")).filter("_d >= 0").withColumn("score", 1.0 - F.col("_d") / F.greatest(a, b))
         found = scored.filter("score > 0").groupBy("text").agg(F.max_by(F.struct("id", "known", "score"), F.struct("score", -F.col("id"))).alias("m"))
         done.append(kept(found.select("text", "m.*")))
-        open_ = kept(open_.join(done[-1], "text", "left_anti"))
-        if open_.isEmpty():
+        open_ = open_.join(done[-1], "text", "left_anti")
+        left -= done[-1].count()
+        if not left:
             break
     return wanted.select("row", "text").join(reduce(DataFrame.unionByName, done), "text").select("row", "id", "known", "score")
 
