@@ -43,7 +43,7 @@ def miles(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Great-circle distance."""
     dlat, dlng = F.radians(lat2 - lat1) / 2, F.radians(lng2 - lng1) / 2
     a = F.sin(dlat) * F.sin(dlat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dlng) * F.sin(dlng)
-    return F.lit(EARTH_MILES) * 2 * F.atan2(F.sqrt(a), F.sqrt(1 - a))
+    return F.lit(EARTH_MILES) * 2 * F.atan2(F.sqrt(a), F.sqrt(F.greatest(1 - a, F.lit(0.0))))
 
 
 def located(lat: Column, lng: Column) -> Column:
