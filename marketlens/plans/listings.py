@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +10,7 @@ from ..functions.text import city_state, clean_phone, compact, locality, sheet_i
 from ..operators.relational import asc, desc, first_wins, top
 from ..roles import role, with_roles
 from ..sources.readers import inline
+from ..sources.variants import json_records
 
 #: Where a scan looks, in order.
 SCANNED = (("NATION_1", "ASIA"), ("NATION_3", "AFRICA"), ("NATION_7", ""), ("NATION_404", "EUROPE"))
@@ -113,37 +110,6 @@ def master(rows: DataFrame) -> DataFrame:
     return dedup(rows, "apart").orderBy(F.upper(F.coalesce("city", F.lit(""))), F.coalesce("name", F.lit("")), asc("source_rank"), asc("position"))
 
 
-def found_businesses(batches: Iterable[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """(id, json) -> (id, name, url, city, phone) of every object, up to depth levels down, that has a name of 3 to 79 characters and a businessUrl."""
-
-    def walk(x, level: int):
-        if level > depth or not isinstance(x, dict):
-            return
-        name = x.get("name")
-        if name and x.get("businessUrl") and isinstance(name, str) and 2 < len(name) < 80:
-            text = lambda *keys: next((x[k] for k in keys if isinstance(x.get(k), str) and x[k]), "")
-            yield name, str(x["businessUrl"]), text("city"), text("phone", "phoneNumber", "formattedPhone")
-        for v in x.values():
-            for y in v if isinstance(v, list) else [v]:
-                yield from walk(y, level + 1)
-
-    for batch in batches:
-        rows = []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            try:
-                tree = json.loads(text) if text else None
-            except ValueError:
-                tree = None
-            rows += [(i, *found) for found in walk(tree, 0)]
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.string()) for c in columns[1:]]], ["id", "name", "url", "city", "phone"])
-
-
-def json_walk(rows: DataFrame, depth: int = 8) -> DataFrame:
-    """(id, json) -> the businesses anywhere in the JSON; malformed text has none."""
-    return rows.select("id", "json").mapInArrow(lambda it: found_businesses(it, depth), "id long, name string, url string, city string, phone string")
-
-
 def _trees(s, d) -> DataFrame:
     """JSON of several shapes over all shops: businesses at the top, in lists, deeper than is looked, and malformed text."""
     one = "'{\"name\":\"' || name || '\",\"businessUrl\":\"/b/' || shop_id || '\",\"city\":\"' || city || '\"}'"
@@ -199,7 +165,7 @@ QUERIES = {
     "contact_enrichment": lambda s, d: enrich(contacts(s, d).filter("website <> '' AND coalesce(email, '') = ''").select("user_id", "website"), _read_pages(s, d)),
     "parsed_places": lambda s, d: _places(s, d).select("user_id", city_state(F.col("place")).alias("c"), locality(F.col("line"), "Salem", "OR").alias("l"), sheet_id(F.col("url")).alias("sheet")).select("user_id", "c.city", "c.state", F.col("l.city").alias("line_city"), F.col("l.state").alias("line_state"), F.col("l.zip").alias("line_zip"), "sheet"),
     "scanned_cities": lambda s, d: inline(s, "city string, area string", SCANNED).join(role(s, d, "shop").groupBy("city").agg(F.count(F.lit(1)).alias("shops")), "city", "left").select("city", "area", F.coalesce("shops", F.lit(0)).alias("shops")),
-    "json_businesses": lambda s, d: json_walk(_trees(s, d)).select("id", "name", "url", "city"),
+    "json_businesses": lambda s, d: json_records(_trees(s, d)).select("id", "name", "url", "city"),
     "page_link_counts": lambda s, d: page_links(s.read.parquet(f"{d}/pages.parquet")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("href").alias("different")),
 }
 

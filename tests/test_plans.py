@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from marketlens.plans import catalogue, files, imports, listings, people, places, shops, shown, upkeep
+from marketlens.plans import catalogue, files, imports, listings, people, places, scraped, shops, shown, upkeep
 from marketlens.streaming import views
 
-PLANS = [(m, n) for m in (catalogue, shops, people, places, files, imports, listings, upkeep, shown, views) for n in m.QUERIES]
+PLANS = [(m, n) for m in (catalogue, shops, people, places, files, imports, listings, scraped, upkeep, shown, views) for n in m.QUERIES]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
