@@ -8,7 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, emails
+from ..functions.text import emails
+from ..operators.numbering import numbered
+from . import xlsx
 
 #: What a header says about its column, the first that fits.
 STOCK_ROLES = (("brand", "brand|maker"), ("name", "name|product|item"), ("size", "size|format"), ("price", "price|cost"), ("quantity", "qty|quantity|stock|count"))
@@ -35,16 +37,20 @@ def column_roles(columns: Sequence[str], roles: Sequence[tuple[str, str]] = STOC
 
 
 def read_upload(spark: SparkSession, path: str, roles: Sequence[tuple[str, str]] = STOCK_ROLES) -> DataFrame:
-    """An upload with its columns by role, null where no header fits, and the rows numbered in order.
+    """An upload, CSV or XLSX by its name's ending, with its columns by role, null where no header fits, and the rows numbered from 0 in the file's order.
 
-    An upload is one small file, read as one partition, so the numbers follow the file; rows
-    without brand and name are dropped first.
+    Rows without brand and name are dropped first. Rows may be any number: they are sorted by their place in the file, not read in one task.
     """
-    raw = read_csv(spark, path)
-    found = column_roles(raw.columns, roles)
-    named = raw.select(*[F.col(f"`{found[r]}`").alias(r) if r in found else F.lit(None).cast("string").alias(r) for r, _ in roles])
-    full = named.filter(blank_to_null(F.coalesce("brand", "name")).isNotNull())
-    return full.coalesce(1).withColumn("row", F.monotonically_increasing_id())
+    if path.lower().endswith(".xlsx"):
+        xlsx.register(spark)
+        raw = spark.read.format("xlsx").load(path).withColumn("_at", F.struct(F.lit(0).cast("long"), "_row")).drop("_file", "_row")
+    else:
+        raw = read_csv(spark, path).withColumn("_at", F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
+    found = column_roles([c for c in raw.columns if c != "_at"], roles)
+    text = lambda c: F.nullif(F.trim(F.col(f"`{c}`")), F.lit(""))
+    named = raw.select("_at", *[text(found[r]).alias(r) if r in found else F.lit(None).cast("string").alias(r) for r, _ in roles])
+    full = named.filter(F.coalesce("brand", "name").isNotNull())
+    return numbered(full, [F.col("_at")], "row", start=0).drop("_at")
 
 
 def read_listings(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,8 +7,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import xlsx
 from .readers import LISTING
 
+#: The columns of a collection's sheet, in order, and where each comes from.
+COLLECTION = (("Brand", "brand"), ("Name", "name"), ("Size", "size_name"), ("Status", "status"), ("Qty", "quantity"), ("Purchase Price", "price"), ("Purchase Date", "bought"), ("Notes", "notes"))
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
@@ -20,6 +24,14 @@ def write_listings(rows: DataFrame, path: str) -> None:
     write_csv(full.orderBy(F.upper("state"), "city", "name"), path)
 
 
+def write_collection(items: DataFrame, path: str) -> None:
+    """A collection as spreadsheets under path, one a partition: eight columns, what is missing empty, and the status 'owned' where there is none."""
+    xlsx.register(items.sparkSession)
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in items.columns else F.lit("")
+    rows = items.select(*[(F.coalesce(F.nullif(value(c), F.lit("")), F.lit("owned")) if c == "status" else value(c)).alias(name) for name, c in COLLECTION])
+    rows.write.format("xlsx").mode("append").save(path)
+
+
 def fill_emails(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Addresses found later, merged back by name and city; an address that is there stays. found has one row per key."""
     e = found.select("name", "city", F.col("email").alias("_email"))
