@@ -10,6 +10,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def every(*conditions: Column | None) -> Column:
     """All conditions that are given; true without any."""
@@ -108,3 +110,12 @@ def grouped_by_fallback(df: DataFrame, key: str, free: str) -> DataFrame:
     """Counts by key, where it is missing or 0 by the free text, and where that is empty as 'unknown'."""
     known = F.coalesce(F.nullif(F.col(key), F.lit(0)).cast("string"), F.nullif(F.col(free), F.lit("")), F.lit("unknown"))
     return df.groupBy(known.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def collated(df: DataFrame, keys: Sequence[str], name: str, *ties: str) -> DataFrame:
+    """df with its place, from 1, in the order of keys as people sort: accents and case count only between equal letters, blanks and nulls come first.
+
+    Equal keys go by `ties`, which should be unique. Rows are sorted by range, not in one task.
+    """
+    order = [F.collate(F.coalesce(F.col(k), F.lit("")), "UNICODE").asc() for k in keys] + [asc(t) for t in ties]
+    return numbered(df, order, name)
