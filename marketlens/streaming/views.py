@@ -28,14 +28,14 @@ def run_once(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def sync_sheets(stream: DataFrame, merge: Callable[[DataFrame], None], checkpoint: str, every: str = "15 minutes") -> StreamingQuery:
-    """Rows of sheets merged batch by batch; merge is idempotent, as a batch may come twice after a failure."""
-    return stream.writeStream.foreachBatch(lambda df, _: merge(df)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+def sync_sheets(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str, every: str = "15 minutes") -> StreamingQuery:
+    """Rows of sheets merged batch by batch; merge gets the batch's number, as a batch may come twice after a failure (streaming.sheets keeps a ledger of them)."""
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 def _tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return windowed(events).select(F.col("start").cast("date").alias("day"), "n")
+    return windowed(events).select(F.to_date(F.to_utc_timestamp("start", F.current_timezone())).alias("day"), "n")
 
 
 QUERIES = {"tumbling_views": _tumbling}

@@ -49,7 +49,7 @@ def test_sheets_are_merged_batch_by_batch(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("id int, v string").parquet(f"{tmp_path}/in")
     seen = []
-    query = views.sync_sheets(stream, lambda df: seen.extend(tuple(r) for r in df.collect()), f"{tmp_path}/check", "1 second")
+    query = views.sync_sheets(stream, lambda df, batch: seen.extend(tuple(r) for r in df.collect()), f"{tmp_path}/check", "1 second")
     query.processAllAvailable()
     query.stop()
     assert sorted(seen) == [(1, "a"), (2, "b")]
