@@ -10,7 +10,8 @@ from ..functions.text import blank_to_null, clean_phone, clean_url, extension, f
 from ..functions.times import age_label, day_key, seconds_between, stopwatch, whole_minutes
 from ..operators.relational import asc, contains_any, desc, grouped_by_fallback, nested, top, upcoming, valid_ranges
 from ..roles import AS_OF, role, with_roles
-from ..streaming.views import windowed
+from ..streaming.views import utc_date, utc_instant, windowed
+from .dashboards import ranked
 
 #: Shades by the name that a wrapper's name holds, the first that fits.
 SHADES = {"re": "#9e6832", "Bl": "#c4844a", "s": "#b89060"}
@@ -36,7 +37,7 @@ def completeness(shops: DataFrame, stock: DataFrame) -> DataFrame:
 
 
 def _events(s, d) -> DataFrame:
-    return s.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return s.read.parquet(f"{d}/events.parquet").withColumn("ts", utc_instant(F.col("ts")))
 
 
 QUERIES = {
@@ -66,12 +67,12 @@ QUERIES = {
     "requests_by_product": lambda s, d: grouped_by_fallback(
         role(s, d, "item").filter("status = 'wished'").selectExpr("item_id", "CASE WHEN item_id % 3 = 0 THEN NULL ELSE product_id END AS product_id", "CASE WHEN item_id % 2 = 0 THEN 'free ' || CAST(item_id % 5 AS STRING) ELSE '' END AS free"), "product_id", "free"
     ).orderBy(desc("n"), asc("key")),
-    "stock_by_shop_json": lambda s, d: nested(role(s, d, "stock").filter("in_stock"), ["shop_id"], ["price", "stock_id", "product_id"], [], "rows").select("shop_id", F.to_json(F.transform(F.slice("rows", 1, 3), lambda r: F.struct(r["stock_id"].alias("id"), r["product_id"].alias("product")))).alias("cheapest")),
+    "stock_by_shop_json": lambda s, d: nested(ranked(role(s, d, "stock").filter("in_stock"), "shop_id", 3, asc("price"), asc("stock_id"), asc("product_id")), ["shop_id"], ["price", "stock_id", "product_id"], [], "rows").select("shop_id", F.to_json(F.transform("rows", lambda r: F.struct(r["stock_id"].alias("id"), r["product_id"].alias("product")))).alias("cheapest")),
     "profile_completeness": lambda s, d: completeness(role(s, d, "shop"), role(s, d, "stock")),
     "event_shops": lambda s, d: role(s, d, "note").alias("e").join(role(s, d, "shop").alias("s"), "shop_id").select("e.*", F.col("s.name").alias("shop_name"), F.col("s.city").alias("shop_city")).groupBy("shop_id", "shop_name", "shop_city").agg(F.count(F.lit(1)).alias("n")),
     "batch_take": lambda s, d: top(role(s, d, "account").filter("balance < 0").select("user_id", "balance"), 25, asc("balance"), asc("user_id")),
     "confident_matches": lambda s, d: _confident(s, d),
-    "sliding_views": lambda s, d: windowed(_events(s, d), "sliding").select(F.col("start").cast("date").alias("first"), F.col("end").cast("date").alias("after"), "n"),
+    "sliding_views": lambda s, d: windowed(_events(s, d), "sliding").select(utc_date(F.col("start")).alias("first"), utc_date(F.col("end")).alias("after"), "n"),
     "session_views": lambda s, d: windowed(_events(s, d), "session").select("user_id", F.unix_timestamp("start").alias("first"), F.unix_timestamp("end").alias("after"), "n"),
     "preference_matrix": lambda s, d: _preferences(s, d),
 }

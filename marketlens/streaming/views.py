@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def utc_instant(ts: Column) -> Column:
+    """A time without a zone as the instant in UTC, whatever the session's zone is."""
+    return F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone())
+
+
+def utc_date(instant: Column) -> Column:
+    """The date of an instant in UTC."""
+    return F.to_utc_timestamp(instant, F.current_timezone()).cast("date")
+
+
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
     """A folder of event files as a stream; times get a zone, as watermarks need one."""
     schema = spark.read.parquet(folder).schema
-    return spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).parquet(folder).withColumn("ts", utc_instant(F.col("ts")))
 
 
 def windowed(events: DataFrame, kind: str = "tumbling", late: str = "1 day") -> DataFrame:
@@ -34,8 +44,8 @@ def sync_sheets(stream: DataFrame, merge: Callable[[DataFrame, int], None], chec
 
 
 def _tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return windowed(events).select(F.to_date(F.to_utc_timestamp("start", F.current_timezone())).alias("day"), "n")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", utc_instant(F.col("ts")))
+    return windowed(events).select(utc_date(F.col("start")).alias("day"), "n")
 
 
 QUERIES = {"tumbling_views": _tumbling}
