@@ -34,6 +34,8 @@ def shop_search(
         )
     ).withColumn("is_open", is_open_hourly(day_text(), now()))
     found = found.filter("is_open") if open_now else found
+    if q or city or state or lounge or walk_in or open_now:  # what no shop found needs isn't aggregated
+        stock, follows, reviews = (df.join(found.select("shop_id"), "shop_id", "left_semi") for df in (stock, follows, reviews))
     held = stock.filter("in_stock").groupBy("shop_id").agg(F.count(F.lit(1)).alias("stock_rows"))
     fans = follows.groupBy("shop_id").agg(F.count(F.lit(1)).alias("followers"))  # one edge per user
     rated = reviews.groupBy("shop_id").agg(tenth(F.avg("rating")).alias("avg_rating"), F.count(F.lit(1)).alias("ratings"))
@@ -49,11 +51,11 @@ def day_text(hours: str = "hours") -> Column:
     return F.try_element_at(json_map(F.col(hours)), weekday(now()))
 
 
-def within(shops: DataFrame, lat: float, lng: float, radius: float = 50) -> DataFrame:
-    """Shops by distance, those without coordinates last and never dropped; the rounded distance is compared. A radius of 0 means 50."""
+def within(shops: DataFrame, lat: float, lng: float, radius: float = 50, *more: str) -> DataFrame:
+    """Shops by distance, with more of their columns if asked, those without coordinates last and never dropped; the rounded distance is compared. A radius of 0 means 50."""
     away = F.when(located(F.col("lat"), F.col("lng")), tenth(miles(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng"))))
     near = shops.withColumn("miles", away).filter(F.col("miles").isNull() | (F.col("miles") <= (radius or 50)))
-    return near.select("shop_id", "city", "miles").orderBy(asc("miles"), asc("shop_id"))
+    return near.select("shop_id", "city", "miles", *more).orderBy(asc("miles"), asc("shop_id"))
 
 
 def kpis(views: DataFrame, stock: DataFrame, follows: DataFrame, as_of: Column) -> DataFrame:
@@ -61,7 +63,7 @@ def kpis(views: DataFrame, stock: DataFrame, follows: DataFrame, as_of: Column)
     since = lambda n: F.count_if((F.col("viewed_at") > as_of - F.expr(f"INTERVAL {n} DAYS")) & (F.col("viewed_at") <= as_of))
     v = views.groupBy("shop_id").agg(F.count(F.lit(1)).alias("views"), since(7).alias("views_7d"), since(30).alias("views_30d"))
     s = stock.groupBy("shop_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if((F.col("quantity") < 5) & (F.col("quantity") > 0)).alias("low"),
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("in_stock") & (F.col("quantity") < 5) & (F.col("quantity") > 0)).alias("low"),
         F.count_if(~F.col("in_stock") | (F.col("quantity") == 0)).alias("out"),
     )
     f = follows.groupBy("shop_id").agg(F.count(F.lit(1)).alias("followers"))
@@ -89,10 +91,16 @@ def _top_items(s, d):
     return top(n, 5, desc("n"), asc("product_id")).join(role(s, d, "product").select("product_id", "brand", "name"), "product_id")
 
 
-def demand(requests: DataFrame) -> DataFrame:
-    """Requests with the number for their product, those without a product being one group; counted by key and joined, so a hot key is no burden."""
-    n = requests.groupBy(F.col("product_id").alias("_key")).agg(F.count(F.lit(1)).alias("demand"))
-    return requests.join(n, F.col("product_id").eqNullSafe(F.col("_key"))).select("item_id", "product_id", "created_at", "demand")
+def demand(requests: DataFrame, k: int) -> DataFrame:
+    """The latest k requests with the number of all requests for their product, those without a product being one group.
+
+    The k are taken first; then only their products' requests are counted, by key, so a hot key is no burden.
+    """
+    shown = top(requests, k, desc("created_at"), asc("item_id"))
+    same = F.col("product_id").eqNullSafe(F.col("_key"))
+    asked = requests.join(F.broadcast(shown.select(F.col("product_id").alias("_key")).distinct()), same, "left_semi")  # k rows at most
+    n = asked.groupBy(F.col("product_id").alias("_key")).agg(F.count(F.lit(1)).alias("demand"))
+    return shown.join(n, same).select("item_id", "product_id", "created_at", "demand")
 
 
 _SHOP = ("shop_id", "name", "city", "state", "verified", "is_open", "stock_rows", "followers", "ratings", "avg_rating")
@@ -106,7 +114,7 @@ QUERIES = {
     "shop_search": lambda s, d: top(_shops(s, d, q="more of A", city="ION"), 30, *shop_order()).select(*_SHOP),
     "shop_search_open": lambda s, d: _shops(s, d, open_now=True).select(*_SHOP),
     "shop_search_facilities": lambda s, d: _shops(s, d, state="ASIA", lounge=True, walk_in=True).select(*_SHOP),
-    "shop_search_near": lambda s, d: within(_shops(s, d, q="Supplier"), 34.05, -118.24, 700).join(_shops(s, d, q="Supplier").select("shop_id", "followers"), "shop_id"),
+    "shop_search_near": lambda s, d: within(_shops(s, d, q="Supplier"), 34.05, -118.24, 700, "followers"),
     "shop_open_now": lambda s, d: role(s, d, "shop").select("shop_id", is_open_hourly(day_text(), now()).alias("is_open")),
     "shop_hours_minutes": lambda s, d: role(s, d, "shop").withColumn("m", opening_minutes(day_text())).select(
         "shop_id", F.col("m.opens").alias("opens"), F.col("m.closes").alias("closes"), clock(F.col("m.opens")).alias("opens_at"), is_open_minutes(day_text(), now()).alias("is_open")
@@ -131,7 +139,7 @@ QUERIES = {
     "analytics_kpis": lambda s, d: kpis(role(s, d, "shop_view"), role(s, d, "stock"), role(s, d, "follow"), now()),
     "daily_views": lambda s, d: role(s, d, "shop_view").filter(F.col("viewed_at") > now() - F.expr("INTERVAL 14 DAYS")).groupBy(F.col("viewed_at").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n")),
     "top_items": _top_items,
-    "demand_window": lambda s, d: top(demand(role(s, d, "item").filter("status = 'wished'").withColumn("product_id", F.expr("nullif(product_id, 0)"))), 100, desc("created_at"), asc("item_id")),
+    "demand_window": lambda s, d: demand(role(s, d, "item").filter("status = 'wished'").withColumn("product_id", F.expr("nullif(product_id, 0)")), 100),
     "top_requested": lambda s, d: top(role(s, d, "item").filter("status = 'wished' AND priority IS NOT NULL").groupBy("product_id").agg(F.count(F.lit(1)).alias("n")), 5, desc("n"), asc("product_id")),
     "broadcast_reads": lambda s, d: broadcast_reads(role(s, d, "note"), role(s, d, "note_read"), role(s, d, "follow")),
     "active_deals": lambda s, d: top(
@@ -236,7 +244,7 @@ SQL = {
     ),
     "analytics_kpis": with_roles(
         f"""WITH v AS (SELECT shop_id, count(*) AS views, count(*) FILTER (WHERE viewed_at > TIMESTAMP '{AS_OF}' - INTERVAL 7 DAYS AND viewed_at <= TIMESTAMP '{AS_OF}') AS views_7d, count(*) FILTER (WHERE viewed_at > TIMESTAMP '{AS_OF}' - INTERVAL 30 DAYS AND viewed_at <= TIMESTAMP '{AS_OF}') AS views_30d FROM shop_view GROUP BY 1),
-        s AS (SELECT shop_id, count(*) AS rows, count(*) FILTER (WHERE quantity < 5 AND quantity > 0) AS low, count(*) FILTER (WHERE NOT in_stock OR quantity = 0) AS out FROM stock GROUP BY 1), f AS (SELECT shop_id, count(*) AS followers FROM follow GROUP BY 1)
+        s AS (SELECT shop_id, count(*) AS rows, count(*) FILTER (WHERE in_stock AND quantity < 5 AND quantity > 0) AS low, count(*) FILTER (WHERE NOT in_stock OR quantity = 0) AS out FROM stock GROUP BY 1), f AS (SELECT shop_id, count(*) AS followers FROM follow GROUP BY 1)
         SELECT shop_id, coalesce(views, 0) AS views, coalesce(views_7d, 0) AS views_7d, coalesce(views_30d, 0) AS views_30d, coalesce(rows, 0) AS rows, coalesce(low, 0) AS low, coalesce(out, 0) AS out, coalesce(followers, 0) AS followers
         FROM v FULL JOIN s USING (shop_id) FULL JOIN f USING (shop_id)""", "shop_view", "stock", "follow"
     ),

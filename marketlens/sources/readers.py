@@ -19,9 +19,9 @@ REVIEW_ROLES = (("brand", "brand|maker"), ("name", "name|product|item"), ("date"
 LISTING = ("name", "email", "phone", "website", "address", "city", "state", "zip", "source", "rating", "reviews", "status", "notes")
 
 
-def read_csv(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """CSV with a header and doubled quotes; cells are trimmed, blank lines dropped, all columns are text."""
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+def read_csv(spark: SparkSession, path: str, glob: str | None = None, multi_line: bool = False) -> DataFrame:
+    """CSV with a header and doubled quotes; cells are trimmed, blank lines dropped, all columns are text. multi_line: cells may hold line ends, and a file is read whole."""
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("multiLine", multi_line)
     return (reader.option("pathGlobFilter", glob) if glob else reader).csv(path)
 
 
@@ -53,9 +53,9 @@ def read_upload(spark: SparkSession, path: str, roles: Sequence[tuple[str, str]]
     return numbered(full, [F.col("_at")], "row", start=0).drop("_at")
 
 
-def read_listings(spark: SparkSession, folder: str) -> DataFrame:
+def read_listings(spark: SparkSession, folder: str, multi_line: bool = False) -> DataFrame:
     """All listing files of a folder but merged ones, with the file's name and all columns, missing ones as empty text."""
-    rows = read_csv(spark, folder, "*.csv").withColumn("file", F.col("_metadata.file_name")).filter(~F.col("file").contains("MASTER"))
+    rows = read_csv(spark, folder, "*.csv", multi_line).withColumn("file", F.col("_metadata.file_name")).filter(~F.col("file").contains("MASTER"))
     return rows.select("file", *[F.coalesce(F.col(c), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in LISTING])
 
 
