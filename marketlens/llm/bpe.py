@@ -27,8 +27,6 @@ from .textops import hash_spans, release, slices
 
 #: A block holds about so many bytes of text, or one document.
 BLOCK_BYTES = 6 << 20
-#: A task remembers the ids of so many distinct words; then it starts anew, so its memory is bounded whatever the vocabulary of the corpus is.
-MOST_WORDS = 500_000
 WORDS = pa.schema([("dest", pa.int32()), ("block", pa.int64()), ("lengths", pa.binary()), ("data", pa.binary())])
 POSITIONS = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("index", pa.binary())])
 WORDS_DDL, POSITIONS_DDL = "dest int, block long, lengths binary, data binary", "block long, docs binary, index binary"
@@ -144,7 +142,7 @@ def send_positions(batches: Iterable[pa.RecordBatch], n_buckets: int) -> Iterato
 
 
 def encode_words(batches: Iterable[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
-    """Rows of words become rows of ids; each distinct word of the partition is encoded once."""
+    """Rows of words become rows of ids; each distinct word comes to one partition and is encoded there once. Partitions follow the input, so a table of words is no larger than a part of it."""
     tokenizer = load_tokenizer(path)
     table: dict[bytes, bytes] = {}
     for batch in batches:
@@ -153,8 +151,6 @@ def encode_words(batches: Iterable[pa.RecordBatch], path: str | None) -> Iterato
             ends = np.cumsum(_expand(lengths, np.uint32)).tolist()
             data = zstandard.decompress(data)
             words = [data[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
-            if len(table) > MOST_WORDS:
-                table.clear()
             new = list(dict.fromkeys(w for w in words if w not in table))
             for w, found in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
                 table[w] = np.array(found.ids, np.uint32).tobytes()
@@ -195,10 +191,10 @@ def _joined(docs: DataFrame, path: str | None, key: str, text: str, stable: bool
     Blocks are made twice and have to be the same both times, also after an executor is lost. Files are read
     alike each time; rows of another origin may come in another order, so they are written to the shared folder first.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     if not stable:
         rows = cut(rows)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     words = rows.mapInArrow(lambda it: send_words(it, parts), WORDS_DDL)
     coded = words.repartitionById(parts, "dest").mapInArrow(lambda it: encode_words(it, path), WORDS_DDL)
     positions = rows.mapInArrow(lambda it: send_positions(it, parts), POSITIONS_DDL)

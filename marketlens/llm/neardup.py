@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     85 % shares none of 32 bands of 8 with a probability of 4 in 100,000; a lower percent needs
     shorter bands (80 %, 40 bands of 7: 8 in 100,000). Null, empty and blank
     texts have no shingles and are linked with nothing, nor is a row whose id is null (its
-    component_id is null, and it is kept). Rows that repeat an id are one document; tests and
+    component_id is null, and it is kept). A very long text is sketched and compared whole. Rows that repeat an id are one document; tests and
     links use the texts of all of them. Other columns are left out; an empty table gives an empty one.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -269,7 +269,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     members = cut(spread.join(shared, "bucket").distinct())
     components = link_buckets(members, classes, docs, percent, least_estimate(percent, bands * rows))
     final = classes.join(components, F.col("doc") == F.col("node"), "left").select(*sets, F.coalesce("component", "doc").alias("class_id"))
-    found = sketches.join(final, sets, "left")
+    # rows without words share one empty set, so they stay out of the join
+    found = sketches.filter("n_shingles > 0").join(final, sets, "left").select("doc_id", "n_shingles", "class_id")
+    found = found.union(sketches.filter("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long")))
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

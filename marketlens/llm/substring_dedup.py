@@ -1,7 +1,7 @@
 """Substring dedup by super-k-mer partitioning.
 
 A window is k consecutive words. Consecutive windows that share a minimiser (the least
-hash among their m-word grams) travel as one packed string to the minimiser's bucket,
+hash among their m-word grams, frequent grams behind all others) travel as one packed string to the minimiser's bucket,
 where sorting brings equal windows together and tells which document has each first.
 Windows are sorted by a hash, and those with equal hashes are compared word by word, so no
 word is removed because two hashes met.
@@ -26,6 +26,9 @@ PACK = "dest int, kind int, docs binary, starts binary, sizes binary, packed bin
 SETTLED, WINDOWS = 0, 1
 #: So many words of packs' own lists wait before they become part of the bucket's one list.
 MOST_PENDING = 1 << 19
+#: A gram that makes up a fourth of a bucket's share of all grams is frequent; there are at most four times as many as buckets. In a slice those are counted that have such a
+#: share there, or one in 20,000.
+SHARE, LEAST_SHARE = 4, 20_000
 
 
 def _later(hashes: np.ndarray, doc: np.ndarray, ids: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -95,7 +98,33 @@ def _settled(doc: np.ndarray, at: np.ndarray, parts: int) -> Iterator[tuple]:
         yield (int(dest[a]), SETTLED, doc[some].tobytes(), start[some].tobytes(), size[some].tobytes(), None)
 
 
-def pack(batches: Iterable[pa.RecordBatch], k: int, m: int, parts: int) -> Iterator[pa.RecordBatch]:
+def tally(batches: Iterable[pa.RecordBatch], m: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """(gram, n) of each slice's frequent grams, and the number of all under null."""
+    for batch in slices(batches):
+        grams, counts = np.unique(gram_hashes(read_words(batch.column(0).to_pylist()).hashes, m, 3), return_counts=True)
+        total = int(counts.sum())
+        some = counts >= max(2, total / min(SHARE * parts, LEAST_SHARE))
+        found = [*grams[some].astype(np.int64).tolist(), None]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([*counts[some].tolist(), total], pa.int64())], ["gram", "n"])
+
+
+def frequent_grams(texts: DataFrame, m: int, parts: int) -> np.ndarray:
+    """Grams that would make a bucket uneven, sorted, over all texts; at most SHARE times as many as buckets."""
+    counts = texts.mapInArrow(lambda it: tally(it, m, parts), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    total = counts.filter("gram IS NULL").select(F.col("n").alias("total"))  # one row
+    hot = counts.filter("gram IS NOT NULL").join(F.broadcast(total), F.col("n") * SHARE * parts >= F.col("total")).select("gram")
+    return np.sort(np.array([r.gram for r in hot.collect()], np.int64).astype(np.uint64))
+
+
+def ranked(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The order in which grams become minimisers: by hash, frequent ones behind all others. It is the same wherever a gram stands."""
+    if not len(hot):
+        return grams >> np.uint64(1)
+    at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
+    return grams >> np.uint64(1) | (hot[at] == grams).astype(np.uint64) << np.uint64(63)
+
+
+def pack(batches: Iterable[pa.RecordBatch], k: int, m: int, parts: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Super-k-mers of each slice, a row for each bucket, and the windows settled within the slice.
 
     Of equal windows in a slice only that of the smallest document travels, so a passage that
@@ -119,7 +148,7 @@ def pack(batches: Iterable[pa.RecordBatch], k: int, m: int, parts: int) -> Itera
         rows = list(_settled(doc_at[gone], gone - base[gone], parts))
         at = at[~later]
         if len(at):
-            grams = gram_hashes(words.hashes, m, 3)
+            grams = ranked(gram_hashes(words.hashes, m, 3), hot)
             least = np.lib.stride_tricks.sliding_window_view(grams, k - m + 1)[at].min(axis=1)
             new = np.ones(len(at), bool)
             new[1:] = (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)
@@ -259,7 +288,8 @@ def dedup_substrings(docs: DataFrame, k: int = 13, m: int = 4, key: str = "doc_i
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())  # a bucket stays as large as the input's partitions
-    packs = rows.mapInArrow(lambda it: pack(it, k, m, parts), PACK)
+    hot = frequent_grams(rows.select("text"), m, parts)
+    packs = rows.mapInArrow(lambda it: pack(it, k, m, parts, hot), PACK)
     settled = packs.repartitionById(parts, "dest").mapInArrow(lambda it: settle(it, k, parts), PACK)
     marks = settled.repartitionById(parts, "dest").mapInArrow(merge_marks, "doc_id long, runs binary")
     side = marks.withColumnRenamed("doc_id", "_doc").hint("shuffle_hash")

@@ -349,6 +349,28 @@ def test_pairs_right_at_the_limit_are_linked(spark):
 # substrings
 
 
+def test_a_frequent_gram_makes_no_large_bucket():
+    """A third of all windows hold one gram: with it behind all others their buckets stay even, without it one is far larger."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
+    texts = [" ".join(x for _ in range(12) for x in [*word(9), *(["the", "same", "four", "words"] if d % 2 else word(4))]) for d in range(900)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(900), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    parts = 16
+    (found,) = substring_dedup.tally([batch.select(["text"])], 4, parts)
+    n = dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
+    hot = np.sort(np.array([g for g, c in n.items() if g is not None and c * substring_dedup.SHARE * parts >= n[None]], np.int64).astype(np.uint64))
+    assert 1 <= len(hot) <= substring_dedup.SHARE * parts
+
+    def largest(hot):
+        rows = [r for b in substring_dedup.pack([batch], 13, 4, parts, hot) for r in b.to_pylist() if r["kind"] == substring_dedup.WINDOWS]
+        sizes = {r["dest"]: int((np.frombuffer(r["sizes"], np.int32) - 12).sum()) for r in rows}
+        return max(sizes.values()) / np.median(list(sizes.values()))
+
+    assert largest(np.zeros(0, np.uint64)) > 4 and largest(hot) < 2
+
+
 def test_windows_with_equal_hashes_are_compared():
     rng = np.random.default_rng(0)
     ids, doc = rng.integers(0, 3, 500).astype(np.int32), rng.integers(0, 9, 480)
@@ -361,8 +383,7 @@ def test_windows_with_equal_hashes_are_compared():
 # BPE
 
 
-def test_words_beyond_the_remembered_ones(spark, monkeypatch):
-    monkeypatch.setattr(bpe, "MOST_WORDS", 10)
+def test_words_come_again_in_later_blocks(spark):
     words = [(f"w{i} w{i % 7} again w{i * i}").encode() for i in range(40)]
     import pyarrow as pa
 
