@@ -38,8 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words and rows without an id are like no other and stay.
     """
-    kept = neardup.near_duplicates(docs, SIMILAR, BANDS, ROWS).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").select(*COLUMNS)
+    kept = neardup.near_duplicates(docs, SIMILAR, BANDS, ROWS).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    known = docs.filter("doc_id IS NOT NULL").join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
+    return known.union(docs.filter("doc_id IS NULL").select(*COLUMNS))  # these stay, so they need no join
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
