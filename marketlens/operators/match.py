@@ -40,7 +40,7 @@ def best_match(wanted: DataFrame, known: DataFrame, least: float = 0.0) -> DataF
     """
     known = kept(known.filter("text <> ''").groupBy("text").agg(F.min("id").alias("id")))
     open_ = kept(wanted.filter("text <> ''").select("text").distinct())
-    left = open_.count()
+    left, parts = open_.count(), int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     done: list[DataFrame] = []
     for similar, q in dict.fromkeys((max(similar, least), q) for similar, q in ROUNDS):
         index = grams(known, "id", q)
@@ -50,6 +50,7 @@ def best_match(wanted: DataFrame, known: DataFrame, least: float = 0.0) -> DataF
         asked = open_.withColumn("_least", F.least(shared, F.lit(MEETINGS))).filter("_least >= 1").withColumn("_keep", n - q + 1 - shared + F.col("_least"))
         ranked = grams(asked, "text", q).join(often, ["gram", "j"], "left").withColumn("_rank", F.row_number().over(Window.partitionBy("text").orderBy(F.asc_nulls_first("_often"), "gram", "j")))
         probes = ranked.join(asked.select("text", "_keep", "_least"), "text").filter("_rank <= _keep").select("text", "gram", "j", "_least")
+        probes = probes.repartition(parts, "text")  # few bytes but much work: not to be coalesced
         pairs = probes.join(index, ["gram", "j"]).groupBy("text", "id").agg(F.count(F.lit(1)).alias("_met"), F.first("_least").alias("_least")).filter("_met >= _least")
         both = pairs.join(known.withColumnRenamed("text", "known"), "id")
         a, b = F.length("text"), F.length("known")
