@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from marketlens.plans import catalogue, dashboards, exchange, files, finding, imports, listings, people, places, scraped, shops, shown, upkeep
+from marketlens.plans import catalogue, dashboards, exchange, files, finding, imports, listings, people, places, scraped, shops, shown, texts, upkeep
 from marketlens.streaming import unread, views
 
-PLANS = [(m, n) for m in (catalogue, shops, dashboards, finding, people, places, files, imports, listings, scraped, exchange, upkeep, shown, views, unread) for n in m.QUERIES]
+PLANS = [(m, n) for m in (catalogue, shops, dashboards, finding, people, places, files, imports, listings, scraped, exchange, texts, upkeep, shown, views, unread) for n in m.QUERIES]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
