@@ -180,32 +180,35 @@ def encode_ogg(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def decode_ogg(stored: DataFrame) -> DataFrame:
-    """(doc_id, media) -> doc_id, n_bytes, payload, media and feature, read from the stored bytes.
+    """(doc_id, media) -> doc_id, n_bytes, payload, media, feature and problem, read from the stored bytes.
 
-    Null media give nulls; damaged ones raise ValueError. Repeated rows keep a row each.
+    Null media give nulls, and so do damaged ones, whose problem says why. Repeated rows keep a row each.
     """
-    names = ["doc_id", "n_bytes", "payload", "media", "feature"]
+    names = ["doc_id", "n_bytes", "payload", "media", "feature", "problem"]
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media"):
-            rows: list[list] = [[], [], []]
+            rows: list[list] = [[], [], [], []]
             for media in batch.column(1).to_pylist():
-                values: tuple = (None, None, None)
+                values: tuple = (None, None, None, None)
                 if media is not None:
-                    payload, said = join_streams(read_ogg(media))
-                    values = (said["n_bytes"], payload, features(payload, said))
+                    try:
+                        payload, said = join_streams(read_ogg(media))
+                        values = (said["n_bytes"], payload, features(payload, said), None)
+                    except (ValueError, IndexError, struct.error) as e:  # damaged, or another maker's
+                        values = (None, None, None, str(e) or "not of this form")
                 for column, value in zip(rows, values, strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), batch.column(1), pa.array(rows[2], pa.string())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), batch.column(1), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.string())], names)
 
-    return stored.select("doc_id", "media").mapInArrow(read, "doc_id long, n_bytes long, payload binary, media binary, feature string")
+    return stored.select("doc_id", "media").mapInArrow(read, "doc_id long, n_bytes long, payload binary, media binary, feature string, problem string")
 
 
 def op5(docs: DataFrame) -> DataFrame:
     size = F.octet_length("payload")
     return decode_ogg(encode_ogg(docs)).select(
         "doc_id",
-        "n_bytes",
+        F.coalesce("n_bytes", F.raise_error(F.concat(F.lit("a medium of this job is damaged: "), F.col("problem")))).alias("n_bytes"),
         size.cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring(F.col("payload"), size - 63, F.lit(64))).alias("tail_crc32"),

@@ -113,32 +113,59 @@ def _verify(field: str | None, data: bytes, what: str) -> None:
         raise ValueError(f"a record's {what} digest differs")
 
 
-def read_archive(archive: bytes) -> Iterator[tuple]:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to and payload of each record; digests are verified where they are given.
+def read_record(raw: bytearray) -> tuple:
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to and payload of a record; digests are verified where they are given.
 
     The payload of an HTTP response is what follows its head, that of any other record its block; a revisit has none.
     payload_digest is the SHA-1 in hex: the one given, else that of the payload. page_id and refers_to are of this
     module's own fields, null in other makers' files. payload_bytes is what the HTTP head says, else the payload's length.
     """
+    fields, block = parse_record(raw)
+    _verify(fields.get("warc-block-digest"), block, "block")
+    kind = fields.get("warc-type", "")
+    http: dict[str, str] = {}
+    payload = block
+    if fields.get("content-type", "").startswith("application/http"):
+        head, _, payload = block.partition(b"\r\n\r\n")
+        http = _fields(head)
+    given = fields.get("warc-payload-digest")
+    whole = kind != "revisit"
+    if whole:
+        _verify(given, payload, "payload")
+    said = read_digest(given) if given else None
+    digest = said[1] if said and said[0] == "sha1" else hashlib.sha1(payload).hexdigest() if whole else None
+    size = http.get("content-length", "")
+    n = int(size) if size.isdecimal() and (not whole or int(size) == len(payload)) else len(payload) if whole else None
+    page, refers = fields.get("x-page-id"), fields.get("x-refers-to-page-id")
+    return (int(page) if page else None, fields.get("warc-target-uri"), n, digest, kind, int(refers) if refers else None, payload if whole else None)
+
+
+def read_archive(archive: bytes) -> Iterator[tuple]:
+    """The records of an archive; raises ValueError at the first that is damaged."""
     for raw in read_members(archive):
-        fields, block = parse_record(raw)
-        _verify(fields.get("warc-block-digest"), block, "block")
-        kind = fields.get("warc-type", "")
-        http: dict[str, str] = {}
-        payload = block
-        if fields.get("content-type", "").startswith("application/http"):
-            head, _, payload = block.partition(b"\r\n\r\n")
-            http = _fields(head)
-        given = fields.get("warc-payload-digest")
-        whole = kind != "revisit"
-        if whole:
-            _verify(given, payload, "payload")
-        said = read_digest(given) if given else None
-        digest = said[1] if said and said[0] == "sha1" else hashlib.sha1(payload).hexdigest() if whole else None
-        size = http.get("content-length", "")
-        n = int(size) if size.isdecimal() and (not whole or int(size) == len(payload)) else len(payload) if whole else None
-        page, refers = fields.get("x-page-id"), fields.get("x-refers-to-page-id")
-        yield (int(page) if page else None, fields.get("warc-target-uri"), n, digest, kind, int(refers) if refers else None, payload if whole else None)
+        yield read_record(raw)
+
+
+def read_leniently(archive: bytes) -> Iterator[tuple]:
+    """The records of an archive with a last value, null: what is wrong with a record, whose other values are null then.
+
+    A record that can't be read, or whose digest differs, doesn't end the archive; a member that can't be decompressed does, as nothing says where the next begins.
+    """
+    members = read_members(archive)
+    while True:
+        try:
+            raw = next(members)
+        except StopIteration:
+            return
+        except (ValueError, zlib.error) as e:
+            yield (*[None] * 7, str(e))
+            return
+        try:
+            yield (*read_record(raw), None)
+        except KeyError:
+            yield (*[None] * 7, "a record has no Content-Length")
+        except ValueError as e:
+            yield (*[None] * 7, str(e))
 
 
 def mark_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
@@ -184,9 +211,9 @@ def write_archives(pages: DataFrame, least_bytes: int = 1000, archive_bytes: int
 
 
 def read_archives(archives: DataFrame, column: str = "warc") -> DataFrame:
-    """The records of a table of archives, read one after another inside each archive."""
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    """The records of a table of archives, read one after another inside each archive; a damaged one is a row of nulls with its problem."""
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "problem"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -195,16 +222,16 @@ def read_archives(archives: DataFrame, column: str = "warc") -> DataFrame:
         for batch in batches:
             for archive in batch.column(0):
                 rows, size = [], 0
-                for row in read_archive(archive.as_py() or b""):
+                for row in read_leniently(archive.as_py() or b""):
                     rows.append(row)
-                    size += len(row[-1] or b"")
+                    size += len(row[-2] or b"")
                     if size > ARCHIVE_BYTES:
                         yield out(rows)
                         rows, size = [], 0
                 if rows:
                     yield out(rows)
 
-    return archives.select(column).mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return archives.select(column).mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, problem string")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -216,7 +243,8 @@ def op7(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages).write.parquet(folder)
-    return read_archives(spark.read.parquet(folder)).drop("payload", "url")
+    own = F.coalesce("record_type", F.raise_error(F.concat(F.lit("an archive of this job is damaged: "), F.col("problem"))))
+    return read_archives(spark.read.parquet(folder)).withColumn("record_type", own).drop("payload", "url", "problem")
 
 
 OP7_SQL = """

@@ -413,9 +413,31 @@ def test_times_and_null_media(spark):
     assert sorted((r.doc_id or 0, r.n_bytes, r.payload is None) for r in media.decode_ogg(stored).collect()) == [(0, 0, False), (1, None, True)]
 
 
+def test_damaged_media_are_rows_with_a_problem(spark):
+    good = media.write_ogg(bytes(6400), 6400)
+    damaged = [good[:-10], good[:40] + bytes([good[40] ^ 1]) + good[41:], b"OggS", b"RIFF" * 20, good + b"x", b""]
+    stored = spark.createDataFrame([(0, bytearray(good))] + [(i, bytearray(x)) for i, x in enumerate(damaged, 1)], "doc_id long, media binary")
+    found = {r.doc_id: r for r in media.decode_ogg(stored).collect()}
+    assert bytes(found[0].payload) == bytes(6400) and found[0].problem is None
+    assert all(found[i].problem and found[i].payload is None and found[i].n_bytes is None for i in range(1, 7))
+
+
 # WARC
 
 
+def test_damaged_records_are_rows_with_a_problem(spark):
+    import zlib
+
+    one = lambda i, digest=None: warc.write_record("response", i, "u", b"abc", digest or hashlib.sha1(b"abc").hexdigest(), 3, None)
+    bare = zlib.compressobj(6, zlib.DEFLATED, 31)
+    headless = bare.compress(b"WARC/1.0\r\nX: y\r\n\r\n") + bare.flush()
+    archives = [one(1) + one(2, "0" * 40) + one(3), one(4) + one(5)[:-6], one(6) + b"no gzip", headless + one(7), gzip.compress(b"no record") + one(8), None]
+    found = warc.read_archives(spark.createDataFrame([(bytearray(a) if a else None,) for a in archives], "warc binary")).collect()
+    assert sorted(r.page_id for r in found if r.problem is None) == [1, 3, 4, 6, 7, 8]
+    bad = [r for r in found if r.problem is not None]
+    assert len(bad) == 5 and all(r.record_type is None and r.payload is None for r in bad)
+
+
 def foreign(kind, block, **fields):
     head = f"WARC/1.0\r\nWARC-Type:{kind}\r\nwarc-record-id: <urn:uuid:1>\r\n" + "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in fields.items()) + f"Content-Length: {len(block)}\r\n\r\n"
     return gzip.compress(head.encode() + block + b"\r\n\r\n")
