@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import STATES, blank_to_null, city_state, clean_phone, clean_url, emails, extension, first_underscore, first_word, fitted, host, join_present, json_shown, locality, shorten, tags, with_suffix
+from ..operators.state import client_state
 from .listings import KEYS, dedup, report, segments, top_states
 
 #: A phone number as people write it, with more or fewer digits than one has.
@@ -44,7 +45,16 @@ def forms(s, d) -> DataFrame:
     )
 
 
+def changes(s, d) -> DataFrame:
+    """What users do, as changes of what their clients keep: views make the list of recent ones, clicks star events, sign-ups save a place or clear it."""
+    return s.read.parquet(f"{d}/events.parquet").selectExpr(
+        "user_id", "CASE event_type WHEN 'view' THEN 'recent' WHEN 'click' THEN 'starred' WHEN 'signup' THEN 'place' END AS key",
+        "CASE WHEN event_type = 'signup' AND event_id % 4 = 0 THEN NULL ELSE regexp_extract(props, '[0-9]+', 0) END AS item", "ts AS at", "event_id AS seq",
+    ).filter("key IS NOT NULL")
+
+
 QUERIES = {
+    "client_state": lambda s, d: client_state(changes(s, d), ("recent",), ("starred",), ("place",)).withColumn("place", F.col("place").cast("long")),
     **{f"dedup_pages_{k}": (lambda kind: lambda s, d: dedup(headings(s, d), kind))(k) for k in KEYS},
     "document_contact_report": lambda s, d: report(document_contacts(s, d)),
     "document_contact_states": lambda s, d: top_states(document_contacts(s, d)),
@@ -74,6 +84,12 @@ _DIGITS = f"regexp_replace(left(regexp_extract(text, '{_PHONE}', 0), 30), '\\D',
 _KNOWN = ", ".join(f"'{x}'" for x in STATES)
 
 SQL = {
+    "client_state": """WITH c AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'recent' WHEN 'click' THEN 'starred' WHEN 'signup' THEN 'place' END AS key, CASE WHEN event_type = 'signup' AND event_id % 4 = 0 THEN NULL ELSE regexp_extract(props, '[0-9]+', 0) END AS item,
+   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('view', 'click', 'signup')),
+ i AS (SELECT user_id, key, item, max(k) AS last, count(*) AS n FROM c WHERE key <> 'place' AND item IS NOT NULL GROUP BY 1, 2, 3)
+SELECT user_id, key, place, item FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last DESC) AS place FROM i WHERE key = 'recent') WHERE place <= 8
+UNION ALL SELECT user_id, key, row_number() OVER (PARTITION BY user_id ORDER BY last) AS place, item FROM i WHERE key = 'starred' AND n % 2 = 1
+UNION ALL SELECT user_id, key, 1, item FROM (SELECT user_id, key, item, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS z FROM c WHERE key = 'place') WHERE z = 1 AND item IS NOT NULL""",
     **{f"dedup_pages_{k}": _dedup_sql(k) for k in KEYS},
     "document_contact_report": f"""WITH {_CONTACTS} SELECT count(*) AS total, count(*) FILTER (WHERE e) AS with_email, count(*) FILTER (WHERE p) AS with_phone, count(*) FILTER (WHERE w) AS with_website, count(*) FILTER (WHERE NOT e AND NOT p AND NOT w) AS without_contact,
   CAST(floor(count(*) FILTER (WHERE e) * 100.0::DOUBLE / count(*) + 0.5) AS BIGINT) AS pct_email FROM x""",
