@@ -18,6 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .textops import gram_hashes, hash_spans, mix64, read_words, release, slices, spans, split_words, word_ids
 
 #: A null doc_id stands behind all others.
@@ -110,9 +111,9 @@ def tally(batches: Iterable[pa.RecordBatch], m: int, parts: int) -> Iterator[pa.
 
 def frequent_grams(texts: DataFrame, m: int, parts: int) -> np.ndarray:
     """Grams that would make a bucket uneven, sorted, over all texts; at most SHARE times as many as buckets."""
-    counts = texts.mapInArrow(lambda it: tally(it, m, parts), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    total = counts.filter("gram IS NULL").select(F.col("n").alias("total"))  # one row
-    hot = counts.filter("gram IS NOT NULL").join(F.broadcast(total), F.col("n") * SHARE * parts >= F.col("total")).select("gram")
+    counts = cut(texts.mapInArrow(lambda it: tally(it, m, parts), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    total = counts.filter("gram IS NULL").first()
+    hot = counts.filter(F.col("gram").isNotNull() & (F.col("n") * SHARE * parts >= (total.n if total else 0))).select("gram")
     return np.sort(np.array([r.gram for r in hot.collect()], np.int64).astype(np.uint64))
 
 

@@ -120,7 +120,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], default: str
     """pages plus host, path, rule and verdict.
 
     rules: (allow or block, host and path). A rule fits its host and all subdomains where the
-    path starts with the rule's; the longest wins, and default holds where none fits. A null or
+    path starts with the rule's; the longest wins, of equally long ones the greater by code points, and default holds where none fits. A null or
     malformed url has an empty host and path and gets default. A url takes time by its length, however many
     labels its host has. Of rules with one key the last counts. Columns of the same names are
     replaced; other columns, repeated rows and an empty table pass through.

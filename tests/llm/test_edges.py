@@ -169,6 +169,14 @@ def test_host_of_very_many_labels(spark):
         url_filter._encode(pages, 1 << 30, 0.5, 1)
 
 
+def test_of_equally_long_rules_the_greater_wins(spark):
+    rules = [("block", "ab.cd/"), ("allow", "cd/efg"), ("block", "cd/")]
+    pages = spark.createDataFrame([(1, "http://ab.cd/efg"), (2, "http://ab.cd/e"), (3, "http://cd/x")], "page_id long, url string")
+    for order in (rules, rules[::-1]):
+        found = url_filter.judge_urls(pages, order).orderBy("page_id").collect()
+        assert [(r.rule, r.verdict) for r in found] == [("cd/efg", "allow"), ("ab.cd/", "block"), ("cd/", "block")]
+
+
 # quality
 
 
@@ -425,6 +433,18 @@ def test_damaged_media_are_rows_with_a_problem(spark):
 # WARC
 
 
+def test_payloads_around_and_beyond_an_archive(spark):
+    """Payloads about as long as an archive may be, and far longer ones, twice each."""
+    sizes = [0, 999, 1000, warc.ARCHIVE_BYTES - 1, warc.ARCHIVE_BYTES, warc.ARCHIVE_BYTES + 1, 5 * warc.ARCHIVE_BYTES]
+    rows = [(10 * i + k, "http://u/", "é" * (n // 2) + "x" * (n % 2)) for i, n in enumerate(sizes) for k in (0, 1)]
+    found = {r.page_id: r for r in warc.op7(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for page, _, html in rows:
+        n, last = len(html.encode()), page % 10 == 1
+        r = found[page]
+        assert (r.payload_bytes, r.payload_digest) == (n, hashlib.sha1(html.encode()).hexdigest())
+        assert (r.record_type, r.refers_to) == (("response", None) if n < 1000 or last else ("revisit", page + 1))
+
+
 def test_damaged_records_are_rows_with_a_problem(spark):
     import zlib
 
