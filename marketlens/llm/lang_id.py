@@ -28,6 +28,8 @@ NGRAMS, AFFIXES = (2, 3, 4), (1, 2, 3, 4)
 #: Chains are worked out in runs of so many words, and texts in slices of about so many bytes.
 RUN = 128
 SLICE = 1 << 19
+#: Words are scored in rounds of at most so many, whose features' weights are at most so many numbers; a word with more is scored a piece of so many bytes at a time.
+ROUND, ROUND_WEIGHTS, PIECE = 5_000, 1 << 24, 1 << 18
 
 
 @dataclass
@@ -83,15 +85,44 @@ def word_features(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return features, np.r_[0, np.cumsum(np.bincount(owner, minlength=len(size)))]
 
 
+def long_word_scores(model: Crf, word: bytes) -> np.ndarray:
+    """The scores of a word of any length from the counts of its features, with a piece of it in memory at a time."""
+    flat = np.frombuffer(b"\xff" + word + b"\xff", np.uint8)
+    counts = np.zeros(1 << BITS, np.int64)
+    feature = lambda code: (mix64(code) >> U(64 - BITS)).astype(np.int64)
+    for n in NGRAMS:
+        for i in range(0, len(flat) - n + 1, PIECE):
+            part = flat[i : i + PIECE + n - 1].astype(np.uint64)
+            m = len(part) - n + 1
+            code = np.zeros(m, np.uint64)
+            for k in range(n):
+                code = (code << U(8)) | part[k : k + m]
+            counts += np.bincount(feature(code | U(n << 40)), minlength=1 << BITS)
+    for n in AFFIXES:
+        for mark, affix in ((16, word[:n]), (32, word[len(word) - n :])):
+            if len(word) >= n:
+                counts[feature(np.array([int.from_bytes(affix, "big") | (mark + n) << 40], np.uint64))] += 1
+    return counts @ model.weights / np.sqrt(counts.sum())
+
+
 def emissions(model: Crf, words: Words) -> np.ndarray:
-    """A row of scores for each word; each distinct word is scored once."""
+    """A row of scores for each word; each distinct word is scored once. Memory is bounded whatever the words' lengths are."""
     _, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
     out = np.zeros((len(first), len(model.labels)), np.float32)
-    for i in range(0, len(first), 5_000):  # long words make many features
-        some = first[i : i + 5_000]
+    weights = (words.ends - words.starts)[first] * len(NGRAMS) * len(model.labels)
+    long = np.flatnonzero(weights > ROUND_WEIGHTS)
+    for at in long.tolist():
+        out[at] = long_word_scores(model, words.data[words.starts[first[at]] : words.ends[first[at]]])
+    rest = np.flatnonzero(weights <= ROUND_WEIGHTS)
+    sums = np.cumsum(weights[rest])
+    i = 0
+    while i < len(rest):
+        j = min(i + ROUND, max(i + 1, int(np.searchsorted(sums, sums[i] - weights[rest[i]] + ROUND_WEIGHTS, "right"))))
+        some = first[rest[i:j]]
         features, bounds = word_features(words.data, words.starts[some], words.ends[some])
         scores = np.add.reduceat(model.weights[features], bounds[:-1], axis=0)
-        out[i : i + len(some)] = scores / np.sqrt(np.diff(bounds))[:, None]
+        out[rest[i:j]] = scores / np.sqrt(np.diff(bounds))[:, None]
+        i = j
     if len(model.lexicon):
         hashes = words.hashes[first]
         at = np.minimum(np.searchsorted(model.lexicon, hashes), len(model.lexicon) - 1)

@@ -337,6 +337,24 @@ def test_language_of_odd_training_texts(spark):
 # near duplicates
 
 
+def test_long_words_are_scored_in_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = lang_id.Crf(["a", "b", "c"], rng.normal(size=(1 << lang_id.BITS, 3)).astype(np.float32), np.zeros(0, np.uint64), np.zeros((0, 3)), np.zeros((3, 3)), np.zeros(3))
+    texts = ["x", "ab é", "".join(map(chr, rng.integers(97, 123, 5000))) + " tail", "z" * 70_001, "y"]
+    words = lang_id.read_words(texts)
+    want = lang_id.emissions(model, words)
+    for weights, piece in ((40, 7), (9000, 64), (200_000, 1 << 18)):
+        monkeypatch.setattr(lang_id, "ROUND_WEIGHTS", weights)
+        monkeypatch.setattr(lang_id, "PIECE", piece)
+        assert np.allclose(lang_id.emissions(model, words), want, rtol=1e-3, atol=1e-3)
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    monkeypatch.undo()
+    lang_id.emissions(model, lang_id.read_words(["q" * (16 << 20)]))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_500_000  # kB
+
+
 def test_pairs_right_at_the_limit_are_linked(spark):
     """Recall at 85 to 86 %: all of 400 pairs."""
     rng = random.Random(21)
