@@ -121,24 +121,31 @@ def blocks(batches: Iterable[pa.RecordBatch], n_buckets: int) -> Iterator[Block]
         yield Block(int(np.uint64(name.intdigest()).astype(np.int64)), docs, place[np.asarray(coded.indices)], coded.dictionary.take(pa.array(order)), bucket[order])
 
 
+def _words_of(block: Block) -> pa.RecordBatch:
+    offsets, data = _buffers(block.words)
+    heads = np.r_[np.flatnonzero(np.diff(block.bucket, prepend=-1)), len(block.bucket)].tolist()
+    rows = []
+    for a, b in zip(heads[:-1], heads[1:], strict=True):
+        lengths = np.diff(offsets[a : b + 1]).astype(np.uint32)
+        rows.append((int(block.bucket[a]), block.name, _squeeze(lengths), zstandard.compress(bytes(data[offsets[a] : offsets[b]]), 3)))
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(WORDS), WORDS, strict=True)], schema=WORDS)
+
+
+def _positions_of(block: Block) -> pa.RecordBatch:
+    row = ([block.name], [zstandard.compress(block.docs.tobytes(), 3)], [_squeeze(block.index)])
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, POSITIONS, strict=True)], schema=POSITIONS)
+
+
 def send_words(batches: Iterable[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
     """A row of distinct words for each of a block's buckets."""
-    for block in blocks(batches, n_buckets):
-        offsets, data = _buffers(block.words)
-        heads = np.r_[np.flatnonzero(np.diff(block.bucket, prepend=-1)), len(block.bucket)].tolist()
-        rows = []
-        for a, b in zip(heads[:-1], heads[1:], strict=True):
-            lengths = np.diff(offsets[a : b + 1]).astype(np.uint32)
-            rows.append((int(block.bucket[a]), block.name, _squeeze(lengths), zstandard.compress(bytes(data[offsets[a] : offsets[b]]), 3)))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), WORDS, strict=True)], schema=WORDS)
+    yield from map(_words_of, blocks(batches, n_buckets))
+    release()
 
 
 def send_positions(batches: Iterable[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
     """A row for each block: its documents, and the place of each piece among its distinct words."""
-    for block in blocks(batches, n_buckets):
-        row = ([block.name], [zstandard.compress(block.docs.tobytes(), 3)], [_squeeze(block.index)])
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, POSITIONS, strict=True)], schema=POSITIONS)
+    yield from map(_positions_of, blocks(batches, n_buckets))
+    release()
 
 
 def encode_words(batches: Iterable[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
@@ -199,7 +206,13 @@ def _joined(docs: DataFrame, path: str | None, key: str, text: str, stable: bool
     coded = words.repartitionById(parts, "dest").mapInArrow(lambda it: encode_words(it, path), WORDS_DDL)
     positions = rows.mapInArrow(lambda it: send_positions(it, parts), POSITIONS_DDL)
     pair = positions.groupBy("block").cogroup(coded.groupBy("block"))
-    return pair.applyInArrow(lambda p, w: finish(join_positions(p, w)), schema)
+
+    def done(p: pa.Table, w: pa.Table) -> pa.Table:
+        out = finish(join_positions(p, w))
+        release()  # what the block took beside its rows
+        return out
+
+    return pair.applyInArrow(done, schema)
 
 
 def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", stable: bool = False) -> DataFrame:

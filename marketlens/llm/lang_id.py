@@ -340,40 +340,43 @@ def label_documents(docs: DataFrame, model: Crf, text: str = "text") -> DataFram
     is_letter = np.zeros(256, bool)
     is_letter[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-    def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def labelled(batch: pa.RecordBatch) -> pa.RecordBatch:
         names = pa.array(model.labels, pa.string())
-        for batch in slices(batches, text, SLICE):
-            texts = batch.column(place).to_pylist()
-            lettered = [bool(model.labels) and t is not None and any(map(str.isalpha, t)) for t in texts]
-            words = read_words([t if ok else None for t, ok in zip(texts, lettered, strict=True)], lower=True)
-            preds, scores, certain, spans, bounds = [], [], [], [], [0]
-            firsts: list[np.ndarray] = []
-            if len(words.hashes):
-                posterior, _ = forward_backward(emissions(model, words), words.counts.astype(np.int64), model.transitions, model.starts)
-                mark = np.r_[0, np.cumsum(is_letter[np.frombuffer(words.data, np.uint8)])]
-                counts_in = (mark[words.ends] > mark[words.starts]).astype(np.float64)
-                best = posterior.argmax(axis=1)
-                total = np.r_[np.zeros((1, posterior.shape[1])), np.cumsum(posterior * counts_in[:, None], axis=0)]
-                weight = np.r_[0, np.cumsum(counts_in)]
-                surest = np.r_[0, np.cumsum(posterior.max(axis=1) * counts_in)]
-            for ok, (a, b) in zip(lettered, words.per_text(), strict=True):
-                if not ok or weight[b] == weight[a]:
-                    preds.append("und")
-                    scores.append(0.0)
-                    certain.append(0.0)
-                    bounds.append(bounds[-1])
-                    continue
-                mean = (total[b] - total[a]) / (weight[b] - weight[a])
-                preds.append(model.labels[int(mean.argmax())])
-                scores.append(float(min(1.0, max(0.0, mean.max()))))
-                certain.append(float(min(1.0, max(0.0, (surest[b] - surest[a]) / (weight[b] - weight[a])))))
-                own = best[a:b]
-                heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                firsts.append(np.stack([heads, np.diff(np.r_[heads, b - a]), own[heads]]))
-                bounds.append(bounds[-1] + len(heads))
-            spans = np.concatenate(firsts, axis=1) if firsts else np.zeros((3, 0), np.int64)
-            runs = pa.StructArray.from_arrays([pa.array(spans[0], pa.int32()), pa.array(spans[1], pa.int32()), names.take(pa.array(spans[2], pa.int64()))], fields=list(kind.value_type))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(certain, pa.float64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), runs)], [*rest, *ADDED.names])
+        texts = batch.column(place).to_pylist()
+        lettered = [bool(model.labels) and t is not None and any(map(str.isalpha, t)) for t in texts]
+        words = read_words([t if ok else None for t, ok in zip(texts, lettered, strict=True)], lower=True)
+        preds, scores, certain, spans, bounds = [], [], [], [], [0]
+        firsts: list[np.ndarray] = []
+        if len(words.hashes):
+            posterior, _ = forward_backward(emissions(model, words), words.counts.astype(np.int64), model.transitions, model.starts)
+            mark = np.r_[0, np.cumsum(is_letter[np.frombuffer(words.data, np.uint8)])]
+            counts_in = (mark[words.ends] > mark[words.starts]).astype(np.float64)
+            best = posterior.argmax(axis=1)
+            total = np.r_[np.zeros((1, posterior.shape[1])), np.cumsum(posterior * counts_in[:, None], axis=0)]
+            weight = np.r_[0, np.cumsum(counts_in)]
+            surest = np.r_[0, np.cumsum(posterior.max(axis=1) * counts_in)]
+        for ok, (a, b) in zip(lettered, words.per_text(), strict=True):
+            if not ok or weight[b] == weight[a]:
+                preds.append("und")
+                scores.append(0.0)
+                certain.append(0.0)
+                bounds.append(bounds[-1])
+                continue
+            mean = (total[b] - total[a]) / (weight[b] - weight[a])
+            preds.append(model.labels[int(mean.argmax())])
+            scores.append(float(min(1.0, max(0.0, mean.max()))))
+            certain.append(float(min(1.0, max(0.0, (surest[b] - surest[a]) / (weight[b] - weight[a])))))
+            own = best[a:b]
+            heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            firsts.append(np.stack([heads, np.diff(np.r_[heads, b - a]), own[heads]]))
+            bounds.append(bounds[-1] + len(heads))
+        spans = np.concatenate(firsts, axis=1) if firsts else np.zeros((3, 0), np.int64)
+        runs = pa.StructArray.from_arrays([pa.array(spans[0], pa.int32()), pa.array(spans[1], pa.int32()), names.take(pa.array(spans[2], pa.int64()))], fields=list(kind.value_type))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(certain, pa.float64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), runs)], [*rest, *ADDED.names])
+
+    def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a slice's arrays end with its call, so the last one's are gone when memory is given back
+        yield from map(labelled, slices(batches, text, SLICE))
 
     return docs.mapInArrow(label, schema)
 

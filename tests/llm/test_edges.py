@@ -498,3 +498,27 @@ def test_other_makers_records(spark, tmp_path):
     assert (found[3].payload, found[3].payload_digest) == (None, None)
     with pytest.raises(ValueError):
         list(warc.read_archive(foreign("response", http, WARC_Block_Digest="sha1:" + "0" * 40)))
+
+
+def test_a_task_of_language_work_holds_nothing_of_its_last_slice_when_it_gives_memory_back(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from marketlens.llm import textops
+
+    found, held = [], []
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: found.append(f))
+    model = lang_id.fit_crf(["one two three four", "uno dos tres cuatro"], ["en", "es"], n_chains=4, rounds=1)
+    lang_id.label_documents(docs, model)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array(["one dos " * 40_000] * 2)], ["doc_id", "text"])
+    list(found[0](iter([batch])))  # what stays cached between tasks
+    monkeypatch.setattr(textops, "release", lambda: held.append(tracemalloc.get_traced_memory()[0]))
+    tracemalloc.start()
+    try:
+        for out in found[0](iter([batch])):
+            del out
+    finally:
+        tracemalloc.stop()
+    assert held[-1] < 1 << 20  # a slice's posteriors alone are 1.3 MB, and with all arrays it was over 10 MB
