@@ -28,10 +28,34 @@ def deliveries(notes: DataFrame, follows: DataFrame) -> DataFrame:
 
 
 def unread_by_user(notes: DataFrame, follows: DataFrame, reads: DataFrame) -> DataFrame:
-    """user_id, unread of every user with any note: notes delivered and not read, each once."""
-    sent = deliveries(notes, follows).select("user_id", "note_id").distinct()
-    read = reads.select("user_id", "note_id", F.lit(True).alias("_read")).distinct()
-    return sent.join(read, ["user_id", "note_id"], "left").groupBy("user_id").agg(F.count_if(F.col("_read").isNull()).alias("unread"))
+    """user_id, unread of every user with any note: notes delivered and not read, each once.
+
+    Notes are counted by shop and type before they meet the follows, and what a user wrote or has read is counted by user and shop, so no note is multiplied by
+    its followers. Only notes whose id is null or stands for different notes are delivered one by one, as each counts once for a user.
+    """
+    kind = F.struct("shop_id", "type", "created_by")
+    ids = notes.groupBy("note_id").agg(F.min(kind).alias("low"), F.max(kind).alias("high"))
+    clear = F.col("note_id").isNotNull() & F.col("low").eqNullSafe(F.col("high"))
+    single = ids.filter(clear).select("note_id", "low.*")
+    of_type = lambda name: [F.count_if(F.col("type") == t).alias(f"{name}_{t}") for t in TYPES]
+    at = ["user_id", "shop_id"]
+    edges = preferences(follows).groupBy(*at).agg(*[F.coalesce(F.max(f"on_{t}"), F.lit(False)).alias(f"on_{t}") for t in TYPES])
+    posted = F.col("type").isin("community", "event")
+    own = single.filter(posted).groupBy("shop_id", F.col("created_by").alias("_by")).agg(*of_type("own")).withColumnRenamed("shop_id", "_shop")
+    seen = reads.select("user_id", "note_id").distinct().join(single, "note_id").filter(~(posted & F.col("created_by").eqNullSafe(F.col("user_id"))))
+    counted = (
+        edges.join(single.groupBy("shop_id").agg(*of_type("all")), "shop_id")
+        .join(own, (F.col("shop_id") == F.col("_shop")) & F.col("user_id").eqNullSafe(F.col("_by")), "left")
+        .join(seen.groupBy(*at).agg(*of_type("read")), at, "left")
+    )
+    total = lambda name: sum((F.when(F.col(f"on_{t}"), F.coalesce(f"{name}_{t}", F.lit(0))).otherwise(0) for t in TYPES), F.lit(0).cast("long"))
+    of_singles = counted.select("user_id", (total("all") - total("own")).alias("sent"), total("read").alias("read"))
+    again = ids.filter(~clear).select(F.col("note_id").alias("_id"))
+    sent = deliveries(notes.join(again, F.col("note_id").eqNullSafe(F.col("_id")), "left_semi"), follows).select("user_id", "note_id").distinct()
+    read = reads.select("user_id", "note_id", F.lit(1).alias("read")).distinct()
+    of_others = sent.join(read, ["user_id", "note_id"], "left").select("user_id", F.lit(1).cast("long").alias("sent"), F.coalesce("read", F.lit(0)).cast("long").alias("read"))
+    both = of_singles.unionByName(of_others).groupBy("user_id").agg(F.sum("sent").alias("sent"), F.sum("read").alias("read"))
+    return both.filter("sent > 0").select("user_id", F.coalesce(F.col("sent") - F.col("read"), F.lit(0).cast("long")).alias("unread"))
 
 
 def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, keep_ms: int) -> Iterator[pd.DataFrame]:
