@@ -96,6 +96,8 @@ def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         df = df.filter(_WHERE[name])
     distinct = columns.startswith("DISTINCT ")
     out = df.selectExpr(*_split(columns.removeprefix("DISTINCT ")))
+    if name == "follow":  # few bytes but many rows: a number of partitions that isn't coalesced
+        out = out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "user_id", "shop_id")
     return out.distinct() if distinct else out
 
 
