@@ -69,7 +69,7 @@ def _buffers(strings: pa.Array) -> tuple[np.ndarray, memoryview]:
 
 
 def cuts(raw: np.ndarray) -> np.ndarray:
-    """Where a text can be cut: before ASCII white space that follows no white space of any kind.
+    """Where a text can be cut, in no order: before ASCII white space that follows no white space of any kind.
 
     Tokens take white space to their front, or are nothing else, so none reaches over such a place.
     """
@@ -77,14 +77,16 @@ def cuts(raw: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(ascii_space)
     at = at[at > 0]
     before = raw[at - 1]
-    at = at[~(ascii_space[at - 1] | ((before >= 0x1C) & (before <= 0x1F)))]
+    plain = ~(ascii_space[at - 1] | ((before >= 0x1C) & (before <= 0x1F)))
+    beyond = at[plain & (before >= 0x80)]  # few: the only places that other white space can come before
+    at = at[plain & (before < 0x80)]
     for space in _SPACES:
         n = len(space)
-        hit = at >= n
+        hit = beyond >= n
         for k, byte in enumerate(space):
-            hit &= raw[np.maximum(at - n + k, 0)] == byte
-        at = at[~hit]
-    return at
+            hit &= raw[np.maximum(beyond - n + k, 0)] == byte
+        beyond = beyond[~hit]
+    return np.concatenate([at, beyond])
 
 
 @dataclass
@@ -105,7 +107,9 @@ def blocks(batches: Iterable[pa.RecordBatch], n_buckets: int) -> Iterator[Block]
         raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
         ids = batch.column(0)
-        marks = np.unique(np.concatenate([offsets, cuts(raw)]))
+        marked = np.zeros(len(raw) + 1, bool)
+        marked[offsets] = marked[cuts(raw)] = True
+        marks = np.flatnonzero(marked)
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(marks) - 1, [None, pa.py_buffer(marks.astype(np.int64).tobytes()), pa.py_buffer(raw)]) if len(raw) else pa.array([], pa.large_binary())
         counts = np.diff(np.searchsorted(marks, offsets))
         docs = np.stack([np.asarray(ids.fill_null(0)), np.asarray(ids.is_valid()), counts]).astype(np.int64)

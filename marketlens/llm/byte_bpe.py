@@ -174,7 +174,9 @@ def encode_block(texts: pa.Array, vocabulary: Vocabulary) -> pa.LargeListArray:
     offsets, data = _buffers(texts)
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    marks = np.unique(np.concatenate([offsets, cuts(raw)])).astype(np.int64)
+    marked = np.zeros(len(raw) + 1, bool)
+    marked[offsets] = marked[cuts(raw)] = True
+    marks = np.flatnonzero(marked)
     if len(marks) < 2:
         return pa.LargeListArray.from_arrays(pa.array(np.zeros(len(texts) + 1, np.int64)), pa.array([], pa.int32()))
     parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(marks) - 1, [None, pa.py_buffer(marks.tobytes()), pa.py_buffer(raw)]).dictionary_encode()
