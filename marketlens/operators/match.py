@@ -16,6 +16,8 @@ from .numbering import numbered
 ROUNDS = ((0.85, 2), (0.7, 2), (0.4, 1), (0.0, 1))
 #: A row looks up so many grams more than it has to, and meets a text only by so many.
 MEETINGS = 4
+#: Matches of distinct texts go to each task of the wanted rows up to so many rows and bytes.
+FEW_ROWS, FEW_BYTES = 20_000, 16 << 20
 
 
 def grams(names: DataFrame, key: str, q: int) -> DataFrame:
@@ -42,6 +44,7 @@ def best_match(wanted: DataFrame, known: DataFrame, least: float = 0.0) -> DataF
     open_ = kept(wanted.filter("text <> ''").select("text").distinct())
     left, parts = open_.count(), int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     done: list[DataFrame] = []
+    texts, n_bytes = left, 0
     for similar, q in dict.fromkeys((max(similar, least), q) for similar, q in ROUNDS):
         index = grams(known, "id", q)
         often = index.groupBy("gram", "j").agg(F.count(F.lit(1)).alias("_often"))
@@ -50,7 +53,7 @@ def best_match(wanted: DataFrame, known: DataFrame, least: float = 0.0) -> DataF
         asked = open_.withColumn("_least", F.least(shared, F.lit(MEETINGS))).filter("_least >= 1").withColumn("_keep", n - q + 1 - shared + F.col("_least"))
         ranked = grams(asked, "text", q).join(often, ["gram", "j"], "left").withColumn("_rank", F.row_number().over(Window.partitionBy("text").orderBy(F.asc_nulls_first("_often"), "gram", "j")))
         probes = ranked.join(asked.select("text", "_keep", "_least"), "text").filter("_rank <= _keep").select("text", "gram", "j", "_least")
-        probes = probes.repartition(parts, "text")  # few bytes but much work: not to be coalesced
+        probes = probes.repartition(parts + 1, "text")  # few bytes but much work: not to be coalesced, and a number of its own, as Spark leaves out a dealing that rows have already and coalesces that one
         pairs = probes.join(index, ["gram", "j"]).groupBy("text", "id").agg(F.count(F.lit(1)).alias("_met"), F.first("_least").alias("_least")).filter("_met >= _least")
         both = pairs.join(known.withColumnRenamed("text", "known"), "id")
         a, b = F.length("text"), F.length("known")
@@ -58,12 +61,15 @@ def best_match(wanted: DataFrame, known: DataFrame, least: float = 0.0) -> DataF
         allowed = f"CAST(floor({1 - similar!r} * greatest(length(text), length(known)) + 1e-9) AS INT)"
         scored = near.withColumn("_d", F.expr(f"levenshtein(text, known, {allowed})")).filter("_d >= 0").withColumn("score", 1.0 - F.col("_d") / F.greatest(a, b))
         found = scored.filter("score > 0").groupBy("text").agg(F.max_by(F.struct("id", "known", "score"), F.struct("score", -F.col("id"))).alias("m"))
-        done.append(kept(found.select("text", "m.*")))
+        done.append(kept(found.select("text", "m.*").repartition("text")))  # a few bytes from each of many tasks
         open_ = open_.join(done[-1], "text", "left_anti")
-        left -= done[-1].count()
+        size = done[-1].agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text") + F.octet_length("known")), F.lit(0)).alias("b")).first()
+        left, n_bytes = left - size.n, n_bytes + size.b
         if not left:
             break
-    return wanted.select("row", "text").join(reduce(DataFrame.unionByName, done), "text").select("row", "id", "known", "score")
+    matched = reduce(DataFrame.unionByName, done)  # never the wanted rows are sent to all tasks, however few Spark takes them for
+    matched = F.broadcast(matched) if texts - left <= FEW_ROWS and n_bytes <= FEW_BYTES else matched.hint("merge")
+    return wanted.select("row", "text").join(matched, "text").select("row", "id", "known", "score")
 
 
 def fuzzy_best(upload: DataFrame, catalogue: DataFrame, least: float = 0.0) -> DataFrame:
