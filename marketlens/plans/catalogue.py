@@ -34,9 +34,10 @@ def matching(
     """Products that meet every filter given, with rating, price and shop count over all shops.
 
     A price bound drops products without stock; a rating bound counts unrated ones as 0. City (a part of its name)
-    and state only decide which products are found. Where a filter is given, reviews and stock are cut down to the products
-    found before they are aggregated.
+    and state only decide which products are found. Reviews and stock are combined by product before they are shuffled, and
+    met in hash tables of one row a product: cut down to the products found first, they would be sorted, and the products three times, in each task.
     """
+    hashed = lambda t: t.hint("shuffle_hash")
     p = products.filter(
         every(
             given(q, lambda v: like_any(v, "brand", "name", "kind")),
@@ -50,12 +51,10 @@ def matching(
     )
     if city or state:
         near = shops.filter(every(given(city, lambda v: F.col("city").like(f"%{v}%")), given(state, lambda v: F.col("state") == v)))
-        p = p.join(stock.filter("in_stock").join(near, "shop_id", "left_semi"), "product_id", "left_semi")
+        p = p.join(hashed(stock.filter("in_stock").join(near, "shop_id", "left_semi").select("product_id")), "product_id", "left_semi")
     if in_stock:
-        p = p.join(stock.filter("in_stock"), "product_id", "left_semi")
-    if any((q, brand, strength, kind, note, wrapper, country, city, state)):
-        reviews, stock = (t.join(p.select("product_id"), "product_id", "left_semi") for t in (reviews, stock))
-    p = star(p, "product_id", ratings(reviews), offers(stock))
+        p = p.join(hashed(stock.filter("in_stock").select("product_id")), "product_id", "left_semi")
+    p = star(p, "product_id", hashed(ratings(reviews)), hashed(offers(stock)))
     p = p.withColumns({"avg_rating": F.coalesce("avg_rating", F.lit(0.0)), "review_count": F.coalesce("review_count", F.lit(0)), "shop_count": F.coalesce("shop_count", F.lit(0))})
     return p.filter(
         every(
