@@ -5,16 +5,19 @@ from __future__ import annotations
 import re
 import uuid
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from io import BytesIO
+from itertools import islice
 from typing import Any
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 # The parts of a workbook and their namespaces.
@@ -34,6 +37,9 @@ _PARTS = {
 PLACE = (StructField("_file", StringType()), StructField("_row", LongType()))
 #: A sheet has at most so many rows, by its format.
 MOST_ROWS = 1_048_576
+#: Rows go to Spark in batches of so many.
+BATCH_ROWS = 4096
+_ROW, _CELL, _VALUE, _INLINE, _TEXT, _RUN = (f"{{{_MAIN}}}{tag}" for tag in ("row", "c", "v", "is", "t", "r"))
 
 
 def _fs(path: str) -> tuple[Any, str]:
@@ -62,7 +68,9 @@ def _column(reference: str) -> int:
 
 def _text(node: ElementTree.Element) -> str:
     """The text of a string item: its runs, without phonetic ones."""
-    runs = [t for child in node if child.tag in (f"{{{_MAIN}}}t", f"{{{_MAIN}}}r") for t in child.iter(f"{{{_MAIN}}}t")]
+    if len(node) == 1 and node[0].tag == _TEXT and not len(node[0]):
+        return node[0].text or ""
+    runs = [t for child in node if child.tag in (_TEXT, _RUN) for t in child.iter(_TEXT)]
     return "".join(t.text or "" for t in runs)
 
 
@@ -90,20 +98,22 @@ def cells(data: bytes) -> Iterator[list[str]]:
             shared = [_text(si) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{{{_MAIN}}}si")]
         with book.open(_sheet_name(book)) as part:
             for _, row in ElementTree.iterparse(part):
-                if row.tag != f"{{{_MAIN}}}row":
+                if row.tag != _ROW:
                     continue
                 out: list[str] = []
-                for cell in row.iter(f"{{{_MAIN}}}c"):
-                    at = _column(cell.get("r")) if cell.get("r") else len(out)
-                    kind, value = cell.get("t", "n"), cell.findtext(f"{{{_MAIN}}}v")
-                    inline = cell.find(f"{{{_MAIN}}}is")
+                for cell in row.iter(_CELL):
+                    reference, kind = cell.get("r"), cell.get("t", "n")
+                    at = _column(reference) if reference else len(out)
                     if kind == "inlineStr":
+                        inline = cell.find(_INLINE)
                         text = _text(inline) if inline is not None else ""
-                    elif value is None or kind == "e":
+                    elif (value := cell.findtext(_VALUE)) is None or kind == "e":
                         text = ""
                     else:
                         text = shared[int(value)] if kind == "s" else {"0": "FALSE", "1": "TRUE"}.get(value, value) if kind == "b" else value if kind == "str" else _number(value)
-                    out += [""] * (at - len(out)) + [text]
+                    if at > len(out):
+                        out += [""] * (at - len(out))
+                    out.append(text)
                 row.clear()
                 if any(out):
                     yield out
@@ -136,15 +146,19 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(f) for f in files(self.path)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         data = _read(partition.value)
         place = {n: i for i, n in enumerate(header(data))}
         at = [place.get(n) for n in self.names]
         rows = cells(data)
         next(rows, None)
         name = partition.value.rsplit("/", 1)[-1]
-        for k, row in enumerate(rows):
-            yield (name, k, *["" if i is None or i >= len(row) else row[i] for i in at])
+        columns, k = [f.name for f in PLACE] + self.names, 0
+        while some := list(islice(rows, BATCH_ROWS)):
+            texts = [[row[i] if i is not None and i < len(row) else "" for row in some] for i in at]
+            place_of = [pa.array([name] * len(some), pa.string()), pa.array(range(k, k + len(some)), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*place_of, *[pa.array(t, pa.string()) for t in texts]], columns)
+            k += len(some)
 
 
 @dataclass
@@ -152,15 +166,20 @@ class _Written(WriterCommitMessage):
     path: str
 
 
-class _Writer(DataSourceWriter):
-    """A workbook for each partition, under a name of its own; those of tasks that didn't count are taken away."""
+class _Books:
+    """A workbook for each partition, under a name of its own, in a folder of the run until all are there; tasks that didn't count leave none.
+
+    The folder is made before the tasks start and taken away with the run, so that a task which is still at work then has no place to write to.
+    """
 
     def __init__(self, path: str, names: Sequence[str], overwrite: bool) -> None:
         self.path, self.names, self.overwrite, self.run = path, list(names), overwrite, uuid.uuid4().hex
+        fs, inner = _fs(path)
+        fs.create_dir(f"{inner}/_{self.run}", recursive=True)
 
-    def write(self, iterator: Iterator[Any]) -> _Written:
+    def _save(self, rows: Iterable[tuple[int, bytes]]) -> _Written:
+        """A workbook of rows as XML, each part of them with the number of its last row."""
         fs, inner = _fs(self.path)
-        fs.create_dir(inner, recursive=True)
         name = f"part-{self.run}-{uuid.uuid4().hex}.xlsx"
         out = BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
@@ -169,26 +188,41 @@ class _Writer(DataSourceWriter):
             with book.open("xl/worksheets/sheet1.xml", "w") as sheet:
                 sheet.write(f'{_HEAD}<worksheet xmlns="{_MAIN}"><sheetData>'.encode())
                 sheet.write(_row(0, self.names))
-                for k, row in enumerate(iterator, 1):
+                for k, xml in rows:
                     if k >= MOST_ROWS:
                         raise ValueError(f"a sheet has at most {MOST_ROWS} rows; write more partitions")
-                    sheet.write(_row(k, row))
+                    sheet.write(xml)
                 sheet.write(b"</sheetData></worksheet>")
-        with fs.open_output_stream(f"{inner}/{name}") as f:
-            f.write(out.getvalue())
+        with fs.open_output_stream(f"{inner}/_{self.run}/{name}") as f:
+            f.write(out.getbuffer())
         return _Written(name)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        self._keep({m.path for m in messages if isinstance(m, _Written)}, self.overwrite)
+        fs, inner = _fs(self.path)
+        names = {m.path for m in messages if isinstance(m, _Written)}
+        for name in names:
+            fs.move(f"{inner}/_{self.run}/{name}", f"{inner}/{name}")
+        fs.delete_dir(f"{inner}/_{self.run}")
+        for f in fs.get_file_info(pafs.FileSelector(inner)) if self.overwrite else []:
+            if f.type == pafs.FileType.File and f.base_name not in names and f.base_name.endswith(".xlsx"):
+                fs.delete_file(f.path)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        self._keep(set(), False)
-
-    def _keep(self, names: set[str], alone: bool) -> None:
         fs, inner = _fs(self.path)
-        for f in fs.get_file_info(pafs.FileSelector(inner, allow_not_found=True)):
-            if f.base_name not in names and (alone or f.base_name.startswith(f"part-{self.run}")) and f.base_name.endswith(".xlsx"):
-                fs.delete_file(f.path)
+        if fs.get_file_info(f"{inner}/_{self.run}").type != pafs.FileType.NotFound:
+            fs.delete_dir(f"{inner}/_{self.run}")
+
+
+class _Writer(_Books, DataSourceWriter):
+    def write(self, iterator: Iterator[Any]) -> _Written:
+        return self._save((k, _row(k, row)) for k, row in enumerate(iterator, 1))
+
+
+class _TextWriter(_Books, DataSourceArrowWriter):
+    """The same workbooks where all columns are text, a batch at a time."""
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        return self._save(_text_rows(iterator))
 
 
 _ILLEGAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
@@ -208,6 +242,28 @@ def _row(k: int, values: Sequence[Any]) -> bytes:
     return ("".join(out) + "</row>").encode()
 
 
+def _joined(*parts: str | pa.Array) -> pa.Array:
+    """Texts one behind the other, null where one is null."""
+    return pc.binary_join_element_wise(*[pa.scalar(p, pa.large_string()) if isinstance(p, str) else p for p in [*parts, ""]])
+
+
+def _text_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+    """What _row gives for each row, joined by batch, with the number of the last one."""
+    k = 0
+    for whole in batches:
+        for start in range(0, len(whole), BATCH_ROWS):
+            batch = whole.slice(start, BATCH_ROWS)
+            written = []
+            for column in batch.columns:
+                text = pc.replace_substring_regex(column.cast(pa.large_string()), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{FFFE}\x{FFFF}]", "")
+                for plain, safe in (("&", "&amp;"), (">", "&gt;"), ("<", "&lt;")):
+                    text = pc.replace_substring(text, plain, safe)
+                written.append(pc.fill_null(_joined('<c t="inlineStr"><is><t xml:space="preserve">', text, "</t></is></c>"), "<c/>"))
+            number = pa.array(range(k + 2, k + len(batch) + 2), pa.int64()).cast(pa.large_string())
+            k += len(batch)
+            yield k, "".join(_joined('<row r="', number, '">', *written, "</row>").to_pylist()).encode()
+
+
 class XlsxSource(DataSource):
     """The first sheet of each workbook under `path`: the header's columns as text, empty where a cell is, with file and row. Writing takes any flat columns."""
 
@@ -223,7 +279,8 @@ class XlsxSource(DataSource):
         return _Reader(self.options["path"], [f.name for f in schema.fields[len(PLACE) :]])
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"], [f.name for f in schema.fields], overwrite)
+        kind = _TextWriter if all(isinstance(f.dataType, StringType) for f in schema.fields) else _Writer
+        return kind(self.options["path"], [f.name for f in schema.fields], overwrite)
 
 
 def register(spark: SparkSession) -> None:
