@@ -18,6 +18,10 @@ ROUNDS = ((0.85, 2), (0.7, 2), (0.4, 1), (0.0, 1))
 MEETINGS = 4
 #: Matches of distinct texts go to each task of the wanted rows up to so many rows and bytes.
 FEW_ROWS, FEW_BYTES = 20_000, 16 << 20
+#: The index goes to each task up to so many characters of known texts.
+FEW_CHARACTERS = 200_000
+#: A task of a round gets about so many meetings of a wanted text's grams with the index; up to MOST_TASKS tasks, beyond which they grow.
+MEETINGS_A_TASK, MOST_TASKS = 1_000_000, 20_000
 
 
 def grams(names: DataFrame, key: str, q: int) -> DataFrame:
@@ -38,13 +42,14 @@ def best_match(wanted: DataFrame, known: DataFrame, least: float = 0.0) -> DataF
     grams, t say, so they share k of the row's rarest grams, all but t - k; k is MEETINGS or t. Rounds go from similar to unlike: a row
     whose best reaches the round's similarity is done, and only the others go on, so the frequent grams are looked up for few rows. Lengths bound
     the candidates, and the edit distance is worked out only up to what the round allows. Equal texts are looked up once; a frequent gram's rows are split
-    by adaptive execution.
+    by adaptive execution. Meetings are counted before they are made, and tasks follow them, as they grow with the product of the texts on both sides.
     """
     known = kept(known.filter("text <> ''").groupBy("text").agg(F.min("id").alias("id")))
     open_ = kept(wanted.filter("text <> ''").select("text").distinct())
     left, parts = open_.count(), int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     done: list[DataFrame] = []
     texts, n_bytes = left, 0
+    few = (known.agg(F.sum(F.length("text")).alias("n")).first().n or 0) <= FEW_CHARACTERS
     for similar, q in dict.fromkeys((max(similar, least), q) for similar, q in ROUNDS):
         index = grams(known, "id", q)
         often = index.groupBy("gram", "j").agg(F.count(F.lit(1)).alias("_often"))
@@ -52,10 +57,17 @@ def best_match(wanted: DataFrame, known: DataFrame, least: float = 0.0) -> DataF
         shared = F.ceil(n * (1 - q * (1 - similar)) - q + 1 - 1e-9) if similar > 0 else F.lit(1)
         asked = open_.withColumn("_least", F.least(shared, F.lit(MEETINGS))).filter("_least >= 1").withColumn("_keep", n - q + 1 - shared + F.col("_least"))
         ranked = grams(asked, "text", q).join(often, ["gram", "j"], "left").withColumn("_rank", F.row_number().over(Window.partitionBy("text").orderBy(F.asc_nulls_first("_often"), "gram", "j")))
-        probes = ranked.join(asked.select("text", "_keep", "_least"), "text").filter("_rank <= _keep").select("text", "gram", "j", "_least")
-        probes = probes.repartition(parts + 1, "text")  # few bytes but much work: not to be coalesced, and a number of its own, as Spark leaves out a dealing that rows have already and coalesces that one
-        pairs = probes.join(index, ["gram", "j"]).groupBy("text", "id").agg(F.count(F.lit(1)).alias("_met"), F.first("_least").alias("_least")).filter("_met >= _least")
-        both = pairs.join(known.withColumnRenamed("text", "known"), "id")
+        probes = ranked.join(asked.select("text", "_keep", "_least"), "text").filter("_rank <= _keep AND _often > 0").select("text", "gram", "j", "_least", "_often")
+        probes = kept(probes)
+        meetings = probes.agg(F.sum("_often").alias("n")).first().n or 0
+        n_tasks = min(max(parts + 1, -(-meetings // MEETINGS_A_TASK)), MOST_TASKS)  # few bytes but much work: not to be coalesced, and a number of its own, as Spark leaves out a dealing that rows have already and coalesces that one
+        probes, texts_known = probes.drop("_often"), known.withColumnRenamed("text", "known")
+        if few:
+            met = probes.repartition(n_tasks, "text").join(F.broadcast(index), ["gram", "j"])
+        else:
+            met = probes.join(index, ["gram", "j"]).select("text", "id", "_least").repartition(n_tasks, "text")
+        pairs = met.groupBy("text", "id").agg(F.count(F.lit(1)).alias("_met"), F.first("_least").alias("_least")).filter("_met >= _least")
+        both = pairs.join(F.broadcast(texts_known), "id") if few else pairs.repartition(n_tasks, "id").join(texts_known, "id")
         a, b = F.length("text"), F.length("known")
         near = both.filter((b >= a * similar - 1e-9) & (b * similar <= a + 1e-9))
         allowed = f"CAST(floor({1 - similar!r} * greatest(length(text), length(known)) + 1e-9) AS INT)"
